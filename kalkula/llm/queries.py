@@ -1,6 +1,7 @@
 """Queries of the text operators, and SQL for those that SQL can express."""
 
+from kalkula.llm.mixing import op5_pivotal_mix
 from kalkula.llm.packing import op9_best_fit_packing
 
-QUERIES = {f.__name__: f for f in (op9_best_fit_packing,)}
+QUERIES = {f.__name__: f for f in (op5_pivotal_mix, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
