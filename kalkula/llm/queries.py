@@ -2,6 +2,7 @@
 
 from kalkula.llm.mixing import op5_pivotal_mix
 from kalkula.llm.packing import op9_best_fit_packing
+from kalkula.llm.quality import op4_rule_ledger
 
-QUERIES = {f.__name__: f for f in (op5_pivotal_mix, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op4_rule_ledger, op5_pivotal_mix, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
