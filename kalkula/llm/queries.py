@@ -3,6 +3,7 @@
 from kalkula.llm.mixing import op5_pivotal_mix
 from kalkula.llm.packing import op9_best_fit_packing
 from kalkula.llm.quality import op4_rule_ledger
+from kalkula.llm.secrets import op6_secret_ledger
 
-QUERIES = {f.__name__: f for f in (op4_rule_ledger, op5_pivotal_mix, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op4_rule_ledger, op5_pivotal_mix, op6_secret_ledger, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
