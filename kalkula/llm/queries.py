@@ -6,6 +6,7 @@ from kalkula.llm.mixing import op5_pivotal_mix
 from kalkula.llm.packing import op9_best_fit_packing
 from kalkula.llm.quality import op4_rule_ledger
 from kalkula.llm.secrets import op6_secret_ledger
+from kalkula.llm.sketches import op8_bottom_k
 
-QUERIES = {f.__name__: f for f in (op1_license_setjoin, op2_language_bitmask, op4_rule_ledger, op5_pivotal_mix, op6_secret_ledger, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_setjoin, op2_language_bitmask, op4_rule_ledger, op5_pivotal_mix, op6_secret_ledger, op8_bottom_k, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {"op1_license_setjoin": OP1_SQL}
