@@ -14,6 +14,7 @@ as often as they occur; null ids are carried along. Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,79 +150,72 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
     as many sequences as the counts allow. Sequences without an exact filling take the largest length that still fits,
     again and again.
     """
-    count = np.zeros(capacity + 1, np.int64)
+    count = [0] * (capacity + 1)
     for length, n in histogram.items():
         count[length] += n
+    # The lengths at hand as a set of bits, and the same from the other end: all pairs of one sum are then an AND.
+    here = sum(1 << x for x in histogram)
+    mirrored = sum(1 << (capacity - x) for x in histogram)
     plan: list[tuple[tuple[int, ...], int]] = []
 
-    def available(lengths: tuple[int, ...]) -> int:
-        distinct, need = np.unique(lengths, return_counts=True)
-        return int((count[distinct] // need).min())
-
     def take(lengths: tuple[int, ...], n: int) -> None:
+        nonlocal here, mirrored
         for x in lengths:
             count[x] -= n
+            bit, other = 1 << x, 1 << (capacity - x)
+            here, mirrored = (here | bit, mirrored | other) if count[x] > 0 else (here & ~bit, mirrored & ~other)
 
-    def pair(total: int) -> tuple[int, int] | None:
-        """The pair of available lengths of this sum whose larger part is largest."""
+    def pair(total: int, besides: int = 0) -> tuple[int, int] | None:
+        """The pair of available lengths of this sum whose larger part is largest; one length besides is spoken for."""
         if total < 2:
             return None
-        low = np.arange(1, total // 2 + 1)
-        fits = (count[low] > 0) & (count[total - low] > 0)
-        if total % 2 == 0:
-            fits[-1] = count[total // 2] > 1
-        at = int(np.argmax(fits))
-        return (total - int(low[at]), int(low[at])) if fits[at] else None
+        low = here & (mirrored >> (capacity - total)) & ((2 << (total // 2)) - 1)
+        if not low:
+            return None
+        if besides and count[besides] == 1 and besides < total:
+            low &= ~(1 << min(besides, total - besides))
+        if total % 2 == 0 and count[total // 2] - (besides == total // 2) < 2:
+            low &= ~(1 << (total // 2))
+        if not low:
+            return None
+        x = (low & -low).bit_length() - 1
+        return total - x, x
 
     def exact(gap: int) -> tuple[int, ...] | None:
         if count[gap] > 0:
             return (gap,)
         if two := pair(gap):
             return two
-        for first in np.flatnonzero(count[: gap - 1])[::-1]:
-            count[first] -= 1
-            two = pair(gap - int(first))
-            count[first] += 1
-            if two:
-                return (int(first), *two)
+        firsts = here & ((1 << max(0, gap - 1)) - 1)
+        while firsts:
+            first = firsts.bit_length() - 1
+            firsts &= ~(1 << first)
+            if two := pair(gap - first, first):
+                return (first, *two)
         return None
 
+    def settle(pattern: tuple[int, ...]) -> None:
+        """As many sequences of the pattern (its lengths are taken once) as the counts allow."""
+        take(pattern, -1)
+        need = Counter(pattern)
+        n = min(count[x] // k for x, k in need.items())
+        take(pattern, n)
+        plan.append((pattern, n))
+
     for length in range(capacity, 0, -1):
         while count[length] > 0:
-            if length == capacity:
-                plan.append(((length,), int(count[length])))
-                count[length] = 0
-                continue
-            count[length] -= 1
-            filled = exact(capacity - length)
-            count[length] += 1
-            pattern = (length, *filled) if filled else (length,)
-            if filled:
-                n = max(1, available(pattern))
-                take(pattern, n)
-                plan.append((pattern, n))
-                continue
-            while True:  # best fit: as each step takes the largest length that fits, the gap left is the least
-                gap = capacity - sum(pattern)
-                count_left = count[: gap + 1].copy()
-                for x in pattern:
-                    if x <= gap:
-                        count_left[x] -= 1
-                fits = np.flatnonzero(count_left > 0)
-                if not len(fits):
-                    break
-                pattern = (*pattern, int(fits[-1]))
-                rest = capacity - sum(pattern)
-                if rest and len(pattern) < 64:
-                    take(pattern, 1)
-                    filled = exact(rest)
-                    take(pattern, -1)
-                    if filled:
-                        pattern = (*pattern, *filled)
+            pattern, gap = (length,), capacity - length
+            take(pattern, 1)
+            while gap:
+                filled = exact(gap) if len(pattern) < 64 else None
+                if not filled:  # best fit: as each step takes the largest length that fits, the gap left is the least
+                    fits = here & ((1 << (gap + 1)) - 1)
+                    if not fits:
                         break
-            n = max(1, available(pattern))
-            take(pattern, n)
-            plan.append((pattern, n))
+                    filled = (fits.bit_length() - 1,)
+                take(filled, 1)
+                pattern, gap = (*pattern, *filled), gap - sum(filled)
+            settle(pattern)
     return plan
 
 
