@@ -1,6 +1,4 @@
 """All queries of the library by name, with their SQL."""
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+from kalkula.plans import recommend, weights  # noqa: F401
+from kalkula.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
