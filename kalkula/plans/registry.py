@@ -1,4 +1,4 @@
 """All queries of the library by name, with their SQL."""
 
-from kalkula.plans import pricing, recommend, scalars, weights  # noqa: F401
+from kalkula.plans import pricing, recommend, rows, scalars, weights  # noqa: F401
 from kalkula.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
