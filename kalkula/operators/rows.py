@@ -95,7 +95,7 @@ def normalize_pdf_rows(rows: DataFrame) -> DataFrame:
     out = rows.withColumn("number", blank(F.col("no"))).withColumn("description", blank(F.col("uraian"))).withColumn("unit_cell", blank(F.col("satuan")))
     out = out.withColumn("no_text", F.col("description") == "").withColumn("split", split_number_prefix(F.col("description")))
     glued = (F.col("number") == "") & (F.col("description") != "") & (F.col("split.number") != "") & (F.trim("split.rest") != "")
-    out = out.withColumn("number", F.when(glued, F.trim("split.number")).otherwise(F.col("number"))).withColumn("description", F.when(glued, F.trim("split.rest")).otherwise(F.col("description")))
+    out = out.withColumn("glued", glued).withColumn("number", F.when(F.col("glued"), F.trim("split.number")).otherwise(F.col("number"))).withColumn("description", F.when(F.col("glued"), F.trim("split.rest")).otherwise(F.col("description")))
     out = out.withColumn("heading", is_upper(F.col("description")) | F.contains(F.lower("description"), F.lit("pekerjaan")))
     # what is left at the front of a row without number may be one more
     out = out.withColumn("cell", split_unit_cell(F.col("unit_cell"))).withColumn("full", F.trim(F.concat_ws(" ", F.nullif("description", F.lit("")), F.nullif(F.col("cell.words"), F.lit("")))))
@@ -105,10 +105,10 @@ def normalize_pdf_rows(rows: DataFrame) -> DataFrame:
     unit = F.when(F.col("real") != "", F.col("real")).when(F.col("no_text") & odd & ~_unit_key(F.col("unit_cell")).isin(*UNIT_WORDS), "").otherwise(F.col("unit_cell"))
     out = out.withColumn("unit", unit).withColumn("text", F.when(F.col("tail.unit") != "", F.col("tail.words")).otherwise(F.col("full"))).withColumn("amount", parse_pdf_decimal(F.col("volume")))
     piece = F.col("number").rlike("^[0-9]+$") & (F.col("text") != "") & (F.size(F.split("text", r"\s+")) <= 3) & (F.length("text") <= 25) & (F.trim("unit") == "") & (F.col("amount") == 0)
-    out = out.withColumn("text", F.when(piece, F.concat_ws(" ", "number", "text")).otherwise(F.col("text"))).withColumn("no2", F.when(piece, "").otherwise(F.col("number")))
+    out = out.withColumn("piece", piece).withColumn("text", F.when(F.col("piece"), F.concat_ws(" ", "number", "text")).otherwise(F.col("text"))).withColumn("no2", F.when(F.col("piece"), "").otherwise(F.col("number")))
     letters = F.regexp_replace("no2", "[^a-zA-Z]", "")
     word = (F.length(letters) > 1) & ~(is_upper(F.col("no2")) & F.upper(letters).rlike("^[IVXLCDM]+$"))
-    out = out.withColumn("text", F.when(word, F.trim(F.concat_ws(" ", "no2", F.nullif("text", F.lit(""))))).otherwise(F.col("text"))).withColumn("no2", F.when(word, "").otherwise(F.col("no2")))
+    out = out.withColumn("word", word).withColumn("text", F.when(F.col("word"), F.trim(F.concat_ws(" ", "no2", F.nullif("text", F.lit(""))))).otherwise(F.col("text"))).withColumn("no2", F.when(F.col("word"), "").otherwise(F.col("no2")))
     head = lambda kept, value: F.when(F.col("heading"), kept).otherwise(value)
     zero = F.lit(0).cast("decimal(38,6)")
     own = [c for c in rows.columns if c not in ("no", "uraian", "satuan", "volume", "price", "total_price")]
