@@ -68,8 +68,8 @@ def _prints(n, seed=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("crowded", "in_task"), [(1000, 1000), (3, 1000), (3, 5), (1, 1)])
-@pytest.mark.parametrize("parts", [1, 2, 3, 4, 6])
+@pytest.mark.parametrize(("crowded", "in_task"), [(1000, 1000), (3, 1000), (3, 5)])
+@pytest.mark.parametrize("parts", [1, 3, 4])
 def test_every_way_of_linking_connects_the_same(spark, crowded, in_task, parts):
     prints = _prints(40 if parts == 1 else 60)
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
