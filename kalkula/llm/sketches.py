@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from kalkula.llm.common import read_table
 
 K, WORDS = 128, 5
-#: Rows of a range of ids, for the order of all documents.
-RANGE_ROWS = 2000
+#: Rows of a range of ids, for the order of all documents, and the most ranges: beyond, ranges grow. FAN bounds are compared at once.
+RANGE_ROWS, MAX_RANGES, FAN = 2000, 4096, 64
 _TOP = float(2**63)
 
 
@@ -77,16 +77,24 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """docs (id, text) dealt by ranges of ids, with the first row of the following range added to each, and the window to walk on.
 
     The order is by descending id, nulls last, equal ids by text; after the last row comes the first. Texts are shuffled
-    once. Only the ranges' bounds come to the driver: one id for each range_rows rows, all distinct.
+    once. Only the ranges' bounds come to the driver: MAX_RANGES ids at most.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = rows.count()
-    parts = max(1, -(-n // range_rows))
+    parts = max(1, min(MAX_RANGES, -(-n // range_rows)))
     bounds: list[int] = []
     if parts > 1:
         bounds = sorted(set(rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []), reverse=True)
-    # range 0 has the ids over the first bound, and so on; nulls are in the last
-    part = lambda x: F.when(x.isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b >= x)) if bounds else F.lit(0))
+    def not_under(some: Column, x: Column) -> Column:
+        return F.size(F.filter(some, lambda b: b >= x))
+
+    def part(x: Column) -> Column:
+        """Range 0 has the ids over the first bound, and so on; nulls are in the last."""
+        chunks = F.array(*(F.array(*map(F.lit, bounds[i : i + FAN])) for i in range(0, len(bounds), FAN)))
+        chunk = not_under(F.array(*map(F.lit, bounds[::FAN])), x)
+        inside = once(chunk, lambda c: F.when(c == 0, 0).otherwise((c - 1) * FAN + not_under(F.get(chunks, c - 1), x))) if bounds else F.lit(0)
+        return F.when(x.isNull(), F.lit(len(bounds))).otherwise(inside)
+
     rows = rows.withColumn("range", part(F.col("id")))
     order = [F.col("id").desc_nulls_last(), F.col("text")]
     first = rows.groupBy("range").agg(F.max("id").alias("id")).collect()  # a row per range

@@ -43,6 +43,14 @@ def test_awkward_rows(spark, tmp_path, monkeypatch, range_rows):
         assert g[1:] == pytest.approx(w[1:])
 
 
+def test_many_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S.with_next, "__defaults__", ("doc_id", "text", 3))
+    monkeypatch.setattr(S, "FAN", 4)
+    rows = [(i * 7 % 101, f"text number {i} of many words", "en", "a", 1, "x") for i in range(101)]
+    got = sorted(tuple(r)[:3] for r in S.op8_bottom_k(spark, write(spark, tmp_path, rows)).collect())
+    assert got == sorted(w[:3] for w in brute(rows))
+
+
 def test_estimates_on_real_rows(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: r for r in S.op8_bottom_k(spark, "/root/testdata/sf0.001").collect()}
