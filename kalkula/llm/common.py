@@ -16,13 +16,23 @@ from pyspark.sql import types as T
 #: ASCII white space; every operator here splits words on runs of it.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows of text are handled in slices of about this many bytes, so that a task's memory doesn't follow the batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of text in an Arrow batch, unless the session says otherwise: executors hold a few batches at once, on both sides.
+BATCH_ROWS = 1000
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so batches get fewer rows than Spark's default; a session's own setting is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,6 +68,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         edges = np.flatnonzero(np.diff(group, prepend=-1))
         for start, stop in zip(edges, [*edges[1:], batch.num_rows], strict=True):
             yield batch.slice(int(start), int(stop - start))
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from kalkula.llm.common import cut_lineage, lower_ascii, read_table, runs, slice
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers, and the special token that parts words in one call.
-REMEMBERED, SEPARATOR = 300_000, b"<|endoftext|>"
+REMEMBERED, SEPARATOR = 200_000, b"<|endoftext|>"
 
 # 0 white space, 1 letters and all bytes beyond ASCII, 2 digits, 3 other ASCII
 _KIND = np.full(256, 3, np.uint8)
