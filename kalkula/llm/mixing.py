@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from kalkula.llm.common import cut_lineage, read_table, word_count
 
-WEIGHTS, MAX_EPOCHS, BUCKET_ROWS, FAN_IN, SEED = (5, 2, 1), 3, 4000, 64, 20240501
+WEIGHTS, MAX_EPOCHS, BUCKET_ROWS, FAN_IN, SEED = (5, 2, 1), 3, 1000, 64, 20240501
 
 
 def ranked_sources(sized: DataFrame) -> DataFrame:
@@ -86,11 +86,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     sized = cut_lineage(given)
     sources = cut_lineage(source_targets(sized, weights, max_epochs))
     most = sources.agg(F.max("source_docs")).first()[0] or 0
-    rows = sized.withColumnRenamed("source", "own").join(sources, F.col("own").eqNullSafe(F.col("source")), "inner").drop("own", "source_docs")
+    rows = sized.withColumnRenamed("source", "own").join(sources, F.col("own").eqNullSafe(F.col("source")), "inner").drop("own")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_epochs)))).otherwise(0.0)
     rows = rows.withColumn("whole", F.when(F.col("size") > 0, F.floor(ratio)).otherwise(0).cast("int"))
     rows = rows.withColumn("share", F.when(F.col("size") > 0, ratio - F.col("whole")).otherwise(0.0))
-    rows = rows.withColumn("bucket", F.pmod("key", F.lit(max(1, math.ceil(most / bucket_rows)))))
+    rows = rows.withColumn("bucket", F.pmod("key", F.ceil(F.col("source_docs") / bucket_rows))).drop("source_docs")
     schema = rows.schema
 
     def bucket(group: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     buckets = max(1, math.ceil(most / bucket_rows))
     while buckets > 1:
         buckets = math.ceil(buckets / fan_in)
-        level = cut_lineage(level.filter(open_).withColumn("bucket", F.pmod("bucket", F.lit(buckets))).groupBy("place", "bucket").applyInPandas(bucket, schema))
+        level = cut_lineage(level.filter(open_).withColumn("bucket", F.floor(F.col("bucket") / fan_in)).groupBy("place", "bucket").applyInPandas(bucket, schema))
         done = done.unionByName(level.filter(~open_))
     last = F.pmod(F.xxhash64(F.lit(seed), "key", "place"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     done = done.unionByName(level.filter(open_).withColumn("share", last.cast("double")))
