@@ -119,7 +119,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     placed = docs.withColumn("mix_row", F.monotonically_increasing_id())
     copies = mix(placed, keep=("mix_row",), **options).filter("copies > 0").select("mix_row", "copies")
-    return placed.join(copies, "mix_row").withColumn("mix_row", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
+    # The few bytes of copies are the side that is built, whatever the size: documents are shuffled once and not sorted.
+    return placed.join(copies.hint("shuffle_hash"), "mix_row").withColumn("mix_row", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
 
 
 def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
