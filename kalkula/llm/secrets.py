@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalkula.llm.common import content_key, read_table, slices, text_bytes
+from kalkula.llm.common import content_key, cut_lineage, read_table, slices, text_bytes
 
 
 class Rule(NamedTuple):
@@ -142,6 +142,7 @@ def listed(spans, kinds: tuple[str, ...] | None = None):
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     ledger = scan_unseen(docs)
-    found = join_back(paths_of(docs), spans_by_blob(ledger))
+    # written down, so that both sides of the join are plain exchanges and the paths of a blob with many copies can be split
+    found = join_back(paths_of(docs), cut_lineage(spans_by_blob(ledger)))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(F.col("path").alias("doc_id"), *(n(k).alias(f"n_{k}") for k in BASE_KINDS), F.sha2(listed(F.col("spans"), BASE_KINDS), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
