@@ -24,16 +24,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalkula.llm.common import cut_lineage, lower_ascii, read_table, strings_at, text_bytes, words
+from kalkula.llm.common import cut_lineage, lower_ascii, read_table, text_bytes, words
 
 DEPTH, BLOCK_BYTES = 4, 6 << 20
 END = 255
-_ENDS = np.uint64(xxhash.xxh64_intdigest(b"\xff", 0))  # the end token among the words' hashes
+_ENDS = np.uint64(0xE7037ED1A0B428DB)  # the end token among the words' hashes
 
 
 def _grams(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,31 +59,56 @@ def _grams(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code[own], offsets + np.arange(len(offsets))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: differences of one running sum of each byte's number by a power, moved to the same power, and mixed."""
+    up, down = _powers_to(len(data) + 1)
+    running = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=running[1:])
+    x = (running[ends] - running[starts]) * down[starts]
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each text and of its end token, and the n+1 places that part the texts."""
     data, offsets = text_bytes(texts)
     data = lower_ascii(data)
     starts, ends, at = words(data, offsets)
-    coded = strings_at(data, starts, ends).dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w, 0) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     out = np.full(len(starts) + len(texts), _ENDS, np.uint64)
     keep = np.ones(len(out), dtype=bool)
     places = at + np.arange(len(at))
     keep[places[1:] - 1] = False
-    if len(starts):
-        out[keep] = hashes[coded.indices.to_numpy(zero_copy_only=False)]
+    out[keep] = _hashes(data, starts, ends)
     return out, places
 
 
 def _counted(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, with the sum of their weights."""
-    if not len(key):
-        return key, np.zeros(0, np.int64)
-    order = np.argsort(key, kind="stable")
-    key, weight = key[order], weight[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(weight, first)
+    """Distinct keys, sorted, with the sum of their weights. Keys are hashed together first, so only distinct ones are sorted."""
+    code, distinct = pd.factorize(key)
+    order = np.argsort(distinct)
+    total = np.bincount(code, weight, minlength=len(distinct)) if len(key) else np.zeros(0)
+    return distinct[order].astype(np.uint64), np.rint(total[order]).astype(np.int64)
+
+
+def _looked_up(key: np.ndarray, keys: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The value of each key; all keys are among the sorted keys."""
+    code, distinct = pd.factorize(key)
+    return value[np.searchsorted(keys, distinct)][code]
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -247,7 +272,7 @@ def score(docs: DataFrame, known: Column, id_col: str = "doc_id", text_col: str
         for kind, dtype in (("gram", "<f8"), ("word", "<i8")):
             parts = {b: np.frombuffer(v, dtype) for k, b, v in zip(found.column("kind").to_pylist(), found.column("bucket").to_pylist(), found.column("values").to_pylist(), strict=True) if k == kind}
             # the block's own list once more, in the order in which it was sent out
-            keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(key) for _, key, _ in _parts(column, kind, depth))]))
+            keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(pd.unique(key) for _, key, _ in _parts(column, kind, depth))]))
             b = _bucket(keys, buckets)
             value = np.zeros(len(keys), np.float64)
             for x, v in parts.items():
@@ -257,11 +282,11 @@ def score(docs: DataFrame, known: Column, id_col: str = "doc_id", text_col: str
         n_bytes, tokens = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
         for first, key, at in _parts(column, "gram", depth):
             keys, value = lookup["gram"]
-            sums = np.concatenate([[0.0], np.cumsum(value[np.searchsorted(keys, key)])])
+            sums = np.concatenate([[0.0], np.cumsum(_looked_up(key, keys, value))])
             bits[first : first + len(at) - 1], n_bytes[first : first + len(at) - 1] = sums[at[1:]] - sums[at[:-1]], np.diff(at)
         for first, key, at in _parts(column, "word", depth):
             keys, value = lookup["word"]
-            c = value[np.searchsorted(keys, key)]
+            c = _looked_up(key, keys, value)
             here = slice(first, first + len(at) - 1)
             tokens[here] = np.diff(at)
             base[here] = np.add.reduceat(np.log10((c + 1) / (n_tokens + n_distinct + 1)), at[:-1])
