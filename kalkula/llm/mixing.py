@@ -114,10 +114,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it.
 
-    docs must be read anew alike each time (a table, not a random selection): rows are told apart by their place in it.
+    The documents are written down once with their number, and all steps read that table.
     """
     columns = docs.columns
-    placed = docs.withColumn("mix_row", F.monotonically_increasing_id())
+    placed = cut_lineage(docs.withColumn("mix_row", F.monotonically_increasing_id()))
     copies = mix(placed, keep=("mix_row",), **options).filter("copies > 0").select("mix_row", "copies")
     # The few bytes of copies are the side that is built, whatever the size: documents are shuffled once and not sorted.
     return placed.join(copies.hint("shuffle_hash"), "mix_row").withColumn("mix_row", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)

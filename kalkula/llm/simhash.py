@@ -278,11 +278,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each component stays: that with the least id, of equal ids the first row.
 
-    docs must be read anew alike each time (a table, not a random selection): rows are told apart by their place in it.
+    The documents are written down once with their number, and all steps read that table.
     """
     columns = docs.columns
     named = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
-    placed = docs.withColumn("dedup_row", named)
+    placed = cut_lineage(docs.withColumn("dedup_row", named))
     first = near_duplicates(placed, "dedup_row", **options).filter("id = component_id").select(F.col("id.row").alias("row"))
     return placed.withColumn("row", F.col("dedup_row.row")).join(first.hint("shuffle_hash"), "row", "left_semi").select(*columns)
 
