@@ -6,8 +6,10 @@ protected entity. A term (word of letters) discloses an entity as far as it take
     disclosure = PMI(term; entity) / IC(entity),  IC = log2(N / n_e),  PMI = log2((n_et / n_e) / (n_t / N))
 
 n_e counts the entity's distinct contexts (the words around a mention; copies of a context count once), n_et those with
-the term, n_t the documents with the term, and N all documents. Terms that reach the threshold with some entity, in
-min_contexts contexts or more, are spans of kind `term` wherever they occur, also in documents without the entity.
+the term, n_t the documents with the term, and N all documents. Entities with a single context count like all others. Pairs
+that may be chance are left out: the chance of a term with rate q = n_t / N to be in so many of n_e contexts is at most
+exp(-n_e KL(n_et / n_e, q)), which is q itself where all contexts have the term, and must not be over `chance`. Terms that
+reach the threshold with some entity are spans of kind `term` wherever they occur, also in documents without the entity.
 Sanitising generalises identifiers to their kind and removes disclosing terms.
 
 Spans are in code points, end exclusive. All counts are sums over the whole corpus by entity and term, gathered within tasks
@@ -19,6 +21,7 @@ extra columns do no harm; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from kalkula.llm.common import content_key, cut_lineage, lower_ascii, read_table, runs, slices, strings_at, text_bytes
 
 KINDS = ("email", "ip", "card", "phone", "term")
-THRESHOLD, MIN_CONTEXTS, WINDOW, MIN_LETTERS = 0.9, 4, 6, 4
+THRESHOLD, CHANCE, WINDOW, MIN_LETTERS = 0.9, 0.05, 6, 3
 SLOTS = 1 << 20
 
 _LOCAL = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"))
@@ -175,18 +178,22 @@ def term_documents(docs: DataFrame, table: np.ndarray, text_col: str = "text") -
     return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, chance: float = CHANCE) -> DataFrame:
     """term, entity and disclosure of the pairs that reach the threshold."""
     contexts = cut_lineage(mentions(docs, text_col).groupBy("entity", "context").agg(F.first("terms").alias("terms")))
-    known = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_contexts)
-    pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_contexts)
+    known = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     pairs = cut_lineage(pairs.join(known, "entity"))
     table = term_filter(pairs)
     total = docs.count()
     counted = pairs.join(term_documents(docs, table, text_col), "term") if table.any() else pairs.withColumn("n", F.lit(1).cast("long"))
+    rate = F.least(F.greatest("n", "n_et") / F.lit(float(max(total, 1))), F.lit(1.0))
+    share = F.col("n_et") / F.col("n_e")
+    without = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - F.least(rate, share)))).otherwise(0.0)
+    rare = F.col("n_e") * (share * F.log(share / F.least(rate, share)) + without) >= -math.log(chance)
     content = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     pmi = F.log2((F.col("n_et") / F.col("n_e")) / (F.greatest("n", "n_et") / F.lit(float(max(total, 1)))))
-    return counted.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0)).filter(F.col("disclosure") >= threshold).select("term", "entity", "disclosure")
+    return counted.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0)).filter((F.col("disclosure") >= threshold) & rare).select("term", "entity", "disclosure")
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:

@@ -83,3 +83,12 @@ def test_hash_is_the_same_in_spark_and_tasks(spark):
 
 def test_empty_table(spark, tmp_path):
     assert P.op10_information_content(spark, write(spark, tmp_path, [], SCHEMA)).count() == 0
+
+
+def test_names_beside_an_address_mentioned_once(spark):
+    """One to three contexts are enough, and names of three letters count."""
+    rows = [(i, f"common words here write text about other things and person{i}@work.org today", "en", "a", 1, "x") for i in range(60)]
+    rows += [(100, "common words here write to Kowalczyk at rare@home.org today", "en", "a", 1, "x"), (101, "common words here ask Kim or two@home.org today", "en", "a", 1, "x"), (102, "other things about Kim and two@home.org here", "en", "a", 1, "x")]
+    by = {r["doc_id"]: r["text"] for r in P.sanitise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert "Kowalczyk" not in by[100] and "Kim" not in by[101] and "Kim" not in by[102]
+    assert by[0] == "common words here write text about other things and <email> today"
