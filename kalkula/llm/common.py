@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,22 +38,56 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or with a local master one of our own where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="kalkula-checkpoints-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+_recording: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Gives a list that gets the paths of all tables that cut_lineage writes meanwhile."""
+    _recording.append([])
+    try:
+        yield _recording[-1]
+    finally:
+        _recording.pop()
+
+
+def delete_tables(spark: SparkSession, paths: list[str], but: DataFrame | None = None) -> None:
+    """Deletes tables that cut_lineage wrote, apart from those that `but` reads."""
+    reads = but.inputFiles() if but is not None and paths else []
+    for path in paths:
+        if not any(path.rpartition("/")[2] in f for f in reads):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: a lost executor then costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/kalkula-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _recording:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the name with as many underscores as make it one that df has no column of, in either case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def content_key(text: str = "text"):
     """256-bit address of a text; null counts as empty. Equal texts share it, whatever their ids."""
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
@@ -110,17 +145,75 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def strings_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The byte ranges (in order, apart from each other) as one large_binary array."""
+    """The byte ranges (in order, none empty, none over another) as one large_binary array."""
     length = ends - starts
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(length, out=offsets[1:])
     step = np.zeros(len(data) + 1, np.int8)
-    np.add.at(step, starts, 1)
-    np.add.at(step, ends, -1)
+    step[starts] += 1
+    step[ends] -= 1
     kept = data[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])
 
 
+_BASE = 0x9E3779B97F4A7C15
+_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: differences of one running sum of each byte's number by a power, moved to the same power, and mixed."""
+    up, down = _powers_to(len(data) + 1)
+    running = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=running[1:])
+    x = (running[ends] - running[starts]) * down[starts]
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def bit_table(numbers: DataFrame, bits: int) -> np.ndarray:
+    """A table of so many bits (a power of two), in words of 32: those at the numbers (one column, long) modulo bits are set.
+
+    bits / 32 rows at most come to the driver, whatever the size of numbers.
+    """
+    slot = F.col(numbers.columns[0]).bitwiseAND(F.lit(bits - 1))
+    words = numbers.select(slot.alias("slot")).groupBy(F.shiftrightunsigned("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("mask")).toArrow()
+    table = np.zeros(bits // 32, np.uint32)
+    table[words.column("word").to_numpy()] = words.column("mask").to_numpy().astype(np.uint32)
+    return table
+
+
+def in_table(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which of the numbers (unsigned) have their bit set in the table."""
+    slot = numbers & np.uint64(32 * len(table) - 1)
+    return (table[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+
+#: Bits of the filter that lets rows pass a join by.
+FILTER_BITS = 1 << 23
+
+
+def bit_filter(values: DataFrame, bits: int = FILTER_BITS):
+    """A column function: false only for values that aren't in values (one column); true for these and for few others."""
+    shared = values.sparkSession.sparkContext.broadcast(bit_table(values.select(F.xxhash64(values.columns[0])), bits))
+
+    @F.arrow_udf(T.BooleanType())
+    def has(hashes: pa.Array) -> pa.Array:
+        return pa.array(in_table(shared.value, hashes.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return lambda value: has(F.xxhash64(value))
+
+
 @F.arrow_udf(T.LongType())
 def word_count(text: pa.Array) -> pa.Array:
     """Number of words of each text; null has none."""

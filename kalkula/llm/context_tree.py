@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalkula.llm.common import cut_lineage, lower_ascii, read_table, text_bytes, words
+from kalkula.llm.common import cut_lineage, lower_ascii, range_hashes, read_table, text_bytes, words
 
 DEPTH, BLOCK_BYTES = 4, 6 << 20
 END = 255
@@ -59,31 +59,6 @@ def _grams(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code[own], offsets + np.arange(len(offsets))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(2 * n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers
-
-
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges: differences of one running sum of each byte's number by a power, moved to the same power, and mixed."""
-    up, down = _powers_to(len(data) + 1)
-    running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=running[1:])
-    x = (running[ends] - running[starts]) * down[starts]
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each text and of its end token, and the n+1 places that part the texts."""
     data, offsets = text_bytes(texts)
@@ -93,7 +68,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(out), dtype=bool)
     places = at + np.arange(len(at))
     keep[places[1:] - 1] = False
-    out[keep] = _hashes(data, starts, ends)
+    out[keep] = range_hashes(data, starts, ends)
     return out, places
 
 

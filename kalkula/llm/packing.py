@@ -13,12 +13,14 @@ as often as they occur; null ids are carried along. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +28,12 @@ from pyspark.sql import functions as F
 from kalkula.llm.common import cut_lineage, lower_ascii, read_table, runs, slices, strings_at, text_bytes
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
-#: Words whose ids a Python worker remembers, and the special token that parts words in one call.
-REMEMBERED, SEPARATOR = 200_000, b"<|endoftext|>"
+#: Words whose ids a Python worker remembers; when there are more, the half looked up least often makes room.
+REMEMBERED = 500_000
+#: Units that the tokenizer surely takes as one: Latin letters up to U+00FF, one digit, or printable ASCII without apostrophe.
+_SINGLE = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Such units that are coded in one call, and bytes of text whose distinct units are looked up together.
+CALL_UNITS, TEXT_BYTES = 4000, 4 << 20
 
 # 0 white space, 1 letters and all bytes beyond ASCII, 2 digits, 3 other ASCII
 _KIND = np.full(256, 3, np.uint8)
@@ -40,46 +46,61 @@ _workers: dict[str, "_Ids"] = {}
 
 
 class _Ids:
-    """Token ids of single words, remembered in a Python worker; ids of all words lie end to end in one array."""
+    """Token ids of units, remembered in a Python worker; ids of all units lie end to end in one array."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(SEPARATOR.decode())
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def add(self, new: list[bytes]) -> None:
-        if len(self.place) + len(new) > REMEMBERED:
-            self.clear()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a unit
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.units = pa.array([], pa.large_binary())
+        self.ids, self.starts, self.hits = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Only the half of REMEMBERED with most lookups stays; their numbers of lookups are halved."""
+        kept = np.sort(np.argsort(-self.hits, kind="stable")[: REMEMBERED // 2])
+        length = np.diff(self.starts)
+        stays = np.zeros(len(length), dtype=bool)
+        stays[kept] = True
+        self.ids = self.ids[np.repeat(stays, length)]
+        self.starts = np.concatenate([[0], np.cumsum(length[kept])])
+        self.units, self.hits = self.units.take(pa.array(kept)), self.hits[kept] // 2
+
+    def add(self, new: pa.Array) -> np.ndarray:
+        """The places that the new units get."""
+        given = new.to_pylist()
+        is_single = np.array([_SINGLE.fullmatch(unit) is not None for unit in given])
+        order = np.concatenate([np.flatnonzero(is_single), np.flatnonzero(~is_single)])
+        single, other = [given[i] for i in order[: is_single.sum()]], [given[i] for i in order[is_single.sum() :]]
+        places = np.empty(len(given), np.int64)
+        places[order] = np.arange(len(given)) + len(self.units)
         ids, lengths = [self.ids], []
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            if any(SEPARATOR[:2] in w for w in part):
-                found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            else:
-                flat = np.array(self.tokenizer.encode_batch_fast([SEPARATOR.join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
-                cuts = np.flatnonzero(flat == self.separator)
-                found = [flat[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(flat)], strict=True)]
-            ids += found
-            lengths += [len(x) for x in found]
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        for at in range(0, len(single), CALL_UNITS):
+            flat = np.array(self.tokenizer.encode_batch_fast([b" ".join(single[at : at + CALL_UNITS]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ids.append(flat)
+            lengths.append(np.diff(np.flatnonzero(self.ends[flat]), prepend=-1))
+        for at in range(0, len(other), CALL_UNITS):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in other[at : at + CALL_UNITS]], add_special_tokens=False)]
+            ids.append(np.array([x for c in coded for x in c], np.uint32))
+            lengths.append(np.array([len(c) for c in coded], np.int64))
+        self.units = pa.concat_arrays([self.units, new.take(pa.array(order))])
         self.ids = np.concatenate(ids)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths, dtype=np.int64)])
-
-    def of(self, distinct: list[bytes]) -> np.ndarray:
-        """Places of the words; self.starts has where the ids of each lie."""
-        new = [w for w in distinct if w not in self.place]
-        if new:
-            had = len(self.place)
-            self.add(new)
-            if len(self.place) < had + len(new):  # it was cleared
-                self.add([w for w in distinct if w not in self.place])
-        return np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(lengths))])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        return places
+
+    def of(self, distinct: pa.Array) -> np.ndarray:
+        """Places of the units; self.starts has where the ids of each lie."""
+        if len(self.units) + len(distinct) > REMEMBERED:
+            self.forget()
+        found = pc.index_in(distinct, value_set=self.units)
+        places = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            places[places < 0] = self.add(distinct.filter(pc.is_null(found)))
+        self.hits[places] += 1
+        return places
 
 
 def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +132,7 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     data, offsets = text_bytes(texts)
     data, starts, ends = _units(data, offsets)
     coded = strings_at(data, starts, ends).dictionary_encode()
-    place = known.of(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0, np.int64)
+    place = known.of(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0, np.int64)
     begin = known.starts[place]
     length = known.starts[place + 1] - begin
     flat_at = np.zeros(len(place) + 1, np.int64)
@@ -129,7 +150,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "d
         import public_tokenizers
 
         path = tokenizer or public_tokenizers.path(TOKENIZER)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, limit=TEXT_BYTES):
             rows: list[tuple[int, int, int, int, int]] = []
             for i, ids in enumerate(token_ids(batch.column("text"), path)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -67,3 +67,24 @@ def test_plan_fills_exactly_by_single_pair_and_triple():
     assert plan_packing({60: 1, 40: 1}, 100) == [((60, 40), 1)]
     assert plan_packing({60: 2, 25: 2, 15: 2}, 100) == [((60, 25, 15), 2)]
     assert plan_packing({70: 1, 12: 1, 11: 1, 7: 1}, 100) == [((70, 12, 11, 7), 1)]
+
+
+def test_ids_are_the_tokenizers_while_units_are_forgotten(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from kalkula.llm import packing
+
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    monkeypatch.setattr(packing, "CALL_UNITS", 3)
+    monkeypatch.setattr(packing, "_workers", {})
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    texts = [
+        "Plain words, it's 12.5% of them!", "", None, "ÀÉÎ õü ÿß×÷ ªºµ", "é é ée", "don't we'LL 'tis a's", "<|endoftext|> x <|startoftext|>", "a<|b <| end", " nbsp wide\x1cfile\x85next",
+        "Привет МИР ΣΑΣ İstanbul", "漢字かな 한국어", "tab\tline\nfeed\x0bvt\x0cff\rcr", "\x00\x01 nul", "x" * 300, "!?!?…—«»", "١٢٣ ½ ²", *(f"word{i} same again" for i in range(60)), "Plain words again",
+    ]
+    for _ in range(2):
+        got = [x.tolist() for x in packing.token_ids(pa.array(texts), path)]
+        assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
