@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df under spark.checkpoint.dir (our own folder where it is unset) and read it again.
+    """Write df under spark.checkpoint.dir (our own folder where it is unset and the master is local) and read it again.
 
     What several branches of a plan use is then computed once, and a lost executor costs nothing of it.
     """
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="kalkula-checkpoints-")
         spark.sparkContext.setCheckpointDir(at)
     path = f"{at.rstrip('/')}/kalkula-{uuid.uuid4().hex}"
