@@ -6,7 +6,7 @@ estimate resemblance (share of the union's k least hashes that both hold), conta
 shingles; where a sketch holds all of its text's shingles, the estimates are exact.
 
 All of it is built-in functions. A null text counts as empty; two texts without words are alike (1), one of them is not
-(0); equal texts have equal sketches; extra columns are ignored; an empty table gives an empty result.
+(0); equal texts have equal sketches; ids are whole numbers or null; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from kalkula.llm.common import read_table
 
 K, WORDS = 128, 5
-#: Rows of a range of ids, for the order of all documents, and the most ranges: beyond, ranges grow. FAN bounds are compared at once.
-RANGE_ROWS, MAX_RANGES, FAN = 2000, 4096, 64
+#: Rows of a range of ids, for the order of all documents, and the most ranges: beyond 5 * 10^8 documents ranges get more rows
+#: (160,000 at 4 * 10^10), which a task sorts like any partition. FAN bounds are compared at once.
+RANGE_ROWS, MAX_RANGES, FAN = 2000, 1 << 18, 64
 _TOP = float(2**63)
 
 
@@ -73,40 +74,36 @@ def hexed(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def bounds_over(bounds: list[int], x: Column) -> Column:
+    """How many of the descending bounds are x or more; null for a null x. Found in steps of FAN comparisons, not one by one."""
+    some = lambda among: F.size(F.filter(among, lambda b: b >= x))
+    if len(bounds) <= FAN:
+        return some(F.array(*map(F.lit, bounds)))
+    chunks = F.array(*(F.array(*map(F.lit, bounds[i : i + FAN])) for i in range(0, len(bounds), FAN)))
+    return once(bounds_over(bounds[::FAN], x), lambda c: F.when(c == 0, 0).otherwise((c - 1) * FAN + some(F.get(chunks, c - 1))))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> tuple[DataFrame, object]:
     """docs (id, text) dealt by ranges of ids, with the first row of the following range added to each, and the window to walk on.
 
-    The order is by descending id, nulls last, equal ids by text; after the last row comes the first. Texts are shuffled
-    once. Only the ranges' bounds come to the driver: MAX_RANGES ids at most.
+    The order is by descending id (a whole number), nulls last, equal ids by text; after the last row comes the first. Texts
+    are shuffled once. Only a number for each range comes to the driver, and goes out to find the first row of each range.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = rows.count()
     parts = max(1, min(MAX_RANGES, -(-n // range_rows)))
     bounds: list[int] = []
     if parts > 1:
         bounds = sorted(set(rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []), reverse=True)
-    def not_under(some: Column, x: Column) -> Column:
-        return F.size(F.filter(some, lambda b: b >= x))
-
-    def part(x: Column) -> Column:
-        """Range 0 has the ids over the first bound, and so on; nulls are in the last."""
-        chunks = F.array(*(F.array(*map(F.lit, bounds[i : i + FAN])) for i in range(0, len(bounds), FAN)))
-        chunk = not_under(F.array(*map(F.lit, bounds[::FAN])), x)
-        inside = once(chunk, lambda c: F.when(c == 0, 0).otherwise((c - 1) * FAN + not_under(F.get(chunks, c - 1), x))) if bounds else F.lit(0)
-        return F.when(x.isNull(), F.lit(len(bounds))).otherwise(inside)
-
-    rows = rows.withColumn("range", part(F.col("id")))
+    # range 0 has the ids over the first bound, and so on; nulls are in the last
+    rows = rows.withColumn("range", F.when(F.col("id").isNull(), len(bounds)).otherwise(bounds_over(bounds, F.col("id")) if bounds else 0))
     order = [F.col("id").desc_nulls_last(), F.col("text")]
-    first = rows.groupBy("range").agg(F.max("id").alias("id")).collect()  # a row per range
-    full = sorted((r["range"], r["id"]) for r in first)
-    follows = {full[(i + 1) % len(full)]: r for i, (r, _) in enumerate(full)}
-    ghosts = rows.limit(0).withColumn("to", F.lit(0))
-    if follows:
-        heads = [F.when((F.col("range") == r) & F.col("id").eqNullSafe(F.lit(x).cast("long")), F.lit(to)) for (r, x), to in follows.items()]
-        ghosts = rows.withColumn("to", F.coalesce(*heads)).filter("to is not null")
-        # of equal ids the one with the least text is first
-        ghosts = ghosts.groupBy("to", "id", "range").agg(F.min("text").alias("text"))
-    ghosts = ghosts.select("id", "text", F.col("to").alias("range"), F.lit(True).alias("ghost"))
+    full = sorted((r["range"], r["id"]) for r in rows.groupBy("range").agg(F.max("id").alias("id")).collect())  # a row per range
+    heads = [(x, full[i - 1][0]) for i, (_, x) in enumerate(full)]
+    # Of equal ids the one with the least text is first. The broadcast side has a row for each range, MAX_RANGES at most.
+    first = rows.join(F.broadcast(spark.createDataFrame(heads, "head long, to int")), F.col("id").eqNullSafe(F.col("head"))).groupBy("to", "id").agg(F.min("text").alias("text"))
+    ghosts = first.select("id", "text", F.col("to").alias("range"), F.lit(True).alias("ghost"))
     walk = W.partitionBy("range").orderBy("ghost", *order)
     return rows.select("id", "text", "range", F.lit(False).alias("ghost")).unionByName(ghosts), walk
 
