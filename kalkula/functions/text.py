@@ -146,3 +146,9 @@ def row_key(description: Column, number: Column, index: Column) -> Column:
 
 def clean_cell(cell: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(cell, "[\u00a0\n]", " "), r"\s+", " ")), F.lit(""))
+
+
+def letter_grams(text: Column) -> Column:
+    """Distinct sequences of two to four characters."""
+    n = F.length(text)
+    return F.array_distinct(F.flatten(F.transform(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.substring(text, i, k))).otherwise(F.array().cast("array<string>")))))

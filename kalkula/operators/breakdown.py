@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kalkula.functions.text import letter_grams
+from kalkula.sources.shared import cut_lineage
+
 KINDS = ("labor", "equipment", "material")
 
 
@@ -44,24 +47,34 @@ def first_words(name: str, n: int = 3, longer_than: int = 2):
     return F.slice(F.filter(F.split(F.lower(name), r"\s+"), lambda w: F.length(w) > longer_than), 1, n)
 
 
-def cheaper_alternatives(probes: DataFrame, products: DataFrame, brands: DataFrame | None = None, limit: int | None = 5) -> DataFrame:
+def brand_alternatives(probes: DataFrame, brands: DataFrame) -> DataFrame:
+    """Brands of the material with the probe's name and unit that cost less: name, unit, price, offer, offer_price, source, url."""
+    keyed = probes.select("name", "unit", "price").distinct().withColumn("key", F.lower("unit")).withColumn("material_key", F.lower(F.trim("name")))
+    same = brands.select(F.lower("unit").alias("key"), F.lower(F.trim("material")).alias("material_key"), F.col("brand").alias("offer"), F.col("price").alias("offer_price"))
+    found = keyed.join(same, ["key", "material_key"]).filter(F.col("offer_price") < F.col("price"))
+    return found.select("name", "unit", "price", "offer", "offer_price", F.lit("brand").alias("source"), F.lit("").alias("url"))
+
+
+def cheaper_alternatives(probes: DataFrame, products: DataFrame, brands: DataFrame | None = None, limit: int = 5) -> DataFrame:
     """For each distinct probe (name, unit, price): products of the same unit that cost less and whose name holds all of the
     first three words of more than two letters; brands of the material with the same name and unit that cost less.
 
-    Products are reduced to distinct (unit, name) with their cheapest offers first, so a common unit costs a join of distinct
-    names with distinct probes, not of all offers; AQE splits units that are still large. limit: offers kept per probe.
+    limit: offers kept per probe. No more than limit of a (unit, name) can be among a probe's cheapest, so products are first
+    cut to these. Distinct names are indexed by unit and their sequences of two to four letters, and a probe's words meet
+    only names that hold the first letters of its longest word.
     """
-    probes = probes.select("name", "unit", "price").distinct().withColumn("key", F.lower("unit")).withColumn("words", first_words("name"))
+    probes = probes.select("name", "unit", "price").distinct().withColumn("key", F.lower("unit"))
     offers = products.select(F.lower("unit").alias("key"), F.lower("name").alias("offer_key"), F.col("name").alias("offer"), F.col("price").alias("offer_price"), F.col("source"), F.col("url"))
-    names = offers.select("key", "offer_key").distinct()
-    pairs = probes.join(names, "key").filter(F.forall("words", lambda w: F.contains(F.col("offer_key"), w)))
-    found = pairs.join(offers, ["key", "offer_key"]).filter(F.col("offer_price") < F.col("price")).select("name", "unit", "price", "offer", "offer_price", "source", "url")
+    cheapest = F.row_number().over(W.partitionBy("key", "offer_key").orderBy("offer_price", "source", "offer", "url"))
+    offers = cut_lineage(offers.withColumn("place", cheapest).filter(F.col("place") <= limit).drop("place"))
+    index = offers.select("key", "offer_key").distinct().select("key", "offer_key", F.explode(F.array_union(F.array(F.lit("")), letter_grams(F.col("offer_key")))).alias("gram"))
+    wanted = probes.select("key", "name").distinct().withColumn("words", first_words("name"))
+    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    pairs = wanted.withColumn("gram", F.coalesce(F.substring(longest, 1, 4), F.lit(""))).join(index, ["key", "gram"]).filter(F.forall("words", lambda w: F.contains(F.col("offer_key"), w))).select("key", "name", "offer_key")
+    best = pairs.join(offers, ["key", "offer_key"]).withColumn("place", F.row_number().over(W.partitionBy("key", "name").orderBy("offer_price", "source", "offer", "url"))).filter(F.col("place") <= limit)
+    found = probes.join(best, ["key", "name"]).filter(F.col("offer_price") < F.col("price")).select("name", "unit", "price", "offer", "offer_price", "source", "url")
     if brands is not None:
-        same = brands.select(F.lower("unit").alias("key"), F.lower(F.trim("material")).alias("material_key"), F.col("brand").alias("offer"), F.col("price").alias("offer_price"))
-        more = probes.withColumn("material_key", F.lower(F.trim("name"))).join(same, ["key", "material_key"]).filter(F.col("offer_price") < F.col("price"))
-        found = found.unionByName(more.select("name", "unit", "price", "offer", "offer_price", F.lit("brand").alias("source"), F.lit("").alias("url")))
-    if limit is None:
-        return found
+        found = found.unionByName(brand_alternatives(probes, brands))
     rank = F.row_number().over(W.partitionBy("name", "unit", "price").orderBy("offer_price", "source", "offer", "url"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= limit)
 

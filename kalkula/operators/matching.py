@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kalkula.functions import similarity as S
 from kalkula.functions import synonyms as Y
-from kalkula.functions.text import alnum_code_key, infer_unit, looks_like_code, normalize_unit, units_compatible
+from kalkula.functions.text import alnum_code_key, infer_unit, letter_grams, looks_like_code, normalize_unit, units_compatible
 from kalkula.sources.shared import cut_lineage
 
 
@@ -32,10 +32,18 @@ def code_variants(code: Column) -> Column:
     return F.array_distinct(F.array(code, F.replace(code, F.lit("-"), F.lit(".")), F.replace(code, F.lit("."), F.lit("-"))))
 
 
-def code_variant_lookup(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """query_id, query and the catalogue rows whose code is, but for case, the query or its dotted or dashed form."""
-    wanted = queries.select("query_id", "query", F.explode(code_variants(F.trim("query"))).alias("variant")).select("query_id", "query", F.upper("variant").alias("key")).distinct()
-    return wanted.join(catalog.withColumn("key", F.upper("code")), "key").drop("key")
+def code_variant_lookup(queries: DataFrame, catalog: DataFrame, contained: bool = False) -> DataFrame:
+    """query_id, query and the catalogue rows whose code is, but for case, the query or its dotted or dashed form.
+
+    contained: rows whose code holds one of these (the rule for catalogues in files). Codes are indexed by their
+    sequences of up to four characters, and a form meets only codes that hold its first four.
+    """
+    wanted = queries.select("query_id", "query", F.explode(code_variants(F.trim("query"))).alias("variant")).select("query_id", "query", F.upper("variant").alias("key")).filter("key <> ''").distinct()
+    if not contained:
+        return wanted.join(catalog.withColumn("key", F.upper("code")), "key").drop("key")
+    index = catalog.select(F.upper("code").alias("held")).distinct().select("held", F.explode(F.array_union(letter_grams(F.col("held")), F.split("held", ""))).alias("gram"))
+    hits = wanted.withColumn("gram", F.substring("key", 1, 4)).join(index, "gram").filter(F.contains("held", F.col("key"))).select("query_id", "query", "held").distinct()
+    return hits.join(catalog.withColumn("held", F.upper("code")), "held").drop("held")
 
 
 def prefix_candidates(queries: DataFrame, catalog: DataFrame, token: str = "token", limit: int | None = None) -> DataFrame:
@@ -66,12 +74,6 @@ def exact_name_match(queries: DataFrame, catalog: DataFrame, raw: str = "raw") -
     return _first(found).withColumn("matched_on", F.lit("name"))
 
 
-def _grams(text: Column) -> Column:
-    """Distinct sequences of two to four characters."""
-    n = F.length(text)
-    return F.array_distinct(F.flatten(F.transform(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.substring(text, i, k))).otherwise(F.array().cast("array<string>")))))
-
-
 def query_words(queries: DataFrame) -> DataFrame:
     """query_id, query, word and what the word is: significant (four letters or more, not generic), technical, head."""
     words = queries.select("query_id", "query", F.posexplode(S.tokens(F.col("query"))).alias("place", "word"))
@@ -84,19 +86,35 @@ def word_hits(words: DataFrame, names: DataFrame, fuzzy: bool = True) -> DataFra
     distinct = cut_lineage(words.select("word").distinct())
     terms = distinct.select("word", F.col("word").alias("term"), F.lit("substring").alias("how")).unionByName(distinct.select("word", F.explode(Y.synonyms_of(F.col("word"))).alias("term"), F.lit("synonym").alias("how")))
     terms = cut_lineage(terms)
-    index = names.select("plain").distinct().select("plain", F.explode(_grams(F.col("plain"))).alias("gram"))
+    index = names.select("plain").distinct().select("plain", F.explode(letter_grams(F.col("plain"))).alias("gram"))
     hits = terms.filter(F.length("term") >= 2).withColumn("gram", F.substring("term", 1, 4)).join(index, "gram").filter(F.contains("plain", F.col("term"))).select("word", "plain", "how")
     one = terms.filter(F.length("term") == 1).withColumn("gram", F.col("term")).join(names.select("plain", F.explode(F.array_distinct(F.split("plain", ""))).alias("gram")).distinct(), "gram").select("word", "plain", "how")
     hits = hits.unionByName(one)
     if fuzzy:
         six = names.select("plain", F.explode(F.array_distinct(S.tokens(F.col("plain")))).alias("other")).filter(F.length("other") >= 6).distinct()
-        pairs = distinct.filter(F.length("word") >= 6).withColumn("first", F.substring("word", 1, 1)).join(six.select("other", F.substring("other", 1, 1).alias("first")).distinct(), "first")
-        # an Indel ratio of 0.8 needs lengths of two to three at least
-        near = pairs.filter((F.least(F.length("word"), F.length("other")) * 3 >= F.greatest(F.length("word"), F.length("other")) * 2) & (F.col("word") != F.col("other"))).withColumn("ratio", S.sequence_similarity("word", "other")).filter("ratio >= 0.8")
-        hits = hits.unionByName(near.select("word", "other").join(six, "other").select("word", "plain", F.lit("fuzzy").alias("how")))
+        near = near_words(distinct.filter(F.length("word") >= 6), six.select("other").distinct())
+        hits = hits.unionByName(near.join(six, "other").select("word", "plain", F.lit("fuzzy").alias("how")))
     return hits.distinct()
 
 
+def near_words(words: DataFrame, others: DataFrame, least: float = 0.8) -> DataFrame:
+    """word and other: different words of six letters or more with one first letter and a sequence similarity of least or more.
+
+    A longest common subsequence of c letters keeps all but 2 (a - c) + (b - c) of a word's a - 1 letter pairs, b being the
+    other word's length; for a similarity of 0.8 that is one pair at the very least. So words meet through first letter and
+    pairs, and only those with enough pairs in common are compared.
+    """
+    pairs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, 2)))
+    index = lambda df, w: df.select(w, F.substring(w, 1, 1).alias("first"), F.explode(pairs(F.col(w))).alias("pair"))
+    met = index(words, "word").join(index(others, "other"), ["first", "pair"]).groupBy("word", "other").agg(F.count("*").alias("shared"))
+    a, b = F.length("word"), F.length("other")
+    common = F.ceil((a + b) * least / 2 - 1e-9)
+    repeated = a - 1 - F.size(pairs(F.col("word")))
+    need = a - 1 - repeated - 2 * (a - common) - (b - common)
+    close = met.filter((common <= F.least(a, b)) & (F.col("word") != F.col("other")) & (F.col("shared") >= need))
+    return close.withColumn("ratio", S.sequence_similarity("word", "other")).filter(F.col("ratio") >= least).select("word", "other")
+
+
 def _compound_hits(words: DataFrame, names: DataFrame) -> DataFrame:
     """query_id, word, plain: words that are part of a compound material in their query, and names with all its parts."""
     parts = words.select("query_id", "word", F.explode(Y.detect_compounds(F.col("query"))).alias("compound")).filter((F.length("word") >= 3) & F.array_contains(F.split("compound", " "), F.col("word")))
@@ -123,29 +141,31 @@ def candidates_any_material(queries: DataFrame, catalog: DataFrame) -> DataFrame
 
 
 def retrieve_candidates(queries: DataFrame, catalog: DataFrame, small_pool: int = 1000) -> DataFrame:
-    """query_id and catalogue rows by the first way that finds any.
+    """query_id and catalogue rows by the first way that finds any; each way sees only the queries that the ones before left open.
 
     Several significant words: names that start with the first of them (if fewer than small_pool do) and hit all, else any
     name that hits all; then names with any technical word; then names that start with the first word or a synonym of it.
-    A single technical word looks for names with it straight away.
+    A single technical word looks for names with it straight away. Names are matched once each, rows join at the end.
     """
     queries, catalog = cut_lineage(queries), cut_lineage(catalog)
     words = query_words(queries)
-    about = words.groupBy("query_id").agg(F.sum(F.col("significant").cast("int")).alias("n_significant"), F.min_by("word", F.when(F.col("significant"), F.col("place"))).alias("head"), F.min_by("word", "place").alias("first"))
-    several = queries.join(about.filter("n_significant >= 2"), "query_id", "left_semi")
-    every = cut_lineage(candidates_all_words(several, catalog).join(catalog, "plain"))
-    starts = prefix_candidates(about.filter("n_significant >= 2").select("query_id", "head"), catalog, "head")
-    small = starts.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") < small_pool)
-    narrow = every.join(starts.join(small, "query_id").select("query_id", "id"), ["query_id", "id"], "left_semi")
-    material = cut_lineage(candidates_any_material(queries, catalog).join(catalog, "plain"))
-    heads = about.select("query_id", F.explode(F.array_union(F.array("first"), Y.synonyms_of(F.col("first")))).alias("token"))
-    head = cut_lineage(prefix_candidates(heads, catalog))
-    head = head.join(head.groupBy("query_id", "code").agg(F.min("id").alias("id")), ["query_id", "code", "id"], "left_semi")
+    about = cut_lineage(words.groupBy("query_id").agg(F.sum(F.col("significant").cast("int")).alias("n_significant"), F.min_by("word", F.when(F.col("significant"), F.col("place"))).alias("head"), F.min_by("word", "place").alias("first")))
+    several = about.filter("n_significant >= 2").select("query_id", "head")
+    every = cut_lineage(candidates_all_words(queries.join(several, "query_id", "left_semi"), catalog))
+    # how many rows start with a head: counted for each head once, not for each query
+    heads = several.select(F.col("head").alias("query_id"), "head").distinct()
+    small = prefix_candidates(heads, catalog, "head").groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") < small_pool).select(F.col("query_id").alias("head"), F.lit(True).alias("small"))
+    rows = every.join(several, "query_id").join(small, "head", "left").join(catalog, "plain").withColumn("starts", F.coalesce("small", F.lit(False)) & F.startswith(F.lower("name"), F.col("head")))
+    rows = cut_lineage(rows.withColumn("narrow", F.max("starts").over(W.partitionBy("query_id"))).filter(F.col("starts") | ~F.col("narrow")))
     columns = ["query_id", *catalog.columns]
-    ways = narrow.select(*columns, F.lit(1).alias("way")).unionByName(every.select(*columns, F.lit(2).alias("way"))).unionByName(material.select(*columns, F.lit(3).alias("way"))).unionByName(head.select(*columns, F.lit(4).alias("way")))
-    ways = cut_lineage(ways)
-    first = ways.groupBy("query_id").agg(F.min("way").alias("way"))
-    return ways.join(first, ["query_id", "way"])
+    open_ = queries.join(every.select("query_id").distinct(), "query_id", "left_anti")
+    material = cut_lineage(candidates_any_material(open_, catalog))
+    open_ = about.join(open_, "query_id", "left_semi").join(material.select("query_id").distinct(), "query_id", "left_anti")
+    head = prefix_candidates(open_.select("query_id", F.explode(F.array_union(F.array("first"), Y.synonyms_of(F.col("first")))).alias("token")), catalog)
+    head = cut_lineage(head)
+    head = head.join(head.groupBy("query_id", "code").agg(F.min("id").alias("id")), ["query_id", "code", "id"], "left_semi")
+    found = rows.select(*columns, F.when(F.col("narrow"), 1).otherwise(2).alias("way"))
+    return found.unionByName(material.join(catalog, "plain").select(*columns, F.lit(3).alias("way"))).unionByName(head.select(*columns, F.lit(4).alias("way")))
 
 
 def filter_by_unit(candidates: DataFrame, unit: str = "user_unit", name: str = "name") -> DataFrame:
@@ -158,21 +178,44 @@ def _ranked(scored: DataFrame, least: float, k: int) -> DataFrame:
     return scored.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).filter(F.col("rank") <= k)
 
 
+def _candidates(queries: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate rows with their query's columns, and the distinct pairs of query and plain among them."""
+    found = retrieve_candidates(queries.select("query_id", "query"), catalog).join(queries, "query_id")
+    found = cut_lineage(filter_by_unit(found) if "user_unit" in queries.columns else found)
+    return found, found.select("query", "plain").distinct()
+
+
+def _length_bound(a: Column, b: Column) -> Column:
+    """No similarity by common letters is more than this."""
+    return F.when(F.length(a) + F.length(b) > 0, 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))).otherwise(1.0)
+
+
 def fuzzy_match_topk(queries: DataFrame, catalog: DataFrame, least: float = 0.6, k: int = 1, explain: bool = False) -> DataFrame:
-    """Candidates by the larger of sequence and partial similarity; with explain also both, and for each word its weight and best score."""
-    found = filter_by_unit(retrieve_candidates(queries.select("query_id", "query"), catalog).join(queries, "query_id")) if "user_unit" in queries.columns else retrieve_candidates(queries, catalog).join(queries, "query_id")
-    scored = found.withColumn("sequence", S.sequence_similarity("query", "plain")).withColumn("partial", S.partial_similarity(F.col("query"), F.col("plain")))
-    out = _ranked(scored.withColumn("score", F.greatest("sequence", "partial")), least, k)
+    """Candidates by the larger of sequence and partial similarity; with explain also both, and for each word its weight and best score.
+
+    Pairs are scored once each, and letters are only compared where lengths and words leave `least` within reach.
+    """
+    found, pairs = _candidates(queries, catalog)
+    near = pairs.withColumn("partial", S.partial_similarity(F.col("query"), F.col("plain"))).filter(F.greatest("partial", _length_bound(F.col("query"), F.col("plain"))) >= least)
+    scored = cut_lineage(near).withColumn("sequence", S.sequence_similarity("query", "plain")).withColumn("score", F.greatest("sequence", "partial")).filter(F.col("score") >= least)
+    out = _ranked(found.join(scored, ["query", "plain"]), least, k)
     if explain:
         return out.withColumn("words", F.transform(S.tokens(F.col("query")), lambda w: F.struct(w.alias("word"), S.word_weight(w).alias("weight"), S.partial_similarity(w, F.col("plain")).alias("score"))))
     return out.drop("sequence", "partial")
 
 
 def confidence_match_topk(queries: DataFrame, catalog: DataFrame, least: float = 0.6, k: int = 1, scorer: str = "fuzzy") -> DataFrame:
-    """Candidates by the larger confidence of the query and of the query with synonyms, four decimals."""
-    found = filter_by_unit(retrieve_candidates(queries.select("query_id", "query"), catalog).join(queries, "query_id")) if "user_unit" in queries.columns else retrieve_candidates(queries, catalog).join(queries, "query_id")
-    score = F.greatest(S.confidence_score("query", "plain", scorer), S.confidence_score(Y.expand_query(F.col("query")), "plain", scorer))
-    return _ranked(found.withColumn("score", F.round(score, 4)), least, k)
+    """Candidates by the larger confidence of the query and of the query with synonyms, four decimals.
+
+    Pairs are scored once each, and letters are only compared where lengths and words leave `least` within reach.
+    """
+    found, pairs = _candidates(queries, catalog)
+    pairs = pairs.withColumn("expanded", Y.expand_query(F.col("query")))
+    bound = F.greatest(S.confidence_bound(F.col("query"), F.col("plain")), S.confidence_bound(F.col("expanded"), F.col("plain")))
+    near = cut_lineage(pairs.filter(bound >= least - 1e-4))
+    score = F.greatest(S.confidence_score("query", "plain", scorer), S.confidence_score("expanded", "plain", scorer))
+    scored = near.withColumn("score", F.round(score, 4)).filter(F.col("score") >= least).drop("expanded")
+    return _ranked(found.join(scored, ["query", "plain"]), least, k)
 
 
 def best_match(queries: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,11 +57,19 @@ def map_pdf_headers(fragments: DataFrame, headers: DataFrame, y_tolerance: float
     return out.filter(F.size(F.array_intersect(F.map_keys("columns"), F.array(*map(F.lit, CORE)))) == 3)
 
 
-def column_boundaries(mapped: DataFrame) -> DataFrame:
-    """doc_id, page, header_y, key, low, high: midpoints between neighbouring headers, open (null) at both ends."""
+def column_boundaries(mapped: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, header_y, key, low, high, open (null) at both ends.
+
+    Bounds are midpoints between neighbouring headers; on pages with vertical rules (doc_id, page, x) the rules around the header.
+    """
     cells = mapped.select("doc_id", "page", "header_y", F.explode("columns").alias("key", "x"))
     order = W.partitionBy("doc_id", "page").orderBy("x", "key")
-    return cells.select("doc_id", "page", "header_y", "key", "x", ((F.lag("x").over(order) + F.col("x")) / 2).alias("low"), ((F.lead("x").over(order) + F.col("x")) / 2).alias("high")).drop("x")
+    out = cells.select("doc_id", "page", "header_y", "key", "x", ((F.lag("x").over(order) + F.col("x")) / 2).alias("low"), ((F.lead("x").over(order) + F.col("x")) / 2).alias("high"))
+    if rules is not None:
+        lines = rules.groupBy("doc_id", "page").agg(F.collect_set("x").alias("lines"))
+        left, right = F.array_max(F.filter("lines", lambda r: r <= F.col("x"))), F.array_min(F.filter("lines", lambda r: r > F.col("x")))
+        out = out.join(lines, ["doc_id", "page"], "left").withColumn("low", F.when(F.col("lines").isNull(), F.col("low")).otherwise(left)).withColumn("high", F.when(F.col("lines").isNull(), F.col("high")).otherwise(right)).drop("lines")
+    return out.drop("x")
 
 
 def carry_header(pages: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -84,7 +92,8 @@ def group_fragments_to_rows(fragments: DataFrame, bounds: DataFrame, below: floa
 def assign_columns(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     """doc_id, page, row_y and values (map from column to text): each fragment goes to the column with the nearest centre.
 
-    A fragment in the unit column that is long, or no unit while the description already has text, goes to the description.
+    A fragment in the unit column that is long, or no unit while the description already has text, goes to the description. A
+    row with neither a digit in its volume nor a known unit gets an empty unit and the volume 0. Lines are dealt by page once.
     """
     centre = F.when(F.col("low").isNull() & F.col("high").isNull(), 0.0).when(F.col("low").isNull(), F.col("high") - 50).when(F.col("high").isNull(), F.col("low") + 50).otherwise((F.col("low") + F.col("high")) / 2)
     columns = bounds.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("low", F.lit(float("-inf"))).alias("at"), centre.alias("centre"), "key"))).alias("cols"))
@@ -97,8 +106,20 @@ def assign_columns(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     before = W.partitionBy("doc_id", "page", "bucket").orderBy("x", "text").rowsBetween(W.unboundedPreceding, -1)
     near = near.withColumn("described", F.coalesce(F.sum(((F.col("key") == "uraian") | long).cast("int")).over(before), F.lit(0)) > 0)
     near = near.withColumn("key", F.when(long | (unit & (token != "") & ~token.isin(*UNIT_WORDS) & F.col("described")), "uraian").otherwise(F.col("key")))
-    cells = near.groupBy("doc_id", "page", "bucket", "row_y", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", F.trim("text").alias("text")))), lambda s: s["text"]), " ").alias("value"))
-    return cells.groupBy("doc_id", "page", "row_y").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("values"))
+    rows = near.groupBy("doc_id", "page", "bucket").agg(F.first("row_y").alias("row_y"), F.array_sort(F.collect_list(F.struct("x", F.trim("text").alias("text"), "key"))).alias("cells"))
+    keys = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["key"])))
+    value = lambda k: F.array_join(F.transform(F.filter("cells", lambda c: c["key"] == k), lambda c: c["text"]), " ")
+    return rows.select("doc_id", "page", "row_y", reset_implausible(F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), value(k).alias("value"))))).alias("values"))
+
+
+def reset_implausible(values: Column) -> Column:
+    """The map from column to text, with an empty unit and the volume 0 if the volume has no digit and the unit is unknown."""
+    volume, unit = (F.coalesce(values[k], F.lit("")) for k in ("volume", "satuan"))
+    odd = ~volume.rlike("[\\p{Nd}\u00b2\u00b3\u00b9\u2070-\u2079\u2080-\u2089]") & ~F.lower(unit).isin(*UNIT_WORDS)
+    rest = F.map_filter(values, lambda k, _: ~k.isin("satuan", "volume"))
+    return F.when(odd, F.map_concat(rest, F.create_map(F.lit("satuan"), F.lit(""), F.lit("volume"), F.lit("0")))).otherwise(values)
+
+
 
 
 def merge_broken_rows(rows: DataFrame) -> DataFrame:

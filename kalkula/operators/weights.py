@@ -2,7 +2,9 @@
 
 Costs are whole cents and weights whole steps of the grid (at dp decimals 100 * 10^dp steps are 100 %), so all results are
 exact. Totals come from a groupBy joined back rather than a window over the whole job, so one huge job costs no huge
-task; only ranks of leftovers are windows. Null costs count as zero; jobs without cost get zero weights.
+task. The steps left over are a fixed number at most (the grid's), so only so many rows of a job are ranked: the last that
+gets a step is found among them, and rows are compared with it. Null costs count as zero; jobs without cost get zero
+weights; ids are unique in a job.
 """
 
 from __future__ import annotations
@@ -26,6 +28,12 @@ def raw_weights(items: DataFrame, job: str = "job_id", cost: str = "cost_cents")
     return with_totals(items, job, cost).withColumn("weight", F.when(F.col("total_cents") > 0, F.col(cost) * 100 / F.col("total_cents")).otherwise(F.lit(0.0)).cast("double"))
 
 
+def _with_first(df: DataFrame, job: str, key: Column, n: Column, most: int) -> DataFrame:
+    """df with `among`: whether a row is one of the first n (most at most) of its job in the order of key."""
+    ranked = df.filter(n > 0).select(job, key.alias("last"), n.alias("take")).withColumn("place", F.row_number().over(W.partitionBy(job).orderBy("last"))).filter(F.col("place") <= most)
+    return df.join(ranked.filter("place = take").select(job, "last"), job, "left").withColumn("among", F.coalesce(key <= F.col("last"), F.lit(False))).drop("last")
+
+
 def largest_remainder(items: DataFrame, dp: int = 2, job: str = "job_id", item: str = "item_id", cost: str = "cost_cents") -> DataFrame:
     """weight_steps: floors, and one step more for the largest remainders (ties in item order) until the sum is 100 %."""
     full = 100 * 10**dp
@@ -33,29 +41,31 @@ def largest_remainder(items: DataFrame, dp: int = 2, job: str = "job_id", item:
     total = F.when(F.col("total_cents") > 0, F.col("total_cents"))
     df = with_totals(items, job, cost).withColumn("floor_steps", F.coalesce(F.expr(f"coalesce({cost}, 0) * {full} div nullif(total_cents, 0)"), F.lit(0)))
     df = df.withColumn("rest", F.coalesce(share % total, F.lit(0)))
-    short = df.groupBy(job).agg((F.lit(full) - F.sum("floor_steps")).alias("short"))
-    df = df.join(short, job).withColumn("place", F.row_number().over(W.partitionBy(job).orderBy(F.col("rest").desc(), item)))
-    steps = F.when(F.col("total_cents") > 0, F.col("floor_steps") + (F.col("place") <= F.col("short")).cast("long")).otherwise(F.lit(0))
-    return df.withColumn("weight_steps", steps.cast("long")).drop("floor_steps", "rest", "short", "place")
+    short = df.groupBy(job).agg((F.lit(full) - F.sum("floor_steps")).alias("short"), F.max("total_cents").alias("all"))
+    df = df.join(short.select(job, F.when(F.col("all") > 0, F.col("short")).otherwise(0).alias("short")), job)
+    df = _with_first(df, job, F.struct(-F.col("rest"), F.col(item)), F.col("short"), full)
+    return df.withColumn("weight_steps", (F.col("floor_steps") + F.col("among").cast("long")).cast("long")).drop("floor_steps", "rest", "short", "among")
 
 
 def nearest_then_adjust(items: DataFrame, dp: int = 1, job: str = "job_id", item: str = "item_id", cost: str = "cost_cents") -> DataFrame:
     """weight_steps by the other rule: each share is rounded half up; missing steps go to the items whose rounding took most
     away, surplus ones are taken from those whose rounding gave least; ties by the id as text.
 
-    Surplus steps go by the signed distance alone, so an item without cost can end at one step below zero.
+    Surplus steps go by the signed distance alone, so an item without cost can end at one step below zero. Only items with half
+    a step or more are rounded up, so 100 % in steps is the most that is missing and the most that is over.
     """
     full = 100 * 10**dp
+    own = F.coalesce(F.col(cost), F.lit(0))
     df = with_totals(items, job, cost).filter(F.col("total_cents").isNotNull())
-    df = df.withColumn("steps", F.when(F.col("total_cents") > 0, F.expr(f"(2 * {cost} * {full} + total_cents) div nullif(2 * total_cents, 0)")).otherwise(F.lit(0)))
+    df = df.withColumn("steps", F.when(F.col("total_cents") > 0, F.expr(f"(2 * coalesce({cost}, 0) * {full} + total_cents) div nullif(2 * total_cents, 0)")).otherwise(F.lit(0)))
     # exact distance to the rounded value, in parts of the total: cost * full - steps * total
-    df = df.withColumn("gap", F.col(cost) * full - F.col("steps") * F.col("total_cents"))
-    off = df.groupBy(job).agg((F.lit(full) - F.sum("steps")).alias("off"))
-    name = F.col(item).cast("string")
-    df = df.join(off, job)
-    df = df.withColumn("up", F.row_number().over(W.partitionBy(job).orderBy(F.col("gap").desc(), name))).withColumn("down", F.row_number().over(W.partitionBy(job).orderBy(F.col("gap"), name)))
-    add = F.when(F.col("total_cents") <= 0, 0).when(F.col("off") > 0, (F.col("up") <= F.col("off")).cast("int")).otherwise(-(F.col("down") <= -F.col("off")).cast("int"))
-    return df.withColumn("weight_steps", (F.col("steps") + add).cast("long")).drop("steps", "gap", "off", "up", "down")
+    df = df.withColumn("gap", own * full - F.col("steps") * F.col("total_cents"))
+    off = df.groupBy(job).agg((F.lit(full) - F.sum("steps")).alias("off"), F.max("total_cents").alias("all"))
+    df = df.join(off.select(job, F.when(F.col("all") > 0, F.col("off")).otherwise(0).alias("off")), job)
+    toward = F.when(F.col("off") > 0, -F.col("gap")).otherwise(F.col("gap"))
+    df = _with_first(df, job, F.struct(toward, F.col(item).cast("string")), F.abs("off"), full)
+    add = F.signum("off").cast("long") * F.col("among").cast("long")
+    return df.withColumn("weight_steps", (F.col("steps") + add).cast("long")).drop("steps", "gap", "off", "among")
 
 
 def round_percentages(items: DataFrame, percent: str, dp: int = 2, job: str = "job_id", item: str = "item_id", cost: str = "cost_cents", scale: int = 1000) -> DataFrame:
@@ -66,9 +76,9 @@ def round_percentages(items: DataFrame, percent: str, dp: int = 2, job: str = "j
     full = 100 * 10**dp
     df = items.withColumn("floor_steps", F.floor(F.col(percent) / scale)).withColumn("rest", F.col(percent) % scale)
     sums = df.groupBy(job).agg(F.sum(percent).alias("all"), F.greatest(F.lit(0), F.lit(full) - F.sum("floor_steps")).alias("short"), F.count("*").alias("n"))
-    df = df.join(sums, job).withColumn("place", F.row_number().over(W.partitionBy(job).orderBy(F.col("rest").desc(), F.col(percent).desc(), F.col(cost).desc(), item)))
-    more = F.expr("short div n") + (F.col("place") <= F.col("short") % F.col("n")).cast("long")
-    return df.withColumn("weight_steps", F.when(F.col("all") == 0, F.lit(0)).otherwise(F.col("floor_steps") + more).cast("long")).drop("floor_steps", "rest", "all", "short", "n", "place")
+    df = _with_first(df.join(sums, job), job, F.struct(-F.col("rest"), -F.col(percent), -F.coalesce(F.col(cost), F.lit(-1)), F.col(item)), F.col("short") % F.col("n"), full)
+    more = F.expr("short div n") + F.col("among").cast("long")
+    return df.withColumn("weight_steps", F.when(F.col("all") == 0, F.lit(0)).otherwise(F.col("floor_steps") + more).cast("long")).drop("floor_steps", "rest", "all", "short", "n", "among")
 
 
 def normalize_on_largest(items: DataFrame, steps: str, dp: int = 2, job: str = "job_id", item: str = "item_id") -> DataFrame:

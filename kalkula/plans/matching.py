@@ -10,9 +10,12 @@ from kalkula.plans.base import query, table
 
 _ACT = "CASE {k} % 6 WHEN 0 THEN 'pekerjaan' WHEN 1 THEN 'pemasangan' WHEN 2 THEN 'galian' WHEN 3 THEN 'pengecatan' WHEN 4 THEN 'pembongkaran' ELSE 'pembuatan' END"
 _MAT = "CASE CAST(floor({k} / 6) AS BIGINT) % 9 WHEN 0 THEN 'beton' WHEN 1 THEN 'besi tulangan' WHEN 2 THEN 'pipa air bersih' WHEN 3 THEN 'cat dinding' WHEN 4 THEN 'keramik lantai' WHEN 5 THEN 'bata ringan' WHEN 6 THEN 'tanah biasa' WHEN 7 THEN 'wastafel' ELSE 'hebel 10 m2' END"
-_CAT = f"SELECT p_partkey AS id, 'AT.' || CAST(p_partkey % 500 AS STRING) || '-' || CAST(p_partkey % 7 AS STRING) AS code, {_ACT} || ' ' || {_MAT} || CASE p_partkey % 5 WHEN 0 THEN ' k225' WHEN 1 THEN ' dengan semen' WHEN 2 THEN ' 1 m3' ELSE '' END AS name FROM {{part}}".replace("{k}", "p_partkey")
-_DESC = f"SELECT o_orderkey AS row_id, CASE o_custkey % 8 WHEN 0 THEN {_MAT} WHEN 1 THEN {_ACT} || ' ' || {_MAT} WHEN 2 THEN 'pasang ' || {_MAT} WHEN 3 THEN 'AT.' || CAST(o_custkey % 500 AS STRING) || '-' || CAST(o_custkey % 7 AS STRING) WHEN 4 THEN 'galiann ' || {_MAT} || ' keras' WHEN 5 THEN 'keramik' WHEN 6 THEN 'lain dan tidak ada' ELSE ' ' END AS description FROM {{orders}}".replace("{k}", "o_custkey")
-_BASE = f"cat AS (SELECT *, name AS plain FROM ({_CAT.format(part='part')})), des AS ({_DESC.format(orders='orders')}), q AS (SELECT DISTINCT lower(trim(description)) AS query FROM des WHERE trim(description) <> '')"
+#: A work of the catalogue for each part, named by what the part has, so that distinct names grow with the table.
+_CAT = f"SELECT p_partkey AS id, 'AT.' || CAST(CAST(floor(p_partkey / 4) AS BIGINT) AS STRING) || '-' || CAST(p_partkey % 4 AS STRING) AS code, {_ACT} || ' ' || {_MAT} || CASE p_partkey % 5 WHEN 0 THEN ' k225' WHEN 1 THEN ' dengan semen' WHEN 2 THEN ' 1 m3' ELSE '' END || ' ' || p_name || ' ' || substr(p_brand, 7) || ' ' || CAST(p_size AS STRING) AS name FROM {{part}}".replace("{k}", "p_partkey")
+#: What orders ask for: the work with the customer's number, as it is named or otherwise, so that distinct descriptions grow with the customers.
+_SAY = f"CASE {{k}} % 8 WHEN 0 THEN {_MAT} || ' ' || p_name WHEN 1 THEN name WHEN 2 THEN 'pasang ' || {_MAT} || ' ' || p_name WHEN 3 THEN code WHEN 4 THEN 'galiann ' || {_MAT} || ' ' || substr(p_brand, 7) WHEN 5 THEN 'keramik' WHEN 6 THEN 'lain dan tidak ada' ELSE ' ' END"
+_DESC = f"SELECT o_orderkey AS row_id, {_SAY} AS description FROM {{orders}} JOIN ({_CAT}) cat ON cat.id = o_custkey JOIN {{part}} ON p_partkey = o_custkey".replace("{k}", "o_custkey")
+_BASE = f"cat AS (SELECT *, name AS plain FROM ({_CAT.format(part='part')})), des AS ({_DESC.format(orders='orders', part='part')}), q AS (SELECT DISTINCT lower(trim(description)) AS query FROM des WHERE trim(description) <> '')"
 _SYN = "syn(word, synonyms) AS (VALUES " + ", ".join(f"('{w}', {s!r})" for w, s in Y.synonym_map().items()) + ")"
 _TECH = lambda w: f"(regexp_matches({w}, '{'|'.join(S.MATERIAL_MARKS)}') OR (length({w}) >= 6 AND {w} NOT IN {S.GENERIC_WORDS}))"
 _WEIGHT = lambda w: f"CASE WHEN {w} IN {S.GENERIC_WORDS} THEN 0.15 WHEN {_TECH(w)} THEN 3.0 WHEN regexp_matches({w}, '{'|'.join(S.ACTION_MARKS)}') THEN 1.0 WHEN length({w}) <= 2 THEN 0.3 ELSE 1.0 END::DOUBLE"
@@ -23,7 +26,7 @@ def names(spark, sf_dir):
 
 
 def descriptions(spark, sf_dir):
-    return spark.sql(_DESC, orders=table(spark, sf_dir, "orders"))
+    return spark.sql(_DESC, orders=table(spark, sf_dir, "orders"), part=table(spark, sf_dir, "part"))
 
 
 def queries(spark, sf_dir):
@@ -41,6 +44,11 @@ def code_variant_lookup(spark, sf_dir):
     return M.code_variant_lookup(queries(spark, sf_dir), names(spark, sf_dir)).select("query_id", "id", "code")
 
 
+@query(f"WITH {_BASE} SELECT DISTINCT query AS query_id, id FROM (SELECT query, unnest([query, replace(query, '-', '.'), replace(query, '.', '-')]) AS v FROM q), cat WHERE contains(upper(code), upper(v))")
+def code_containment(spark, sf_dir):
+    return M.code_variant_lookup(queries(spark, sf_dir), names(spark, sf_dir), contained=True).select("query_id", "id")
+
+
 @query(f"WITH {_BASE} SELECT query AS query_id, id FROM q, cat WHERE starts_with(lower(name), string_split(query, ' ')[1])")
 def prefix_candidates(spark, sf_dir):
     return M.prefix_candidates(queries(spark, sf_dir).withColumn("token", F.split("query", " ")[0]), names(spark, sf_dir)).select("query_id", "id")
@@ -151,13 +159,14 @@ def best_match(spark, sf_dir):
     return _matched(spark, sf_dir)
 
 
-_EXACT = "m AS (SELECT query AS query_id, id, CASE WHEN id % 2 = 0 THEN 1.0 ELSE 0.8 END AS score FROM q JOIN cat ON plain = query OR (query = 'keramik' AND id IN (24, 25, 26)) WHERE id < 300)"
+_EXACT = "m AS (SELECT query AS query_id, id, CASE WHEN plain = query THEN 1.0 ELSE 0.8 END AS score FROM q JOIN cat ON starts_with(plain, query))"
 _STATUS = "st AS (SELECT des.*, CASE WHEN row_id % 10 = 0 OR trim(description) = '' THEN 'skipped' WHEN row_id % 11 = 0 THEN 'found' WHEN k.n IS NULL THEN 'not found' WHEN k.n = 1 AND top = 1 THEN 'found' WHEN k.n = 1 THEN 'similar' ELSE 'found ' || k.n || ' similar' END AS status FROM des LEFT JOIN (SELECT query_id, count(*) AS n, max(score) AS top FROM m GROUP BY 1) k ON k.query_id = lower(trim(description)))"
 
 
 def _statuses(spark, sf_dir):
-    cat = names(spark, sf_dir).filter("id < 300").selectExpr("id", "plain as query_id", "case when id % 2 = 0 then 1.0 else 0.8 end as score")
-    matches = queries(spark, sf_dir).select("query_id").join(cat, "query_id").unionByName(cat.filter("id in (24, 25, 26)").withColumn("query_id", F.lit("keramik")))
+    """All descriptions against all names that start with them."""
+    asked = queries(spark, sf_dir)
+    matches = M.prefix_candidates(asked.withColumn("token", F.col("query")), names(spark, sf_dir)).select("query_id", "id", F.when(F.col("name") == F.col("query_id"), 1.0).otherwise(0.8).alias("score"))
     rows = descriptions(spark, sf_dir).withColumn("query_id", F.lower(F.trim("description"))).withColumn("is_section", F.col("row_id") % 10 == 0).withColumn("code", F.when(F.col("row_id") % 11 == 0, "A.1").otherwise("none"))
     return M.match_status(rows, matches)
 

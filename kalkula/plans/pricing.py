@@ -111,25 +111,25 @@ def apply_breakdown_overrides(spark, sf_dir):
 
 _SHOP = "SELECT p_partkey AS id, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' extra' ELSE '' END AS name, p_type AS unit, CAST(round(p_retailprice * 100) AS BIGINT) - p_partkey % 97 AS price, 'shop' || CAST(p_partkey % 4 AS STRING) AS source, 'u' || CAST(p_partkey AS STRING) AS url FROM {part}"
 _BRAND = "SELECT p_name AS material, p_type AS unit, p_brand AS brand, CAST(round(p_retailprice * 100) AS BIGINT) - 5 AS price FROM {part} WHERE p_partkey % 40 = 3"
-_ALT = f"""shop AS ({_SHOP.format(part='part')}), brand AS ({_BRAND.format(part='part')}), probe AS (SELECT DISTINCT name, unit, price_cents AS price FROM catalog WHERE id % 20 = 7),
+_ALT = f"""shop AS ({_SHOP.format(part='part')}), brand AS ({_BRAND.format(part='part')}), probe AS (SELECT DISTINCT name, unit, price_cents AS price FROM catalog),
 alt AS (SELECT p.*, s.name AS offer, s.price AS offer_price, s.source, s.url FROM probe p JOIN shop s ON lower(s.unit) = p.unit AND s.price < p.price AND len([w for w in [w for w in string_split(lower(p.name), ' ') if length(w) > 2][1:3] if NOT contains(lower(s.name), w)]) = 0
  UNION ALL SELECT p.*, b.brand, b.price, 'brand', '' FROM probe p JOIN brand b ON lower(b.unit) = p.unit AND lower(b.material) = lower(p.name) AND b.price < p.price)"""
 
 
-def _alternatives(spark, sf_dir, limit=5):
+def _sides(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    probes = catalog(spark, sf_dir).filter("id % 20 = 7").withColumnRenamed("price_cents", "price")
-    return B.cheaper_alternatives(probes, spark.sql(_SHOP, part=part), spark.sql(_BRAND, part=part), limit)
+    return catalog(spark, sf_dir).withColumnRenamed("price_cents", "price"), spark.sql(_SHOP, part=part), spark.sql(_BRAND, part=part)
 
 
 @query(f"WITH {_ALT} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, unit, price ORDER BY offer_price, source, offer, url) AS rank FROM alt) WHERE rank <= 5")
 def cheaper_alternatives(spark, sf_dir):
-    return _alternatives(spark, sf_dir)
+    return B.cheaper_alternatives(*_sides(spark, sf_dir))
 
 
 @query(f"WITH {_ALT} SELECT name, unit, price, offer, offer_price FROM alt WHERE source = 'brand'")
 def brand_alternatives(spark, sf_dir):
-    return _alternatives(spark, sf_dir, None).filter("source = 'brand'").select("name", "unit", "price", "offer", "offer_price")
+    probes, _, brands = _sides(spark, sf_dir)
+    return B.brand_alternatives(probes, brands).select("name", "unit", "price", "offer", "offer_price")
 
 
 _OPT = f"""{_LINES}, {_ALT}, best AS (SELECT name, unit, price, min(offer_price) AS best FROM alt GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY line_total DESC, component_id) AS place FROM lines WHERE kind = 'material' AND unit_price IS NOT NULL AND amount <> 0),
@@ -138,7 +138,7 @@ opt AS (SELECT l.code, l.before, coalesce(saving, 0) AS saving, coalesce(swaps,
 
 
 def _optimized(spark, sf_dir):
-    return B.optimize_materials(_lines(spark, sf_dir), _alternatives(spark, sf_dir, None))
+    return B.optimize_materials(_lines(spark, sf_dir), B.cheaper_alternatives(*_sides(spark, sf_dir), limit=1))
 
 
 @query(f"WITH {_OPT} SELECT * FROM opt")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kalkula.operators import pdf as D
 from kalkula.operators import sheets as H
 from kalkula.plans.base import items, query
+from kalkula.sources.shared import cut_lineage
 
 _NO = "CASE part_id % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'II.' WHEN 2 THEN '1' WHEN 3 THEN ' 3) ' WHEN 4 THEN '' WHEN 5 THEN 'III' END"
 _TXT = "CASE supp_id % 6 WHEN 0 THEN 'PEKERJAAN TANAH' WHEN 1 THEN ' ' ELSE 'Work ' || CAST(part_id AS STRING) END"
@@ -91,7 +92,8 @@ UNION ALL SELECT job_id, CAST(1 + item_id % 2 AS INT), 255, 40 + 20 * (item_id %
 
 
 def fragments(spark, sf_dir):
-    return spark.sql(_FRAG, items=items(spark, sf_dir))
+    """Written down, since headers, bounds and body all read them."""
+    return cut_lineage(spark.sql(_FRAG, items=cut_lineage(items(spark, sf_dir))))
 
 
 def _bounds(frags):
@@ -118,6 +120,23 @@ def column_boundaries(spark, sf_dir):
     return _bounds(fragments(spark, sf_dir)).select("doc_id", "page", "key", "low", "high")
 
 
+@query("""WITH b(key, x) AS (VALUES ('no', 10.0), ('uraian', 120.0), ('volume', 260.0), ('satuan', 360.0)), d AS (SELECT DISTINCT job_id FROM items WHERE job_id % 3 = 0), r AS (SELECT DISTINCT job_id, 20.0 + 60 * line AS x FROM items)
+SELECT job_id AS doc_id, key, (SELECT max(r.x) FROM r WHERE r.job_id = d.job_id AND r.x <= b.x)::DOUBLE AS low, (SELECT min(r.x) FROM r WHERE r.job_id = d.job_id AND r.x > b.x)::DOUBLE AS high FROM d, b
+UNION ALL SELECT job_id, key, low::DOUBLE, high::DOUBLE FROM (SELECT DISTINCT job_id FROM items WHERE job_id % 3 <> 0), (VALUES ('no', NULL, 65.0), ('uraian', 65.0, 190.0), ('volume', 190.0, 310.0), ('satuan', 310.0, NULL)) m(key, low, high)""")
+def rule_boundaries(spark, sf_dir):
+    frags = fragments(spark, sf_dir)
+    rules = items(spark, sf_dir).filter("job_id % 3 = 0").selectExpr("job_id as doc_id", "1 as page", "cast(20 + 60 * line as double) as x")
+    return D.column_boundaries(D.map_pdf_headers(frags, D.find_pdf_header(frags)), rules).select("doc_id", "key", "low", "high")
+
+
+@query("""WITH t AS (SELECT item_id, CASE line WHEN 1 THEN 'abc' WHEN 2 THEN '' ELSE quantity::VARCHAR END AS volume, CASE part_id % 3 WHEN 0 THEN 'M2' WHEN 1 THEN 'xyz' ELSE '' END AS unit FROM items)
+SELECT item_id, CASE WHEN lower(unit) <> 'm2' AND NOT regexp_matches(volume, '[0-9]') THEN '0' ELSE volume END AS volume, CASE WHEN lower(unit) <> 'm2' AND NOT regexp_matches(volume, '[0-9]') THEN '' ELSE unit END AS unit FROM t""")
+def reset_implausible(spark, sf_dir):
+    df = items(spark, sf_dir).selectExpr("item_id", "map('volume', case line when 1 then 'abc' when 2 then '' else cast(quantity as string) end, 'satuan', case part_id % 3 when 0 then 'M2' when 1 then 'xyz' else '' end, 'no', '1') as values")
+    values = D.reset_implausible(F.col("values"))
+    return df.select("item_id", values["volume"].alias("volume"), values["satuan"].alias("unit"))
+
+
 @query(f"WITH {_BND}, p AS (SELECT DISTINCT job_id AS doc_id, (1 + item_id % 2)::INT AS page FROM items UNION SELECT job_id, 1 FROM items) SELECT doc_id, page, key, low::DOUBLE AS low, CASE WHEN page = 1 THEN 50.0 END::DOUBLE AS header_y FROM p, bnd")
 def carry_header(spark, sf_dir):
     frags = fragments(spark, sf_dir)

@@ -4,9 +4,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from kalkula.operators import sheets as H
 from kalkula.operators.weights import job_totals, largest_remainder
 from kalkula.plans.base import items, query, table
-from kalkula.plans.sheets import _CARRY, cells
+from kalkula.plans.sheets import _CARRY, _ROWS, cells
 from kalkula.sources import catalogs as S
 from kalkula.sources.shared import cut_lineage
 from kalkula.streaming import feeds
@@ -127,3 +128,26 @@ def stream_ingest_boq(spark, sf_dir):
     stream = spark.readStream.schema(sheets.schema).option("maxFilesPerTrigger", 2).parquet(source)
     feeds.stream_ingest_boq(stream, f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("file_id", "row_idx", "section_letter", "section_roman", "section_type")
+
+
+_WORKS = "works AS (SELECT p_partkey AS id, 'work ' || p_partkey AS query_id FROM part WHERE p_partkey % 3 = 0)"
+
+
+@query(f"""WITH {_CARRY}, {_WORKS}, it AS (SELECT file_id, row_idx, works.id AS match_id, CASE WHEN works.id IS NULL THEN 'not found' ELSE 'found' END AS status, ((CASE WHEN volume > 0 THEN volume ELSE 1 END) * 100025)::DECIMAL(38, 1)::DECIMAL(38, 0)::BIGINT AS cost_cents FROM c LEFT JOIN works ON works.query_id = lower(trim(description)) WHERE NOT is_section),
+wt AS (SELECT *, sum(cost_cents) OVER (PARTITION BY file_id)::BIGINT AS total FROM it), wf AS (SELECT *, cost_cents::HUGEINT * 10000 // total AS floor, cost_cents::HUGEINT * 10000 % total AS rest FROM wt), wk AS (SELECT *, 10000 - sum(floor) OVER (PARTITION BY file_id) AS short, row_number() OVER (PARTITION BY file_id ORDER BY rest DESC, row_idx) AS place FROM wf)
+SELECT file_id, row_idx, match_id, status, cost_cents, (floor + CASE WHEN place <= short THEN 1 ELSE 0 END)::BIGINT AS weight_steps FROM wk""")
+def stream_ingest_jobs(spark, sf_dir):
+    sheets, path = cells(spark, sf_dir), _scratch(spark)
+    source = f"{path}/in"
+    sheets.repartition(4, "file_id").write.parquet(source)
+    works = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").selectExpr("p_partkey as id", "concat('work ', p_partkey) as query_id", "1.0D as score")
+    stream = spark.readStream.schema(sheets.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    feeds.stream_ingest_boq(stream, f"{path}/out", f"{path}/state", lambda q: q.join(works, "query_id")).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("file_id", "row_idx", "match_id", "status", (F.col("cost") * 100).cast("long").alias("cost_cents"), "weight_steps")
+
+
+@query(f"WITH {_ROWS}, e AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY row_idx) AS row_index FROM t) SELECT file_id, row_index, CASE WHEN is_section THEN 'SECTION' ELSE 'ITEM' END AS entry_type, number AS item_number, description, volume FROM e")
+def write_entries(spark, sf_dir):
+    path = _scratch(spark)
+    S.write_entries(H.typed_entries(H.parse_sheet_rows(cells(spark, sf_dir))), path)
+    return spark.read.parquet(path).select("file_id", "row_index", "entry_type", "item_number", "description", F.col("volume").cast("double").alias("volume"))

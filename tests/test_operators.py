@@ -150,3 +150,61 @@ def test_price_match_and_breakdown(spark):
     cat = spark.createDataFrame([("labor", "L1", "l", "h", 100, "b"), ("equipment", "E1", "e", "h", 25, "b"), ("material", "M1", "m", "kg", 25, "StubBrand")], "kind string, id string, name string, unit string, unit_price long, brand string")
     r = B.breakdown_totals(B.breakdown_lines(lines, cat), arrays=True).first()
     assert (r["labor"], r["equipment"], r["materials"], r["overall"]) == (200, 75, 100, 375) and r["material_lines"][0]["component_id"] == "M1"
+
+
+def test_places_of_reference_names_on_many_rows(spark):
+    """Ranges are written down before they are counted and ranked, however partitions are coalesced."""
+    from kalkula.sources.catalogs import read_reference_names
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "2m")
+    try:
+        n = 1_500_000
+        rows = spark.range(n).selectExpr("id as file_order", "concat('A-', id) as code", "concat('name ', id) as name")
+        got = read_reference_names(rows).selectExpr("id", "cast(substr(code, 3) as long) + 1 as want")
+        assert got.agg(F.count("*"), F.countDistinct("id"), F.sum((F.col("id") != F.col("want")).cast("int"))).first() == (n, n, 0)
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_topk_by_brute_force(spark):
+    """Every candidate is scored; pruning, distinct pairs and ranks change nothing."""
+    cat = spark.createDataFrame([*CATALOG, (7, "PT.05.002", "pemasangan pipa air bersih"), (8, "PT.05.003", "pipa"), (9, "GL.01", "galian tanah"), (10, "GL.02", "galian tanah liat di lereng curam sekali untuk pondasi jalan")], "id long, code string, name string").withColumn("plain", F.col("name"))
+    asked = ["galian tanah", "pekerjaan galiann tanah", "pipa", "pipa air", "besi tulangn d10", "bongkar cor", "cat dinding", "pemasangan pipa air bersih", "zzz qqq"]
+    q = spark.createDataFrame([(x, x) for x in asked], "query_id string, query string")
+    found = [(r["query_id"], r["id"], r["plain"]) for r in M.retrieve_candidates(q, cat).collect()]
+    expand = {r["query_id"]: r["e"] for r in q.withColumn("e", Y.expand_query(F.col("query"))).collect()}
+    pairs = spark.createDataFrame(list({(a, c) for a, _, c in found}), "a string, c string").withColumn("p", S.partial_similarity(F.col("a"), F.col("c")))
+    partial = {(r["a"], r["c"]): r["p"] for r in pairs.collect()}
+
+    def top(score, least, k):
+        out = set()
+        for x in asked:
+            own = sorted((-score(x, c), i) for a, i, c in found if a == x and score(x, c) >= least)
+            out |= {(x, i, n + 1, round(-s, 4)) for n, (s, i) in enumerate(own[:k])}
+        return out
+
+    fuzzy = lambda a, c: max(S.indel_ratio(a, c), partial[a, c])
+    sure = lambda a, c: round(max(S.confidence(a, c), S.confidence(expand[a], c)), 4)
+    for least, k in ((0.6, 1), (0.25, 5), (0.8, 3)):
+        assert {(r["query_id"], r["id"], r["rank"], round(r["score"], 4)) for r in M.fuzzy_match_topk(q, cat, least, k).collect()} == top(fuzzy, least, k)
+        assert {(r["query_id"], r["id"], r["rank"], r["score"]) for r in M.confidence_match_topk(q, cat, least, k).collect()} == top(sure, least, k)
+
+
+@given(st.text("abc d", min_size=1, max_size=14), st.text("abc d", min_size=1, max_size=14))
+def test_word_ratio_is_only_cut_below_its_use(a, b):
+    from difflib import SequenceMatcher
+
+    true = SequenceMatcher(None, a, b).ratio()
+    assert S._word_ratio(a, b) == true or true < 0.75
+
+
+def test_near_words_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    ws = sorted({"".join(rng.choice("aeiknrst") for _ in range(rng.randint(6, 11))) for _ in range(150)} | {"galian", "galiann", "gallian", "tulangan", "tulangn", "tulangannya", "aaaaaa", "aaaaaaa", "aaaaab"})
+    df = spark.createDataFrame([(w,) for w in ws], "word string")
+    got = {(r["word"], r["other"]) for r in M.near_words(df, df.withColumnRenamed("word", "other")).collect()}
+    assert got == {(a, b) for a in ws for b in ws if a != b and a[0] == b[0] and S.indel_ratio(a, b) >= 0.8}
