@@ -115,29 +115,53 @@ def near_words(words: DataFrame, others: DataFrame, least: float = 0.8) -> DataF
     return close.withColumn("ratio", S.sequence_similarity("word", "other")).filter(F.col("ratio") >= least).select("word", "other")
 
 
-def _compound_hits(words: DataFrame, names: DataFrame) -> DataFrame:
-    """query_id, word, plain: words that are part of a compound material in their query, and names with all its parts."""
-    parts = words.select("query_id", "word", F.explode(Y.detect_compounds(F.col("query"))).alias("compound")).filter((F.length("word") >= 3) & F.array_contains(F.split("compound", " "), F.col("word")))
+def _compound_hits(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """words, compounds, word, plain: words that are part of a compound material of their set, and names with all its parts."""
+    parts = sets.select("words", "compounds", F.explode("words").alias("word"), F.col("compounds").alias("all")).withColumn("compound", F.explode("all")).drop("all").filter((F.length("word") >= 3) & F.array_contains(F.split("compound", " "), F.col("word")))
     holds = names.select("plain", F.explode(F.array(*map(F.lit, sorted(Y.COMPOUNDS)))).alias("compound")).filter(Y.contains_compound(F.col("plain"), F.col("compound"))).distinct()
-    return parts.join(holds, "compound").select("query_id", "word", "plain").distinct()
+    return parts.join(holds, "compound").select("words", "compounds", "word", "plain").distinct()
+
+
+def _word_sets(queries: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """query_id with its distinct words of the kind and its compounds, and the distinct sets of these: queries of one set find the same names."""
+    words = query_words(queries).filter(kind)
+    keyed = words.groupBy("query_id").agg(F.array_sort(F.collect_set("word")).alias("words"), F.first(Y.detect_compounds(F.col("query"))).alias("compounds"))
+    keyed = cut_lineage(keyed)
+    return keyed, keyed.select("words", "compounds").distinct()
 
 
 def candidates_all_words(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """query_id, plain: names that every significant word hits, outright, by a synonym, nearly, or as part of a compound."""
-    words = query_words(queries).filter("significant")
+    """query_id, plain: names that every significant word hits, outright, by a synonym, nearly, or as part of a compound.
+
+    A set of words takes its names from the word that hits fewest, and looks the others up.
+    """
+    keyed, sets = _word_sets(queries, "significant")
     names = catalog.select("plain").distinct()
-    hits = words.select("query_id", "word").distinct().join(word_hits(words, names).select("word", "plain").distinct(), "word").select("query_id", "word", "plain")
-    hits = hits.unionByName(_compound_hits(words, names)).distinct()
-    need = words.groupBy("query_id").agg(F.countDistinct("word").alias("need"))
-    return hits.groupBy("query_id", "plain").agg(F.count("*").alias("n")).join(need, "query_id").filter("n = need").select("query_id", "plain")
+    words = sets.select(F.explode("words").alias("word"))
+    hits = cut_lineage(word_hits(words, names).select("word", "plain").distinct())
+    compound = cut_lineage(_compound_hits(sets, names))
+    # how many names a word of a set hits at most; a word that hits none leaves the set without names
+    often = hits.groupBy("word").agg(F.count("*").alias("n"))
+    extra = compound.groupBy("words", "compounds", "word").agg(F.count("*").alias("more"))
+    each = sets.select("words", "compounds", F.explode("words").alias("word")).join(often, "word", "left").join(extra, ["words", "compounds", "word"], "left")
+    each = each.groupBy("words", "compounds").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0)), F.col("word"))).alias("word"))
+    found = each.join(hits, "word").unionByName(each.join(compound, ["words", "compounds", "word"])).distinct()
+    others = found.select("words", "compounds", "plain", F.explode_outer(F.array_except("words", F.array("word"))).alias("word"))
+    by_word = others.join(hits.withColumn("hit", F.lit(True)), ["word", "plain"], "left")
+    by_part = by_word.join(compound.withColumn("part", F.lit(True)), ["words", "compounds", "word", "plain"], "left")
+    missed = F.max((F.col("word").isNotNull() & F.col("hit").isNull() & F.col("part").isNull()).cast("int"))
+    left = by_part.groupBy("words", "compounds", "plain").agg(missed.alias("missed")).filter("missed = 0")
+    return keyed.join(left, ["words", "compounds"]).select("query_id", "plain")
 
 
 def candidates_any_material(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """query_id, plain: names that any technical word hits, outright, by a synonym or as part of a compound."""
-    words = query_words(queries).filter("technical")
+    keyed, sets = _word_sets(queries, "technical")
     names = catalog.select("plain").distinct()
-    hits = words.select("query_id", "word").distinct().join(word_hits(words, names, fuzzy=False).select("word", "plain").distinct(), "word").select("query_id", "plain")
-    return hits.unionByName(_compound_hits(words, names).select("query_id", "plain")).distinct()
+    words = sets.select(F.explode("words").alias("word"))
+    hits = word_hits(words, names, fuzzy=False).select("word", "plain").distinct()
+    found = sets.select("words", "compounds", F.explode("words").alias("word")).join(hits, "word").select("words", "compounds", "plain").unionByName(_compound_hits(sets, names).select("words", "compounds", "plain")).distinct()
+    return keyed.join(found, ["words", "compounds"]).select("query_id", "plain")
 
 
 def retrieve_candidates(queries: DataFrame, catalog: DataFrame, small_pool: int = 1000) -> DataFrame:
