@@ -11,7 +11,7 @@ the filter has max_slots slots at most, so it can be sent to every task; nothing
 
 A null text, or one without a letter, is 'und' with score 0, as is everything if nothing was learned. A text with
 letters but no known n-gram gets the language with most training documents. Repeated rows get the same prediction;
-null ids count as neither held out nor learned from; extra columns are ignored; an empty table gives an empty result.
+null ids count as neither held out nor learned from; extra columns of any name are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kalkula.llm.common import cut_lineage, lower_ascii, read_table, slices, text_bytes
+from kalkula.llm.common import cut_lineage, free_name, lower_ascii, read_table, slices, text_bytes
 
 N, HASHES, MIN_SHARE, MAX_SLOTS = 4, 3, 0.003, 1 << 22
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, min_share: float = MIN_SHARE, max_slots: int = MAX_SLOT
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score, the predicted language's share of all languages' hits."""
+    """docs with lang_pred and score (the predicted language's share of all languages' hits) as last columns; names that docs has already get underscores behind."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
@@ -165,11 +165,12 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             scores.append(np.divide(most, total, out=np.zeros(len(most)), where=total > 0))
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["lang_pred", "score"])
 
+    pred, score, both = (free_name(docs, x) for x in ("lang_pred", "score", "lang_guess"))
     found = F.lit(bool(model.languages)) & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     if not model.languages:
-        return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
-    out = docs.withColumn("lang_guess", guess(F.col(text_col)))
-    return out.withColumn("lang_pred", F.when(found, F.col("lang_guess.lang_pred")).otherwise("und")).withColumn("score", F.when(found, F.col("lang_guess.score")).otherwise(0.0)).drop("lang_guess")
+        return docs.withColumn(pred, F.lit("und")).withColumn(score, F.lit(0.0))
+    out = docs.withColumn(both, guess(F.col(text_col)))
+    return out.withColumn(pred, F.when(found, F.col(f"{both}.lang_pred")).otherwise("und")).withColumn(score, F.when(found, F.col(f"{both}.score")).otherwise(0.0)).drop(both)
 
 
 def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kalkula.llm.common import cut_lineage, read_table, word_count
+from kalkula.llm.common import cut_lineage, free_name, read_table, word_count
 
 WEIGHTS, MAX_EPOCHS, BUCKET_ROWS, FAN_IN, SEED = (5, 2, 1), 3, 1000, 64, 20240501
 
@@ -112,15 +112,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it.
+    """The documents themselves, each as often as the mix takes it, with their own columns, whatever their names.
 
     The documents are written down once with their number, and all steps read that table.
     """
-    columns = docs.columns
-    placed = cut_lineage(docs.withColumn("mix_row", F.monotonically_increasing_id()))
-    copies = mix(placed, keep=("mix_row",), **options).filter("copies > 0").select("mix_row", "copies")
+    number, copies, turn = (free_name(docs, f"mix_{x}") for x in ("row", "copies", "turn"))
+    placed = cut_lineage(docs.withColumn(number, F.monotonically_increasing_id()))
+    taken = mix(placed, keep=(number,), **options).filter("copies > 0").select(number, F.col("copies").alias(copies))
     # The few bytes of copies are the side that is built, whatever the size: documents are shuffled once and not sorted.
-    return placed.join(copies.hint("shuffle_hash"), "mix_row").withColumn("mix_row", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
+    return placed.join(taken.hint("shuffle_hash"), number).withColumn(turn, F.explode(F.sequence(F.lit(1), copies))).drop(number, copies, turn)
 
 
 def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

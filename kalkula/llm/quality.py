@@ -5,19 +5,21 @@ failure bit per rule. Policies are versioned masks over these bits: applying one
 alone costs (ablation) reads the ledger's bits only, never the texts again.
 
 A null text has no words and fails as a short one. Repeated rows are judged alike, one by one; ids may be null; extra
-columns are kept as they are (apart from one named like the column that an operator adds, which must be renamed first).
+columns of any name are kept as they are.
 An empty table gives an empty ledger, and its ablation says zero for each rule.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kalkula.llm.common import read_table, slices, strings_at, text_bytes, words
+from kalkula.llm.common import free_name, read_table, slices, strings_at, text_bytes, words
 
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_letters", "n_upper")
@@ -79,8 +81,8 @@ def _measured(texts: pa.Array) -> list[np.ndarray]:
     data, offsets = text_bytes(texts)
     starts, ends, at = words(data, offsets)
     inside = np.zeros(len(data) + 1, np.int8)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
+    inside[starts] += 1
+    inside[ends] -= 1
     in_word = np.cumsum(inside[:-1], dtype=np.int8) > 0
     letter = _LETTER[data]
     letters_before = np.concatenate([[0], np.cumsum(letter)])
@@ -123,26 +125,28 @@ def measures(text: pa.Array) -> pa.Array:
 
 def failure_bits(measured: str, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
     """One bit per rule, set where the document fails it; measured names the struct of measurements."""
+    names = re.compile(r"\b(" + "|".join(MEASURES) + r")\b")
     bits = F.lit(0).cast("long")
     for i, (_, fails) in enumerate(rules):
-        for m in sorted(MEASURES, key=len, reverse=True):
-            fails = fails.replace(m, f"{measured}.{m}") if f".{m}" not in fails else fails
-        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+        bits = bits.bitwiseOR(F.when(F.expr(names.sub(rf"`{measured}`.\1", fails)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
     return bits
 
 
 def rule_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the struct quality_measures and the bits quality_failed."""
-    return docs.withColumn("quality_measures", measures(text_col)).withColumn("quality_failed", failure_bits("quality_measures"))
+    """docs with the struct quality_measures and the bits quality_failed as last columns; names that docs has already get underscores behind."""
+    measured, failed = free_name(docs, "quality_measures"), free_name(docs, "quality_failed")
+    return docs.withColumn(measured, measures(text_col)).withColumn(failed, failure_bits(measured))
 
 
 def passes(mask: int, failed: str = "quality_failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(mask).cast("long")) == 0
 
 
-def apply_policy(docs: DataFrame, policy: str = POLICY) -> DataFrame:
-    """The documents that the policy keeps, with their own columns."""
-    return rule_ledger(docs).filter(passes(POLICIES[policy])).select(*docs.columns)
+def apply_policy(docs: DataFrame, policy: str = POLICY, text_col: str = "text") -> DataFrame:
+    """The documents that the policy keeps, with their own columns, whatever their names."""
+    ledger = rule_ledger(docs, text_col)
+    measured, failed = ledger.columns[-2:]
+    return ledger.filter(passes(POLICIES[policy], failed)).drop(measured, failed)
 
 
 def ablation(ledger: DataFrame, mask: int = POLICIES[POLICY], rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:

@@ -17,7 +17,7 @@ links only, and no connection is missed: the count grows in proportion to the fi
 
 Null text counts as empty; texts without words have fingerprint zero and are linked like others; rows with equal
 fingerprints are always linked; null ids belong to components but never name one (a component of null ids only has
-a null name); repeated rows and extra columns do no harm; an empty table gives an empty result.
+a null name); repeated rows do no harm; extra columns of any name are kept by drop_near_duplicates and ignored otherwise; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kalkula.llm.common import cut_lineage, lower_ascii, read_table, slices, text_bytes, words
+from kalkula.llm.common import cut_lineage, free_name, lower_ascii, read_table, slices, text_bytes, words
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 #: Probe values with more fingerprints than CROWDED aren't paired up by the join. Up to IN_TASK of them are compared in one
@@ -280,11 +280,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) ->
 
     The documents are written down once with their number, and all steps read that table.
     """
-    columns = docs.columns
+    name, number = free_name(docs, "dedup_name"), free_name(docs, "dedup_row")
     named = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
-    placed = cut_lineage(docs.withColumn("dedup_row", named))
-    first = near_duplicates(placed, "dedup_row", **options).filter("id = component_id").select(F.col("id.row").alias("row"))
-    return placed.withColumn("row", F.col("dedup_row.row")).join(first.hint("shuffle_hash"), "row", "left_semi").select(*columns)
+    placed = cut_lineage(docs.withColumn(name, named))
+    first = near_duplicates(placed, name, **options).filter("id = component_id").select(F.col("id.row").alias(number))
+    return placed.withColumn(number, F.col(f"{name}.row")).join(first.hint("shuffle_hash"), number, "left_semi").drop(name, number)
 
 
 def simhash_of(shingle: int):

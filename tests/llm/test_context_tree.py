@@ -103,3 +103,11 @@ def test_real_rows_and_held_out_texts(spark):
 
 def test_empty_table(spark, tmp_path):
     assert C.op3_context_tree(spark, write(spark, tmp_path, [], SCHEMA)).count() == 0
+
+
+def test_deep_contexts_beat_words_on_held_out_texts(spark):
+    """With contexts of seven bytes the sum over held-out texts is over that of the base word model, on 2 MB to learn from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    r = C.score(docs, ~held, depth=7).filter(~F.col("known")).agg(F.sum("code_bits").alias("bits"), F.sum("base").alias("base")).first()
+    assert -r["bits"] * math.log10(2) > r["base"]
