@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 #: ASCII white space; every operator here splits words on runs of it.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows of text are handled in slices of about this many bytes, so that a task's memory doesn't follow the batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows of text in an Arrow batch, unless the session says otherwise: executors hold a few batches at once, on both sides.
 BATCH_ROWS = 1000
 
@@ -158,27 +159,39 @@ def strings_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arr
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once, and the longest range among them; longer ones are hashed one by one.
+_AT_ONCE, _LONGEST = 1 << 18, 1 << 12
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(2 * n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(_AT_ONCE + _LONGEST + 1, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges: differences of one running sum of each byte's number by a power, moved to the same power, and mixed."""
-    up, down = _powers_to(len(data) + 1)
-    running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=running[1:])
-    x = (running[ends] - running[starts]) * down[starts]
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+    """64-bit hashes of byte ranges, given in order, equal for equal bytes. Memory follows the number of ranges, not of bytes.
+
+    They are differences of one running sum of each byte's number by a power, moved to the same power, and mixed.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    edges = np.flatnonzero(np.diff(starts // _AT_ONCE, prepend=-1)) if len(starts) else []
+    for a, b in zip(edges, [*edges[1:], len(starts)], strict=True):
+        first = int(starts[a])
+        begin, length = starts[a:b] - first, ends[a:b] - starts[a:b]
+        short = np.flatnonzero(length <= _LONGEST)
+        if len(short):
+            part = data[first : first + int((begin + length)[short].max())]
+            running = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE[part] * _UP[: len(part)], out=running[1:])
+            out[a + short] = (running[(begin + length)[short]] - running[begin[short]]) * _DOWN[begin[short]]
+        for i in np.flatnonzero(length > _LONGEST).tolist():
+            out[a + i] = xxhash.xxh64_intdigest(data[int(starts[a + i]) : int(ends[a + i])].tobytes())
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
 
 
 def bit_table(numbers: DataFrame, bits: int) -> np.ndarray:
@@ -199,6 +212,36 @@ def in_table(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (table[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (unsigned) with the sum of their counts."""
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    distinct, code = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct.astype(np.uint64), np.bincount(code, np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+
+
+#: What count_lists gives.
+LISTS = "bucket int, keys binary, counts binary"
+
+
+def count_lists(key: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Keys (unsigned) and their counts as a row for each bucket that they fall in."""
+    bucket = (key >> np.uint64(32)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([key[p].tobytes() for p in parts], pa.binary()), pa.array([n[p].tobytes() for p in parts], pa.binary())], ["bucket", "keys", "counts"])
+
+
+def added_up(lists: DataFrame) -> DataFrame:
+    """key (long) and n: the counts of all lists. A bucket has each key once for each task, however often it occurs."""
+
+    def total(group: pa.Table) -> pa.Table:
+        key, n = summed([np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()], [np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist()])
+        return pa.table({"key": pa.array(key.view(np.int64)), "n": pa.array(n)})
+
+    return lists.groupBy("bucket").applyInArrow(total, "key long, n long")
+
+
 #: Bits of the filter that lets rows pass a join by.
 FILTER_BITS = 1 << 23
 

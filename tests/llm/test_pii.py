@@ -92,3 +92,62 @@ def test_names_beside_an_address_mentioned_once(spark):
     by = {r["doc_id"]: r["text"] for r in P.sanitise(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert "Kowalczyk" not in by[100] and "Kim" not in by[101] and "Kim" not in by[102]
     assert by[0] == "common words here write text about other things and <email> today"
+
+
+def brute_spans(texts):
+    """All spans of each text by the definitions, word by word."""
+    texts = [t or "" for t in texts]
+    lower = lambda t: "".join(c.lower() if c < "\x80" else c for c in t)
+    words = lambda t: [(m.start(), m.end(), lower(m[0])) for m in re.finditer(r"[A-Za-z\x80-\U0010ffff]+", t)]
+    base = []
+    for t in texts:
+        names = lambda k, pattern, good=lambda m: True: [(m.start(), k, m.end()) for m in re.finditer(pattern, t) if good(m)]  # noqa: B023, E731
+        digits = lambda m: re.sub("[^0-9]", "", m[0])
+        base.append(sorted(
+            names(0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+            + names(1, r"[0-9]+(?:\.[0-9]+){3}", lambda m: all(int(x) <= 255 for x in m[0].split(".")))
+            + names(2, r"[0-9](?:[ -]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m)))
+            + names(3, r"\+[0-9][ ().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15)
+        ))
+    contexts = set()
+    for t, spans in zip(texts, base, strict=True):
+        free = [w for w in words("".join(" " if any(a <= i < b for a, _, b in spans) else c for i, c in enumerate(t)))]
+        for a, kind, b in spans:
+            before, after = [w for w in free if w[0] < a][-P.WINDOW :], [w for w in free if w[0] >= a][: P.WINDOW]
+            contexts.add((f"{kind}:{lower(t[a:b])}", tuple(w[2] for w in before + after)))
+    n, held = len(texts), [{w[2] for w in words(t)} for t in texts]
+    terms = set()
+    for entity in {e for e, _ in contexts}:
+        own = [c for e, c in contexts if e == entity]
+        for term in {w for c in own for w in c if len(w) >= P.MIN_LETTERS}:
+            n_et, n_t = sum(term in c for c in own), sum(term in h for h in held)
+            share, rate, content = n_et / len(own), min(1.0, max(n_t, n_et) / n), math.log2(n / len(own))
+            kl = share * math.log(share / min(rate, share)) + ((1 - share) * math.log((1 - share) / (1 - min(rate, share))) if share < 1 else 0)
+            if content > 0 and math.log2(share / (max(n_t, n_et) / n)) / content >= P.THRESHOLD and len(own) * kl >= -math.log(P.CHANCE):
+                terms.add(term)
+    out = []
+    for t, spans in zip(texts, base, strict=True):
+        more = [(a, 4, b) for a, b, w in words(t) if w in terms and not any(x < b and a < y for x, _, y in spans)]
+        out.append(",".join(f"{P.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans + more)))
+    return out
+
+
+def test_whole_query_by_brute_force(spark, tmp_path):
+    names = [(400, "écrire à Kowalczyk, rare@home.org today", "fr", "a", 1, "x"), (401, "KOWALCZYK once more\nsee +1 (499) 555-6503 or Zürich", "en", "a", 1, "x"), (402, "ask Kim or two@home.org here", "en", "a", 1, "x")]
+    rows = [*corpus(), *MORE, *[r for r in ROWS if r[0] != 5], *names, names[0]]
+    got = sorted(((r["doc_id"], r["spans"]) for r in P.op10_information_content(spark, write(spark, tmp_path, rows)).collect()), key=str)
+    expected = sorted(((r[0], s) for r, s in zip(rows, brute_spans([r[1] for r in rows]), strict=True)), key=str)
+    assert got == expected and sum("term:" in s for _, s in got) > 3
+
+
+def test_names_of_extra_columns(spark):
+    from pyspark.sql import functions as F
+
+    extra = ["pii_blob", "PII_May", "pii_spans", "pii_text", "pii_base", "term_spans", "blob", "span", "term", "hash", "mentions", "row"]
+    docs = spark.createDataFrame(corpus() + MORE, SCHEMA).select("*", *(F.lit(f"my {c}").alias(c) for c in extra))
+    out = P.sanitise(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert len(rows) == docs.count() and all(r[c] == f"my {c}" for r in rows for c in extra)
+    plain = {(r["doc_id"], r["text"]) for r in P.sanitise(spark.createDataFrame(corpus() + MORE, SCHEMA)).collect()}
+    assert {(r["doc_id"], r["text"]) for r in rows} == plain
