@@ -1,13 +1,18 @@
-"""License scans: an exact set-similarity join of license templates against the blocks (lines) of texts.
+"""License scans: an exact set-similarity join of license templates against the blocks of texts.
 
-Tokens are lower-cased words. All tokens are put in one global order, rarest in the corpus first. A template of n distinct
-tokens is contained in a block if the block holds ceil(threshold * n) of them or more; then one of the template's first
-n - ceil(threshold * n) + 1 tokens in the order must be in the block (prefix filter), the block must have that many
-tokens at all (length filter), and from the first shared token on both sides must still have enough tokens left
-(positional filter). What passes is verified by the intersection itself, so no block that meets the threshold is missed.
+Tokens are lower-cased words, and line breaks are blanks like others, so that a wrapped notice is found like one line. For a
+template of m words the blocks of a text are its windows of 2 m words, each m words after the one before; whatever
+stands in m words one after the other is wholly in one of them. A template of n distinct tokens is contained in a block that
+holds ceil(threshold * n) of them or more.
 
-Templates are a short list given by the caller; their tokens' frequencies (a row per template token) are counted over
-the whole corpus. The blocks meet the templates inside each row, in built-in functions only: texts are never shuffled.
+All tokens are put in one global order, rarest in the corpus first. A block that contains a template holds one of the
+template's first n - ceil(threshold * n) + 1 tokens (prefix filter): an inverted index maps these tokens to their templates,
+and only where a text has such a token are blocks looked at. A block needs so many words at all (length filter), and from the
+first shared token on the template must have enough tokens left (positional filter); these are then counted in the block. Each
+block is found from its first shared token in the order, so the count is its whole overlap and no block is missed.
+
+Templates are a list given by the caller; index and token frequencies (a row per template token, counted over the whole
+corpus) follow its length alone. Built-in functions only; texts are never shuffled.
 
 A null text counts as empty and has no words; empty texts have no labels; repeated rows get the same labels each; ids may
 be null; extra columns are ignored; an empty table gives an empty result.
@@ -21,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kalkula.llm.common import read_table
+from kalkula.llm.sketches import once
 
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 TEMPLATES = (
@@ -77,50 +83,47 @@ def token_order(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLA
     return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
 
 
-def contained(text: Column, padded: Column, order: list[str], templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> tuple[Column, Column]:
-    """The lines with a prefix token, and from these (as license_blocks) label and greatest share of each template that reaches the threshold."""
+def inverted_index(order: list[str], templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[str], Column]:
+    """The prefix tokens, and a map from each to its templates: number, label, words, distinct tokens, tokens needed, and the tokens from this one on."""
     rank = {w: i for i, w in enumerate(order)}
-    sides = []
-    for label, t in templates:
-        tokens = sorted(set(t.split()), key=rank.__getitem__)
+    entries: dict[str, list[Column]] = {}
+    for t, (label, text) in enumerate(templates):
+        tokens = sorted(set(text.split()), key=rank.__getitem__)
         least = math.ceil(threshold * len(tokens) - 1e-9)
-        sides.append((label, tokens, least, tokens[: len(tokens) - least + 1]))
-    prefixes = sorted({w for s in sides for w in s[3]})
-    # a line as its template tokens in the global order: other words can't be shared with any template
-    whole_order = F.array(*map(F.lit, order))
-    line_tokens = lambda line: F.array_intersect(whole_order, F.split(normal(line), " "))  # noqa: E731  keeps the order of its first side
-    blocks = F.filter(F.transform(F.split(text, "\n"), line_tokens), lambda b: F.arrays_overlap(b, F.array(*map(F.lit, prefixes))))
-
-    def share(block: Column, side: tuple) -> Column:
-        _, tokens, least, prefix = side
-        own = F.array(*map(F.lit, tokens))
-        verified = F.size(F.array_intersect(block, own))
-        conditions = F.size(block) >= least
-        ways = F.lit(0)
-        for i, w in reversed(list(enumerate(prefix))):  # the first shared token decides
-            left = F.least(F.lit(len(tokens) - i), F.size(block) - F.array_position(block, w).cast("int") + 1)
-            ways = F.when(F.array_contains(block, w), F.when(left >= least, verified).otherwise(0)).otherwise(ways)
-        return F.when(conditions, F.when(ways >= least, ways / F.lit(len(tokens))).otherwise(0.0)).otherwise(0.0)
-
-    best = lambda side: F.coalesce(F.array_max(F.transform("license_blocks", lambda b: share(b, side))), F.lit(0.0))
-    found = F.array(*(F.struct(F.lit(s[0]).alias("label"), best(s).alias("share")) for s in sides))
-    may = F.lit(False)
-    for w in prefixes:
-        may = may | F.contains(padded, F.lit(f" {w} "))
-    return F.when(may, blocks).otherwise(F.array().cast("array<array<string>>")), F.filter(found, lambda f: f["share"] > 0)
+        for place, w in enumerate(tokens[: len(tokens) - least + 1]):
+            entries.setdefault(w, []).append(F.struct(
+                F.lit(t).alias("t"), F.lit(label).alias("label"), F.lit(len(text.split())).alias("m"), F.lit(len(tokens)).alias("n"), F.lit(least).alias("least"), F.array(*map(F.lit, tokens[place:])).alias("rest"),
+            ))
+    return sorted(entries), F.create_map(*(x for w in sorted(entries) for x in (F.lit(w), F.array(*entries[w]))))
+
+
+def contained(words: Column, prefixes: list[str], index: Column) -> Column:
+    """t, label and share of each template for each block that contains it."""
+    hits = lambda ws: F.array_compact(F.transform(ws, lambda w, i: F.when(w.isin(*prefixes), F.struct(w.alias("word"), i.alias("at")))))
+
+    def of_block(ws: Column, e: Column, block: Column) -> Column:
+        mine = F.slice(ws, block * e["m"] + 1, 2 * e["m"])
+        shared = F.when((F.size(mine) >= e["least"]) & (F.size(e["rest"]) >= e["least"]), F.size(F.array_intersect(e["rest"], mine))).otherwise(0)
+        return F.struct(e["t"].alias("t"), e["label"].alias("label"), F.when(shared >= e["least"], shared / e["n"]).otherwise(0.0).alias("share"))
+
+    def of_hit(ws: Column, hit: Column) -> Column:
+        block = lambda e: F.floor(hit["at"] / e["m"]).cast("int")
+        return F.flatten(F.transform(index[hit["word"]], lambda e: F.transform(F.array(block(e), F.greatest(block(e) - 1, F.lit(0))), lambda k: of_block(ws, e, k))))
+
+    found = lambda ws: F.array_distinct(F.filter(F.flatten(F.transform(hits(ws), lambda h: of_hit(ws, h))), lambda f: f["share"] > 0))
+    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, prefixes))), once(words, found)).otherwise(F.array().cast("array<struct<t:int,label:string,share:double>>"))
 
 
 def license_scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, places (label and word number of each exact phrase), contained (label and share of each template found)."""
-    order = token_order(docs, templates, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("padded", normal(F.col("text")))
+    """id, n_words, places (label and word number of each exact phrase), contained (label and greatest share of each template found)."""
+    prefixes, index = inverted_index(token_order(docs, templates, text_col), templates, threshold)
+    df = docs.select(F.col(id_col).alias("id"), normal(F.col(text_col)).alias("padded"))
     labelled = lambda label, at: F.transform(at, lambda i: F.struct(F.lit(label).alias("label"), i.alias("word")))
-    blocks, found = contained(F.col("text"), F.col("padded"), order, templates, threshold)
     exact = F.flatten(F.array(*(labelled(label, places(F.col("padded"), p)) for label, p in phrases)))
-    df = df.select("id", n_words(F.col("padded")).alias("n_words"), exact.alias("places"), blocks.alias("license_blocks"))
-    none = F.array().cast("array<struct<label:string,share:double>>")
-    return df.select("id", "n_words", "places", F.when(F.size("license_blocks") > 0, found).otherwise(none).alias("contained"))
+    df = df.select("id", n_words(F.col("padded")).alias("n_words"), exact.alias("places"), contained(words_of(F.col("padded")), prefixes, index).alias("blocks"))
+    most = lambda t: F.array_max(F.transform(F.filter("blocks", lambda b: b["t"] == t), lambda b: F.struct(b["share"].alias("share"), b["label"].alias("label"))))
+    best = F.transform(F.array_distinct(F.transform("blocks", lambda b: b["t"])), most)
+    return df.select("id", "n_words", "places", F.transform(best, lambda b: F.struct(b["label"].alias("label"), b["share"].alias("share"))).alias("contained"))
 
 
 def op1_license_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,20 +138,19 @@ def op1_license_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same by plain DuckDB SQL: every line against every template, without any filter."""
+    """The same by plain DuckDB SQL: every block against every template, without any filter."""
     spaced = lambda x: f"' ' || trim(regexp_replace(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) || ' '"
     phrases = ", ".join(f"('{label}', '{p}')" for label, p in PHRASES)
-    templates = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))!r}, {math.ceil(THRESHOLD * len(set(t.split())) - 1e-9)})" for i, (label, t) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({i}, '{label}', {len(t.split())}, {sorted(set(t.split()))!r}, {math.ceil(THRESHOLD * len(set(t.split())) - 1e-9)})" for i, (label, t) in enumerate(TEMPLATES))
     return f"""
 WITH phrase(label, p) AS (VALUES {phrases}),
-template(t, label, tokens, least) AS (VALUES {templates}),
+template(t, label, m, tokens, least) AS (VALUES {templates}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, {spaced("text")} AS padded FROM documents),
 w AS (SELECT r, doc_id, text, [x for x in string_split(padded, ' ') if x <> ''] AS words FROM d),
 place AS (SELECT r, label, i - 1 AS word FROM w, phrase, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS i) WHERE words[i : i + len(string_split(p, ' ')) - 1] = string_split(p, ' ')),
 base AS (SELECT r, count(*) AS n, min(word) AS a, max(word) AS z, list(DISTINCT label) AS labels FROM place GROUP BY r),
-line AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM d),
-block AS (SELECT r, string_split({spaced("x")}, ' ') AS b FROM line),
-hit AS (SELECT r, label, len(list_intersect(tokens, b)) / len(tokens)::DOUBLE AS share FROM block, template WHERE len(list_intersect(tokens, b)) >= least),
+block AS (SELECT r, label, tokens, least, words[s + 1 : s + 2 * m] AS b FROM w, template, LATERAL (SELECT unnest(range(0, len(words), m)) AS s)),
+hit AS (SELECT r, label, len(list_intersect(tokens, b)) / len(tokens)::DOUBLE AS share FROM block WHERE len(list_intersect(tokens, b)) >= least),
 more AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM hit GROUP BY r)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,

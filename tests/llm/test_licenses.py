@@ -14,7 +14,13 @@ MORE = [
     (53, "Redistribution and use in source and binary forms, with or without modification", "en", "a", 1, "x"),
     (54, "cc by nK cc by nK; mİt license\nGNU Lesser General Public License", "en", "a", 1, "x"),
     (55, "public license general gnu", "en", "a", 1, "x"),
-]
+    *((70 + i, f"{before}\n{notice}\n and more words after it", "en", "a", 1, "x") for i, (before, notice) in enumerate((b, n) for b in ("", "seven words of the text stand before") for n in (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the",
+        "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided",
+    ))),
+]
 
 
 def brute(row):
@@ -24,10 +30,10 @@ def brute(row):
     ws = split(text)
     at = sorted((i, label) for label, p in PHRASES for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split())
     more, share = set(), 0.0
-    for line in text.split("\n"):
-        have = set(split(line))
-        for label, t in TEMPLATES:
-            own = set(t.split())
+    for label, t in TEMPLATES:
+        own, m = set(t.split()), len(t.split())
+        for start in range(0, len(ws), m):
+            have = set(ws[start : start + 2 * m])
             if len(own & have) >= math.ceil(THRESHOLD * len(own) - 1e-9):
                 more.add(label)
                 share = max(share, len(own & have) / len(own))
@@ -46,6 +52,21 @@ def test_awkward_rows(spark, tmp_path):
         assert brute(r) in by[r[0]], r[0]
 
 
+def test_wrapped_notices(spark, tmp_path):
+    got = {r["doc_id"]: r["labels"] for r in op1_license_setjoin(spark, write(spark, tmp_path, MORE)).collect()}
+    assert [got[70 + i] for i in range(8)] == ["mit", "apache-2", "bsd", "isc"] * 2
+
+
+def test_many_templates(spark, tmp_path):
+    """Templates are data of the index, not expressions each."""
+    from kalkula.llm.licenses import license_scan
+
+    templates = tuple((f"label{i}", " ".join(f"w{i}x{j}" for j in range(12))) for i in range(300))
+    rows = [(i, "some words first " + " ".join(t.split()[:10]) + " and others", "en", "a", 1, "x") for i, (_, t) in enumerate(templates)]
+    found = license_scan(spark.createDataFrame(rows, SCHEMA), templates=templates).collect()
+    assert {r["id"]: [(c["label"], c["share"]) for c in r["contained"]] for r in found} == {i: [(f"label{i}", 10 / 12)] for i in range(300)}
+
+
 def test_same_as_sql(spark):
     at = "/root/testdata/sf0.01/documents.parquet"
     db = duckdb.connect()
