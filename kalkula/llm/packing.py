@@ -29,11 +29,11 @@ from kalkula.llm.common import cut_lineage, lower_ascii, read_table, runs, slice
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers; when there are more, the half looked up least often makes room.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Units that the tokenizer surely takes as one: Latin letters up to U+00FF, one digit, or printable ASCII without apostrophe.
 _SINGLE = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 #: Such units that are coded in one call, and bytes of text whose distinct units are looked up together.
-CALL_UNITS, TEXT_BYTES = 4000, 4 << 20
+CALL_UNITS, TEXT_BYTES = 4000, 1 << 20
 
 # 0 white space, 1 letters and all bytes beyond ASCII, 2 digits, 3 other ASCII
 _KIND = np.full(256, 3, np.uint8)
