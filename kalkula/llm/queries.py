@@ -1,6 +1,7 @@
 """Queries of the text operators, and SQL for those that SQL can express."""
 
 from kalkula.llm.context_tree import op3_context_tree
+from kalkula.llm.divergence import OP11_SQL, op11_single_pass_index
 from kalkula.llm.language import op2_language_bitmask
 from kalkula.llm.licenses import OP1_SQL, op1_license_setjoin
 from kalkula.llm.mixing import op5_pivotal_mix
@@ -11,5 +12,5 @@ from kalkula.llm.secrets import op6_secret_ledger
 from kalkula.llm.simhash import op7_simhash_pigeonhole
 from kalkula.llm.sketches import op8_bottom_k
 
-QUERIES = {f.__name__: f for f in (op1_license_setjoin, op2_language_bitmask, op3_context_tree, op4_rule_ledger, op5_pivotal_mix, op6_secret_ledger, op7_simhash_pigeonhole, op8_bottom_k, op9_best_fit_packing, op10_information_content)}
-ORACLE_SQL: dict[str, str] = {"op1_license_setjoin": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_license_setjoin, op2_language_bitmask, op3_context_tree, op4_rule_ledger, op5_pivotal_mix, op6_secret_ledger, op7_simhash_pigeonhole, op8_bottom_k, op9_best_fit_packing, op10_information_content, op11_single_pass_index)}
+ORACLE_SQL: dict[str, str] = {"op1_license_setjoin": OP1_SQL, "op11_single_pass_index": OP11_SQL}
