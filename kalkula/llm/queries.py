@@ -12,6 +12,7 @@ from kalkula.llm.secrets import op6_secret_ledger
 from kalkula.llm.simhash import op7_simhash_pigeonhole
 from kalkula.llm.sketches import op8_bottom_k
 from kalkula.llm.slack import op13_minimum_bin_slack
+from kalkula.llm.turn_trie import OP12_SQL, op12_adaptive_radix
 
-QUERIES = {f.__name__: f for f in (op1_license_setjoin, op2_language_bitmask, op3_context_tree, op4_rule_ledger, op5_pivotal_mix, op6_secret_ledger, op7_simhash_pigeonhole, op8_bottom_k, op9_best_fit_packing, op10_information_content, op11_single_pass_index, op13_minimum_bin_slack)}
-ORACLE_SQL: dict[str, str] = {"op1_license_setjoin": OP1_SQL, "op11_single_pass_index": OP11_SQL}
+QUERIES = {f.__name__: f for f in (op1_license_setjoin, op2_language_bitmask, op3_context_tree, op4_rule_ledger, op5_pivotal_mix, op6_secret_ledger, op7_simhash_pigeonhole, op8_bottom_k, op9_best_fit_packing, op10_information_content, op11_single_pass_index, op12_adaptive_radix, op13_minimum_bin_slack)}
+ORACLE_SQL: dict[str, str] = {"op1_license_setjoin": OP1_SQL, "op11_single_pass_index": OP11_SQL, "op12_adaptive_radix": OP12_SQL}
