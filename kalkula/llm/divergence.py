@@ -34,13 +34,19 @@ from kalkula.llm.common import cut_lineage, lower_ascii, read_table, runs, slice
 LEAST_DOCS, TOP_TERMS = 3, 200
 #: A block is spilled at so many postings, or so many bytes of distinct terms.
 BLOCK_POSTINGS, BLOCK_BYTES = 1 << 20, 1 << 25
-#: Postings in a chunk of a run, and pairs of postings that are computed at once.
-CHUNK, PAIRS_AT_ONCE = 2048, 1 << 18
+#: Postings in a chunk of a run, postings that are merged at once, and pairs of postings that are computed at once.
+CHUNK, POSTINGS_WAITING, PAIRS_AT_ONCE = 1024, 1 << 17, 1 << 18
+#: Chunks that are handed on, or taken up, at once.
+ROWS_AT_ONCE = 32
+#: Bytes of text that are indexed at once.
+TEXT_BYTES = 1 << 21
 #: Sums of pairs of sources that a task holds before it hands them on.
 SUMS_HELD = 1 << 20
 
-RUNS = "shard int, lang string, first binary, terms array<binary>, term_at array<int>, names array<string>, source_at array<int>, counts array<long>, docs array<long>"
+RUNS = "shard int, first binary, terms array<binary>, term_at array<int>, names array<string>, source_at array<int>, counts array<long>, docs array<long>"
 FREQUENCIES = "term_id long, lang string, term string, total long, sources array<string>, counts array<long>"
+#: Between language and term in a sort key; no UTF-8 text has this byte.
+BETWEEN = b"\xff"
 
 _IS_LETTER = np.zeros(256, dtype=bool)
 _IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -54,7 +60,7 @@ def _reduced(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, and for each of sums its total by key."""
     if not len(key):
         return key, *sums
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return key[at], *(np.add.reduceat(s[order], at) for s in sums)
@@ -83,7 +89,9 @@ class Block:
                 self.bytes += len(term)
         code = number[coded.indices.to_numpy(zero_copy_only=False)]
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
-        each, n = _reduced(doc << 32 | code, np.ones(len(code), np.int64))  # documents of a slice are few
+        each = np.sort(doc << 32 | code)
+        at = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+        each, n = each[at], np.diff(at, append=len(each))
         key = group[each >> 32] << 32 | each & 0xFFFFFFFF
         self.parts.append(_reduced(key, n, np.ones(len(n), np.int64)))
         self.held += len(self.parts[-1][0])
@@ -111,25 +119,27 @@ class Block:
         terms = terms.take(pa.array(order))
         shard_of = np.array([zlib.crc32(t) % shards for t in terms.to_pylist()], np.int64)
         groups = list(self.groups)
+        langs = sorted({g[0].encode() for g in groups})
+        number = {x: i for i, x in enumerate(langs)}
         group, term = key >> 32, place[key & 0xFFFFFFFF]
-        langs = sorted({g[0] for g in groups})
-        lang = np.array([langs.index(g[0]) for g in groups], np.int64)[group]
+        lang = np.array([number[g[0].encode()] for g in groups], np.int64)[group]
         order = np.lexsort((group, term, lang, shard_of[term]))
-        group, term, lang, n, docs = group[order], term[order], lang[order], n[order], docs[order]
-        section = shard_of[term] * len(langs) + lang
-        cut = np.flatnonzero(np.concatenate([[True], section[1:] != section[:-1]]))
-        edges = np.concatenate([np.arange(a, b, CHUNK) for a, b in zip(cut, [*cut[1:], len(term)], strict=True)])
-        for some in np.array_split(edges, -(-len(edges) // 64)):
-            rows: list[list] = [[] for _ in range(9)]
-            for a in some.tolist():
-                b = min(a + CHUNK, len(term))
-                b = a + int(np.searchsorted(section[a:b], section[a], "right"))
-                here, term_at = np.unique(term[a:b], return_inverse=True)
+        group, n, docs = group[order], n[order], docs[order]
+        word = lang[order] * len(terms) + term[order]
+        shard = shard_of[word % len(terms)]
+        cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        edges = np.concatenate([np.arange(a, b, CHUNK) for a, b in zip(cut, [*cut[1:], len(word)], strict=True)])
+        stops = np.append(edges[1:], len(word))
+        kinds = [pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        for some in np.array_split(np.arange(len(edges)), -(-len(edges) // ROWS_AT_ONCE)):
+            rows: list[list] = [[] for _ in kinds]
+            for a, b in zip(edges[some].tolist(), stops[some].tolist(), strict=True):
+                here, term_at = np.unique(word[a:b], return_inverse=True)
                 names, source_at = np.unique(group[a:b], return_inverse=True)
-                row = (int(shard_of[term[a]]), langs[lang[a]], terms[int(here[0])].as_py(), terms.take(pa.array(here)), term_at, [groups[g][1] for g in names.tolist()], source_at, n[a:b], docs[a:b])
-                for column, value in zip(rows, row, strict=True):
+                written = terms.take(pa.array(here % len(terms))).to_pylist()
+                keys = [langs[x] + BETWEEN + w for x, w in zip((here // len(terms)).tolist(), written, strict=True)]
+                for column, value in zip(rows, (int(shard[a]), keys[0], keys, term_at, [groups[g][1] for g in names.tolist()], source_at, n[a:b], docs[a:b]), strict=True):
                     column.append(value)
-            kinds = [pa.int32(), pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], [c.split()[0] for c in RUNS.split(", ")])
 
 
@@ -138,7 +148,7 @@ def spilled_runs(docs: DataFrame, text_col: str, lang_col: str, source_col: str,
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             block.add(batch.column("text"), batch.column("lang").to_pylist(), batch.column("source").to_pylist())
             if block.full():
                 yield from block.run(shards)
@@ -153,25 +163,24 @@ def spilled_runs(docs: DataFrame, text_col: str, lang_col: str, source_col: str,
 class _Chunk:
     """Postings of one run that aren't merged yet."""
 
-    def __init__(self, row: dict) -> None:
-        self.terms, self.at = row["terms"], 0
-        self.term_at = np.array(row["term_at"], np.int64)
-        self.source = np.array(row["names"], object)[np.array(row["source_at"], np.int64)]
-        self.counts, self.docs = np.array(row["counts"], np.int64), np.array(row["docs"], np.int64)
+    def __init__(self, terms: pa.Array, term_at: np.ndarray, source: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> None:
+        self.terms, self.term_at, self.source, self.counts, self.docs = terms, term_at, source, counts, docs
+        self.at = 0
+
+    def next(self) -> bytes:
+        return self.terms[self.at].as_py()
 
     def take_below(self, bound: bytes | None) -> tuple:
         """Postings of the terms below bound (None: all); those stay that aren't."""
-        stop = len(self.terms)
-        if bound is not None:
-            low = self.at
-            while low < stop:
-                middle = (low + stop) // 2
-                if self.terms[middle] < bound:
-                    low = middle + 1
-                else:
-                    stop = middle
+        low, stop = self.at, len(self.terms)
+        while bound is not None and low < stop:
+            middle = (low + stop) // 2
+            if self.terms[middle].as_py() < bound:
+                low = middle + 1
+            else:
+                stop = middle
         a, b = np.searchsorted(self.term_at, [self.at, stop])
-        terms, first = self.terms[self.at : stop], self.at
+        terms, first = self.terms.slice(self.at, stop - self.at), self.at
         self.at = stop
         return terms, self.term_at[a:b] - first, self.source[a:b], self.counts[a:b], self.docs[a:b]
 
@@ -181,44 +190,53 @@ class _Merge:
 
     def __init__(self, least_docs: int) -> None:
         self.heap: list[tuple[bytes, int, _Chunk]] = []
+        self.names: dict[str, int] = {}
         self.least, self.task, self.chunks, self.rows = least_docs, TaskContext.get().partitionId(), 0, 0
 
-    def push(self, row: dict) -> None:
+    def push(self, first: bytes, row: pa.RecordBatch) -> None:
+        """row: the one row of a chunk."""
+        terms, term_at, names, source_at, counts, docs = (row.column(c).flatten() for c in ("terms", "term_at", "names", "source_at", "counts", "docs"))
+        number = np.array([self.names.setdefault(s, len(self.names)) for s in names.to_pylist()], np.int64)
+        # Copies, so that a chunk doesn't keep the whole batch that it came in.
+        chunk = _Chunk(terms.take(pa.array(np.arange(len(terms)))), term_at.to_numpy().astype(np.int64), number[source_at.to_numpy()], counts.to_numpy().copy(), docs.to_numpy().copy())
         self.chunks += 1
-        heapq.heappush(self.heap, (row["first"], self.chunks, _Chunk(row)))
+        heapq.heappush(self.heap, (first, self.chunks, chunk))
 
-    def below(self, lang: str, bound: bytes | None) -> Iterator[pa.RecordBatch]:
+    def below(self, bound: bytes | None) -> Iterator[pa.RecordBatch]:
         """FREQUENCIES of all terms below bound: no chunk to come has any of them."""
         taken = []
         while self.heap and (bound is None or self.heap[0][0] < bound):
             _, number, chunk = heapq.heappop(self.heap)
             taken.append(chunk.take_below(bound))
             if chunk.at < len(chunk.terms):
-                heapq.heappush(self.heap, (chunk.terms[chunk.at], number, chunk))
+                heapq.heappush(self.heap, (chunk.next(), number, chunk))
         if not taken:
             return
-        terms = sorted({t for part in taken for t in part[0]})
-        number = {t: i for i, t in enumerate(terms)}
-        names = sorted({s for part in taken for s in part[2]})
-        name = {s: i for i, s in enumerate(names)}
-        key = np.concatenate([np.array([number[t] for t in part[0]], np.int64)[part[1]] << 32 | np.array([name[s] for s in part[2]], np.int64) for part in taken])
-        key, counts, docs = _reduced(key, np.concatenate([p[3] for p in taken]), np.concatenate([p[4] for p in taken]))
+        coded = pa.concat_arrays([part[0] for part in taken]).dictionary_encode()
+        terms = coded.dictionary
+        code, at, parts = coded.indices.to_numpy(), 0, []
+        for part in taken:
+            parts.append(code[at : at + len(part[0])].astype(np.int64)[part[1]] << 32 | part[2])
+            at += len(part[0])
+        key, counts, docs = _reduced(np.concatenate(parts), np.concatenate([p[3] for p in taken]), np.concatenate([p[4] for p in taken]))
         edges = np.searchsorted(key >> 32, np.arange(len(terms) + 1))
         kept = np.flatnonzero(np.add.reduceat(docs, edges[:-1]) >= self.least)
         if not len(kept):
             return
-        total = np.add.reduceat(counts, edges[:-1])[kept]
-        stays = np.repeat(np.isin(np.arange(len(terms)), kept), np.diff(edges))
+        stays = np.zeros(len(terms), dtype=bool)
+        stays[kept] = True
+        stays = np.repeat(stays, np.diff(edges))
         ends = np.concatenate([[0], np.cumsum(np.diff(edges)[kept])])
         ids = (self.task << 40) + self.rows + np.arange(len(kept))
         self.rows += len(kept)
+        words = [t.split(BETWEEN) for t in terms.take(pa.array(kept)).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()),
-                pa.array([lang] * len(kept), pa.string()),
-                pa.array([terms[i].decode() for i in kept.tolist()], pa.string()),
-                pa.array(total),
-                _list_of(pa.array(names, pa.string()).take(pa.array(key[stays] & 0xFFFFFFFF)), ends),
+                pa.array([w[0].decode() for w in words], pa.string()),
+                pa.array([w[1].decode() for w in words], pa.string()),
+                pa.array(np.add.reduceat(counts, edges[:-1])[kept]),
+                _list_of(pa.array(list(self.names), pa.string()).take(pa.array(key[stays] & 0xFFFFFFFF)), ends),
                 _list_of(pa.array(counts[stays]), ends),
             ],
             [c.split()[0] for c in FREQUENCIES.split(", ")],
@@ -229,22 +247,21 @@ def merged_runs(chunks: DataFrame, least_docs: int, partitions: int) -> DataFram
     """FREQUENCIES: a row for each term of a language that enough of its documents have, with the sources that have it."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heap, section, waiting = _Merge(least_docs), None, 0
+        heap, shard, waiting = _Merge(least_docs), None, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if (row["shard"], row["lang"]) != section:
-                    if section:
-                        yield from heap.below(section[1], None)
-                    section, waiting = (row["shard"], row["lang"]), 0
-                elif waiting >= 64 * CHUNK:
-                    yield from heap.below(section[1], row["first"])
+            shards, firsts = (batch.column(c).to_pylist() for c in ("shard", "first"))
+            for i, (own, first) in enumerate(zip(shards, firsts, strict=True)):
+                if own != shard:
+                    yield from heap.below(None)
+                    shard, waiting = own, 0
+                elif waiting >= POSTINGS_WAITING:
+                    yield from heap.below(first)
                     waiting = 0
-                heap.push(row)
-                waiting += len(row["counts"])
-        if section:
-            yield from heap.below(section[1], None)
+                heap.push(first, row := batch.slice(i, 1))
+                waiting += len(row.column("counts").flatten())
+        yield from heap.below(None)
 
-    return chunks.repartition(partitions, "shard").sortWithinPartitions("shard", "lang", "first").mapInArrow(merge, FREQUENCIES)
+    return chunks.repartition(partitions, "shard").sortWithinPartitions("shard", "first").mapInArrow(merge, FREQUENCIES)
 
 
 def share(count: str, of: str) -> Column:
@@ -322,7 +339,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     (part `pair`), and which terms it uses more than the language does (part `term`, the top ones)."""
     spark = docs.sparkSession
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select(text_col).rdd.getNumPartitions())
-    terms = cut_lineage(merged_runs(spilled_runs(docs, text_col, lang_col, source_col, 4 * partitions), least_docs, partitions))
+    terms = cut_lineage(merged_runs(spilled_runs(docs, text_col, lang_col, source_col, partitions), least_docs, partitions))
     empty = F.lit("")
     occurring = docs.select(F.coalesce(F.col(lang_col), empty).alias("lang"), F.coalesce(F.col(source_col), empty).alias("source")).distinct()
     by_lang = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
