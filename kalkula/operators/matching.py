@@ -8,13 +8,21 @@ word is compared with the whole catalogue.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kalkula.functions import similarity as S
 from kalkula.functions import synonyms as Y
-from kalkula.functions.text import alnum_code_key, infer_unit, letter_grams, looks_like_code, normalize_unit, units_compatible
+from kalkula.functions.text import alnum_code_key, expand_abbreviations, infer_unit, letter_grams, looks_like_code, normalize_text, normalize_unit, units_compatible
 from kalkula.sources.shared import cut_lineage
 
 
@@ -74,26 +82,15 @@ def exact_name_match(queries: DataFrame, catalog: DataFrame, raw: str = "raw") -
     return _first(found).withColumn("matched_on", F.lit("name"))
 
 
-def query_words(queries: DataFrame) -> DataFrame:
-    """query_id, query, word and what the word is: significant (four letters or more, not generic), technical, head."""
-    words = queries.select("query_id", "query", F.posexplode(S.tokens(F.col("query"))).alias("place", "word"))
-    w = F.col("word")
-    return words.withColumn("significant", (F.length(w) >= 4) & ~w.isin(*S.GENERIC_WORDS)).withColumn("technical", S.is_technical(w))
-
-
-def word_hits(words: DataFrame, names: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """word, plain and how (substring, synonym or fuzzy) for distinct words and distinct normal names."""
-    distinct = cut_lineage(words.select("word").distinct())
-    terms = distinct.select("word", F.col("word").alias("term"), F.lit("substring").alias("how")).unionByName(distinct.select("word", F.explode(Y.synonyms_of(F.col("word"))).alias("term"), F.lit("synonym").alias("how")))
-    terms = cut_lineage(terms)
-    index = names.select("plain").distinct().select("plain", F.explode(letter_grams(F.col("plain"))).alias("gram"))
-    hits = terms.filter(F.length("term") >= 2).withColumn("gram", F.substring("term", 1, 4)).join(index, "gram").filter(F.contains("plain", F.col("term"))).select("word", "plain", "how")
-    one = terms.filter(F.length("term") == 1).withColumn("gram", F.col("term")).join(names.select("plain", F.explode(F.array_distinct(F.split("plain", ""))).alias("gram")).distinct(), "gram").select("word", "plain", "how")
-    hits = hits.unionByName(one)
-    if fuzzy:
-        six = names.select("plain", F.explode(F.array_distinct(S.tokens(F.col("plain")))).alias("other")).filter(F.length("other") >= 6).distinct()
-        near = near_words(distinct.filter(F.length("word") >= 6), six.select("other").distinct())
-        hits = hits.unionByName(near.join(six, "other").select("word", "plain", F.lit("fuzzy").alias("how")))
+def word_hits(words: DataFrame, names: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """word, name and how (substring, synonym or fuzzy) for distinct words and names (a number and plain); near: word and others like it."""
+    terms = cut_lineage(words.select("word", F.explode(F.concat(F.array(F.struct(F.col("word").alias("term"), F.lit("substring").alias("how"))), F.transform(Y.synonyms_of(F.col("word")), lambda s: F.struct(s.alias("term"), F.lit("synonym").alias("how"))))).alias("t")).select("word", "t.*"))
+    index = names.select("name", "plain", F.explode(letter_grams(F.col("plain"))).alias("gram"))
+    hits = terms.filter(F.length("term") >= 2).withColumn("gram", F.substring("term", 1, 4)).join(index, "gram").filter(F.contains("plain", F.col("term"))).select("word", "name", "how")
+    letters = names.select("name", F.explode(F.array_distinct(F.split("plain", ""))).alias("term"))
+    hits = hits.unionByName(terms.filter(F.length("term") == 1).join(letters, "term").select("word", "name", "how"))
+    if near is not None:
+        hits = hits.unionByName(near.join(names.select("name", F.explode(F.array_distinct("words")).alias("other")), "other").select("word", "name", F.lit("fuzzy").alias("how")))
     return hits.distinct()
 
 
@@ -115,81 +112,126 @@ def near_words(words: DataFrame, others: DataFrame, least: float = 0.8) -> DataF
     return close.withColumn("ratio", S.sequence_similarity("word", "other")).filter(F.col("ratio") >= least).select("word", "other")
 
 
-def _compound_hits(sets: DataFrame, names: DataFrame) -> DataFrame:
-    """words, compounds, word, plain: words that are part of a compound material of their set, and names with all its parts."""
-    parts = sets.select("words", "compounds", F.explode("words").alias("word"), F.col("compounds").alias("all")).withColumn("compound", F.explode("all")).drop("all").filter((F.length("word") >= 3) & F.array_contains(F.split("compound", " "), F.col("word")))
-    holds = names.select("plain", F.explode(F.array(*map(F.lit, sorted(Y.COMPOUNDS)))).alias("compound")).filter(Y.contains_compound(F.col("plain"), F.col("compound"))).distinct()
-    return parts.join(holds, "compound").select("words", "compounds", "word", "plain").distinct()
+def _part_of(word: Column, compounds: Column) -> Column:
+    """Those of the compound materials that the word is part of."""
+    return F.filter(compounds, lambda c: (F.length(word) >= 3) & F.array_contains(F.split(c, " "), word))
 
 
-def _word_sets(queries: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """query_id with its distinct words of the kind and its compounds, and the distinct sets of these: queries of one set find the same names."""
-    words = query_words(queries).filter(kind)
-    keyed = words.groupBy("query_id").agg(F.array_sort(F.collect_set("word")).alias("words"), F.first(Y.detect_compounds(F.col("query"))).alias("compounds"))
-    keyed = cut_lineage(keyed)
-    return keyed, keyed.select("words", "compounds").distinct()
+def _holds(plain: Column, word: Column, compounds: Column) -> Column:
+    """Whether a name holds the word, a synonym of it, or all parts of a compound material (of those given) that it is part of."""
+    return F.contains(plain, word) | F.exists(Y.synonyms_of(word), lambda s: F.contains(plain, s)) | F.exists(_part_of(word, compounds), lambda c: Y.contains_compound(plain, c))
 
 
-def candidates_all_words(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """query_id, plain: names that every significant word hits, outright, by a synonym, nearly, or as part of a compound.
+@dataclass(frozen=True)
+class Factors:
+    """Which names each query may be matched with, kept apart: queries have a set of words, words have names.
 
-    A set of words takes its names from the word that hits fewest, and looks the others up.
+    asked: query_id, query, words, significant, technical, compounds, head, first and the key of the set of significant words.
+    names: name (a number), plain and words, distinct. hits: word, name, how. every: set, name: names that all its words hit.
+    Only who needs rows joins them.
     """
-    keyed, sets = _word_sets(queries, "significant")
-    names = catalog.select("plain").distinct()
-    words = sets.select(F.explode("words").alias("word"))
-    hits = cut_lineage(word_hits(words, names).select("word", "plain").distinct())
-    compound = cut_lineage(_compound_hits(sets, names))
-    # how many names a word of a set hits at most; a word that hits none leaves the set without names
-    often = hits.groupBy("word").agg(F.count("*").alias("n"))
-    extra = compound.groupBy("words", "compounds", "word").agg(F.count("*").alias("more"))
-    each = sets.select("words", "compounds", F.explode("words").alias("word")).join(often, "word", "left").join(extra, ["words", "compounds", "word"], "left")
-    each = each.groupBy("words", "compounds").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0)), F.col("word"))).alias("word"))
-    found = each.join(hits, "word").unionByName(each.join(compound, ["words", "compounds", "word"])).distinct()
-    others = found.select("words", "compounds", "plain", F.explode_outer(F.array_except("words", F.array("word"))).alias("word"))
-    by_word = others.join(hits.withColumn("hit", F.lit(True)), ["word", "plain"], "left")
-    by_part = by_word.join(compound.withColumn("part", F.lit(True)), ["words", "compounds", "word", "plain"], "left")
-    missed = F.max((F.col("word").isNotNull() & F.col("hit").isNull() & F.col("part").isNull()).cast("int"))
-    left = by_part.groupBy("words", "compounds", "plain").agg(missed.alias("missed")).filter("missed = 0")
-    return keyed.join(left, ["words", "compounds"]).select("query_id", "plain")
+
+    asked: DataFrame
+    names: DataFrame
+    hits: DataFrame
+    every: DataFrame
+
+    @staticmethod
+    def of(queries: DataFrame, catalog: DataFrame) -> Factors:
+        names = catalog.filter("plain <> ''").select("plain").distinct().withColumn("words", S.tokens(F.col("plain"))).withColumn("name", F.monotonically_increasing_id())
+        names = cut_lineage(names)
+        asked = queries.select("query_id", "query").withColumn("words", S.tokens(F.col("query")))
+        significant = F.filter("words", lambda w: (F.length(w) >= 4) & ~w.isin(*S.GENERIC_WORDS))
+        asked = asked.withColumn("all_significant", significant).withColumn("technical", F.array_distinct(F.filter("words", S.is_technical))).withColumn("compounds", Y.detect_compounds(F.col("query")))
+        asked = asked.select("*", F.array_sort(F.array_distinct("all_significant")).alias("significant"), F.get("all_significant", F.lit(0)).alias("head"), F.get("words", F.lit(0)).alias("first"), F.size("all_significant").alias("n_significant")).drop("all_significant")
+        asked = cut_lineage(asked.withColumn("set", F.concat_ws("|", F.array_join("significant", " "), F.array_join("compounds", ","))))
+        hard = asked.select(F.explode("significant").alias("word")).distinct()
+        six = names.select(F.explode("words").alias("other")).filter(F.length("other") >= 6).distinct()
+        near = cut_lineage(near_words(hard.filter(F.length("word") >= 6), six))
+        words = cut_lineage(asked.select(F.explode(F.array_union("significant", "technical")).alias("word")).distinct())
+        hits = cut_lineage(word_hits(words, names, near))
+        return Factors(asked, names, hits, _all_words(asked, names, hits, near))
+
+
+def _all_words(asked: DataFrame, names: DataFrame, hits: DataFrame, near: DataFrame) -> DataFrame:
+    """set, name: names that every significant word of the set hits. A set takes names from the word that hits fewest and looks the others up."""
+    often = hits.groupBy("word").agg(F.countDistinct("name").alias("n")).join(near.groupBy("word").agg(F.collect_set("other").alias("near")), "word", "left")
+    sets = asked.filter(F.size("significant") > 0).select("set", "significant", "compounds").distinct()
+    each = sets.select("set", "compounds", F.explode("significant").alias("word")).join(often, "word", "left")
+    found = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", F.coalesce("near", F.array().cast("array<string>")).alias("near"))
+    each = each.groupBy("set", "compounds").agg(F.array_sort(F.collect_list(found)).alias("of")).select("set", "compounds", "of", F.col("of")[0]["word"].alias("word"))
+    each = cut_lineage(each)
+    outright = each.join(hits.select("word", "name").distinct(), "word").select("set", "compounds", "of", "name").join(names, "name")
+    parts = each.select("set", "compounds", "of", F.explode(_part_of(F.col("word"), F.col("compounds"))).alias("compound"))
+    whole = names.select("*", F.explode(Y.compound_names()).alias("compound")).filter(Y.contains_compound(F.col("plain"), F.col("compound")))
+    met = outright.unionByName(parts.join(whole, "compound").drop("compound"))
+    hit = lambda w: _holds(F.col("plain"), w["word"], F.col("compounds")) | F.exists(w["near"], lambda x: F.array_contains("words", x))
+    return cut_lineage(met.filter(F.forall("of", hit)).select("set", "name").distinct())
+
+
+def _material(asked: DataFrame, f: Factors) -> DataFrame:
+    """The queries of asked with each name that a technical word of theirs hits outright, by a synonym or as part of a compound."""
+    own = asked.select("query_id", "compounds", F.explode("technical").alias("word"))
+    outright = own.join(f.hits.filter("how <> 'fuzzy'").select("word", "name").distinct(), "word").select("query_id", "name")
+    whole = f.names.select("name", "plain", F.explode(Y.compound_names()).alias("compound")).filter(Y.contains_compound(F.col("plain"), F.col("compound")))
+    parts = own.select("query_id", F.explode(_part_of(F.col("word"), F.col("compounds"))).alias("compound")).join(whole, "compound").select("query_id", "name")
+    return outright.unionByName(parts).distinct()
+
+
+def candidates_all_words(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """query_id, plain: names that every significant word hits, outright, by a synonym, nearly, or as part of a compound."""
+    f = Factors.of(queries, catalog)
+    return f.asked.join(f.every, "set").join(f.names, "name").select("query_id", "plain")
 
 
 def candidates_any_material(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """query_id, plain: names that any technical word hits, outright, by a synonym or as part of a compound."""
-    keyed, sets = _word_sets(queries, "technical")
-    names = catalog.select("plain").distinct()
-    words = sets.select(F.explode("words").alias("word"))
-    hits = word_hits(words, names, fuzzy=False).select("word", "plain").distinct()
-    found = sets.select("words", "compounds", F.explode("words").alias("word")).join(hits, "word").select("words", "compounds", "plain").unionByName(_compound_hits(sets, names).select("words", "compounds", "plain")).distinct()
-    return keyed.join(found, ["words", "compounds"]).select("query_id", "plain")
+    f = Factors.of(queries, catalog)
+    return _material(f.asked, f).join(f.names, "name").select("query_id", "plain")
 
 
-def retrieve_candidates(queries: DataFrame, catalog: DataFrame, small_pool: int = 1000) -> DataFrame:
-    """query_id and catalogue rows by the first way that finds any; each way sees only the queries that the ones before left open.
+def candidate_ways(f: Factors, catalog: DataFrame, small_pool: int = 1000) -> DataFrame:
+    """asked with way: the first that finds any name, and small: whether fewer than small_pool rows start with the head.
 
-    Several significant words: names that start with the first of them (if fewer than small_pool do) and hit all, else any
-    name that hits all; then names with any technical word; then names that start with the first word or a synonym of it.
-    A single technical word looks for names with it straight away. Names are matched once each, rows join at the end.
+    Several significant words: 1, names that start with the first of them (if fewer than small_pool rows do) and hit all;
+    2, any name that hits all. Then 3, names with any technical word; then 4, names that start with the first word or a
+    synonym of it. A single technical word looks for names with it straight away.
     """
-    queries, catalog = cut_lineage(queries), cut_lineage(catalog)
-    words = query_words(queries)
-    about = cut_lineage(words.groupBy("query_id").agg(F.sum(F.col("significant").cast("int")).alias("n_significant"), F.min_by("word", F.when(F.col("significant"), F.col("place"))).alias("head"), F.min_by("word", "place").alias("first")))
-    several = about.filter("n_significant >= 2").select("query_id", "head")
-    every = cut_lineage(candidates_all_words(queries.join(several, "query_id", "left_semi"), catalog))
-    # how many rows start with a head: counted for each head once, not for each query
+    several = f.asked.filter("n_significant >= 2").select("query_id", "set", "head")
     heads = several.select(F.col("head").alias("query_id"), "head").distinct()
-    small = prefix_candidates(heads, catalog, "head").groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") < small_pool).select(F.col("query_id").alias("head"), F.lit(True).alias("small"))
-    rows = every.join(several, "query_id").join(small, "head", "left").join(catalog, "plain").withColumn("starts", F.coalesce("small", F.lit(False)) & F.startswith(F.lower("name"), F.col("head")))
-    rows = cut_lineage(rows.withColumn("narrow", F.max("starts").over(W.partitionBy("query_id"))).filter(F.col("starts") | ~F.col("narrow")))
-    columns = ["query_id", *catalog.columns]
-    open_ = queries.join(every.select("query_id").distinct(), "query_id", "left_anti")
-    material = cut_lineage(candidates_any_material(open_, catalog))
-    open_ = about.join(open_, "query_id", "left_semi").join(material.select("query_id").distinct(), "query_id", "left_anti")
-    head = prefix_candidates(open_.select("query_id", F.explode(F.array_union(F.array("first"), Y.synonyms_of(F.col("first")))).alias("token")), catalog)
-    head = cut_lineage(head)
+    # how many rows start with a head: counted for each head once, not for each query
+    starts = prefix_candidates(heads, catalog, "head").groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") < small_pool)
+    starts = cut_lineage(starts.select(F.col("query_id").alias("head"), F.lit(True).alias("small")))
+    rows = f.every.join(several.select("set", "head").distinct(), "set").join(starts, "head", "left").join(f.names.select("name", "plain"), "name").join(catalog.select("plain", F.lower("name").alias("written")), "plain")
+    narrow = rows.groupBy("set", "head").agg(F.max(F.coalesce("small", F.lit(False)) & F.startswith("written", F.col("head"))).alias("narrow"))
+    material = f.hits.filter("how <> 'fuzzy'").select("word").distinct()
+    whole = f.names.agg(F.array_compact(F.array(*(F.max(F.when(Y.contains_compound(F.col("plain"), F.lit(c)), c)) for c in Y.COMPOUNDS))).alias("held"))  # one row
+    outright = f.asked.select("query_id", F.explode("technical").alias("word")).join(material, "word", "left_semi").select("query_id")
+    parts = f.asked.crossJoin(F.broadcast(whole)).filter(F.exists("technical", lambda w: F.size(F.array_intersect(_part_of(w, F.col("compounds")), "held")) > 0)).select("query_id")
+    some = outright.unionByName(parts).distinct().withColumn("material", F.lit(True))
+    out = f.asked.join(narrow, ["set", "head"], "left").join(some, "query_id", "left").join(starts, "head", "left")
+    way = F.when((F.col("n_significant") >= 2) & F.col("narrow"), 1).when((F.col("n_significant") >= 2) & F.col("narrow").isNotNull(), 2).when(F.col("material"), 3).otherwise(4)
+    return cut_lineage(out.withColumn("way", way).drop("narrow", "material"))
+
+
+def _found_rows(f: Factors, ways: DataFrame, catalog: DataFrame, material: DataFrame) -> DataFrame:
+    """query_id, way and catalogue rows: by all words or by the head as ways say, by material as given (query_id, name)."""
+    rows = f.names.select("name", "plain").join(catalog.withColumnRenamed("name", "written"), "plain")
+    columns = ["query_id", "id", "code", F.col("written").alias("name"), "plain", "way"]
+    every = ways.filter("way <= 2").select("query_id", "set", "head", "way").join(f.every, "set").join(rows, "name")
+    every = every.filter((F.col("way") == 2) | F.startswith(F.lower("written"), F.col("head"))).select(*columns)
+    by_material = material.withColumn("way", F.lit(3)).join(rows, "name").select(*columns)
+    head = ways.filter("way = 4").select("query_id", F.explode(F.array_union(F.array("first"), Y.synonyms_of(F.col("first")))).alias("token"))
+    head = cut_lineage(prefix_candidates(head, catalog.select("id", "code", "name", "plain")))
     head = head.join(head.groupBy("query_id", "code").agg(F.min("id").alias("id")), ["query_id", "code", "id"], "left_semi")
-    found = rows.select(*columns, F.when(F.col("narrow"), 1).otherwise(2).alias("way"))
-    return found.unionByName(material.join(catalog, "plain").select(*columns, F.lit(3).alias("way"))).unionByName(head.select(*columns, F.lit(4).alias("way")))
+    return every.unionByName(by_material).unionByName(head.withColumn("way", F.lit(4)).select("query_id", "id", "code", "name", "plain", "way"))
+
+
+def retrieve_candidates(queries: DataFrame, catalog: DataFrame, small_pool: int = 1000) -> DataFrame:
+    """query_id, way and the catalogue rows of the first way that finds any (candidate_ways), all of them."""
+    f = Factors.of(queries, catalog)
+    ways = candidate_ways(f, catalog, small_pool)
+    return _found_rows(f, ways, catalog, _material(ways.filter("way = 3"), f))
 
 
 def filter_by_unit(candidates: DataFrame, unit: str = "user_unit", name: str = "name") -> DataFrame:
@@ -198,67 +240,159 @@ def filter_by_unit(candidates: DataFrame, unit: str = "user_unit", name: str = "
     return candidates.filter(normalize_unit(F.col(unit)).isNull() | inferred.isNull() | units_compatible(inferred, F.col(unit)))
 
 
-def _ranked(scored: DataFrame, least: float, k: int) -> DataFrame:
-    return scored.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).filter(F.col("rank") <= k)
-
-
-def _candidates(queries: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate rows with their query's columns, and the distinct pairs of query and plain among them."""
-    found = retrieve_candidates(queries.select("query_id", "query"), catalog).join(queries, "query_id")
-    found = cut_lineage(filter_by_unit(found) if "user_unit" in queries.columns else found)
-    return found, found.select("query", "plain").distinct()
-
-
-def _length_bound(a: Column, b: Column) -> Column:
-    """No similarity by common letters is more than this."""
-    return F.when(F.length(a) + F.length(b) > 0, 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))).otherwise(1.0)
-
-
 def fuzzy_match_topk(queries: DataFrame, catalog: DataFrame, least: float = 0.6, k: int = 1, explain: bool = False) -> DataFrame:
     """Candidates by the larger of sequence and partial similarity; with explain also both, and for each word its weight and best score.
 
-    Pairs are scored once each, and letters are only compared where lengths and words leave `least` within reach.
+    Letters are only compared where lengths and words leave `least` within reach.
     """
-    found, pairs = _candidates(queries, catalog)
-    near = pairs.withColumn("partial", S.partial_similarity(F.col("query"), F.col("plain"))).filter(F.greatest("partial", _length_bound(F.col("query"), F.col("plain"))) >= least)
-    scored = cut_lineage(near).withColumn("sequence", S.sequence_similarity("query", "plain")).withColumn("score", F.greatest("sequence", "partial")).filter(F.col("score") >= least)
-    out = _ranked(found.join(scored, ["query", "plain"]), least, k)
+    found = retrieve_candidates(queries, catalog).join(queries, "query_id")
+    found = filter_by_unit(found) if "user_unit" in queries.columns else found
+    a, b = F.length("query"), F.length("plain")
+    within = F.when(a + b > 0, 2 * F.least(a, b) / (a + b)).otherwise(1.0)
+    near = found.withColumn("partial", S.partial_similarity(F.col("query"), F.col("plain"))).filter(F.greatest("partial", within) >= least)
+    scored = near.withColumn("sequence", S.sequence_similarity("query", "plain")).withColumn("score", F.greatest("sequence", "partial")).filter(F.col("score") >= least)
+    out = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).filter(F.col("rank") <= k)
     if explain:
         return out.withColumn("words", F.transform(S.tokens(F.col("query")), lambda w: F.struct(w.alias("word"), S.word_weight(w).alias("weight"), S.partial_similarity(w, F.col("plain")).alias("score"))))
     return out.drop("sequence", "partial")
 
 
+def _shapes(names: DataFrame) -> Column:
+    """For each number of distinct words (of 64 or more together) the range of letters and words that names of it have, as a literal array."""
+    size = F.least(F.size(F.array_distinct("words")), F.lit(64)).alias("distinct")
+    of = names.groupBy(size).agg(F.min(F.length("plain")).alias("a"), F.max(F.length("plain")).alias("b"), F.min(F.size("words")).alias("m"), F.max(F.size("words")).alias("n")).collect()  # 64 rows at most
+    return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.asDict().items())) for r in of)) if of else F.array().cast("array<struct<distinct:int,a:int,b:int,m:int,n:int>>")
+
+
+def _sharing(asked: DataFrame, f: Factors) -> DataFrame:
+    """query_id, name: names with a technical word of the query whose confidence may reach the query's least, where that takes a common word.
+
+    Words are taken rarest first. The most frequent ones, of which all together can't lift any name to least, aren't
+    looked up (no name of the sizes that occur reaches it with only these in common); the others are, each name by the
+    rarest of its words that it has in common. Names that can't reach least by their sizes and common words go.
+    """
+    often = f.names.select(F.explode(F.array_distinct("words")).alias("word"), "name").groupBy("word").agg(F.count("*").alias("n"))
+    spelt = asked.select("query_id", F.explode(F.array_distinct("expanded_words")).alias("word")).join(often, "word")
+    spelt = spelt.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda w: w["word"]).alias("rare_first"))
+    shapes = _shapes(f.names)
+    inside = lambda x, low, high: F.greatest(low, F.least(high, x))
+    reach = lambda q, s, r: S.confidence_bound(q, inside(q["letters"], s["a"], s["b"]), inside(q["words"], s["m"], s["n"]), s["distinct"], F.least(r, s["distinct"], q["distinct"]))
+    # A size class of 64 stands for larger ones, too, whose shares of common words are smaller.
+    most = lambda r: F.coalesce(F.array_max(F.transform(shapes, lambda s: F.greatest(reach(F.col("shape"), s, r), reach(F.col("expanded_shape"), s, r)))), F.lit(0.0))
+    useless = F.size(F.filter(F.sequence(F.lit(0), F.size("rare_first")), lambda r: most(r) < F.col("least") - 1e-9)) - 1
+    looked_up = asked.join(spelt, "query_id").withColumn("useless", F.greatest(F.lit(0), useless))
+    looked_up = cut_lineage(looked_up.withColumn("key", F.slice("rare_first", F.lit(1), F.size("rare_first") - F.col("useless"))))
+    postings = f.names.select("name", "plain", F.array_distinct("words").alias("held"), F.size("words").alias("m"), F.length("plain").alias("letters"))
+    met = looked_up.withColumn("word", F.explode("key")).join(postings.withColumn("word", F.explode("held")), "word")
+    met = met.withColumn("common", F.array_intersect("rare_first", "held")).filter(F.col("common")[0] == F.col("word"))
+    bound = lambda shape, words: S.confidence_bound(F.col(shape), F.col("letters"), F.col("m"), F.size("held"), F.size(F.array_intersect(words, "common")))
+    met = met.filter(F.greatest(bound("shape", "words"), bound("expanded_shape", "expanded_words")) >= F.col("least") - 1e-9)
+    return met.filter(F.exists("technical", lambda w: _holds(F.col("plain"), w, F.col("compounds")))).select("query_id", "name")
+
+
 def confidence_match_topk(queries: DataFrame, catalog: DataFrame, least: float = 0.6, k: int = 1, scorer: str = "fuzzy") -> DataFrame:
-    """Candidates by the larger confidence of the query and of the query with synonyms, four decimals.
+    """Candidates by the larger confidence of the query and of the query with synonyms; rank by it, four decimals of it given.
 
-    Pairs are scored once each, and letters are only compared where lengths and words leave `least` within reach.
+    queries may have least and k of their own. Where least takes a common word, names are met through the words in common
+    (_sharing) instead of through all candidates. Each query's rows come with the highest bound first; it keeps k rows
+    and passes over those whose bound is below the worst of them.
     """
-    found, pairs = _candidates(queries, catalog)
-    pairs = pairs.withColumn("expanded", Y.expand_query(F.col("query")))
-    bound = F.greatest(S.confidence_bound(F.col("query"), F.col("plain")), S.confidence_bound(F.col("expanded"), F.col("plain")))
-    near = cut_lineage(pairs.filter(bound >= least - 1e-4))
-    score = F.greatest(S.confidence_score("query", "plain", scorer), S.confidence_score("expanded", "plain", scorer))
-    scored = near.withColumn("score", F.round(score, 4)).filter(F.col("score") >= least).drop("expanded")
-    return _ranked(found.join(scored, ["query", "plain"]), least, k)
+    for name, value in (("least", F.lit(float(least))), ("k", F.lit(k))):
+        queries = queries if name in queries.columns else queries.withColumn(name, value)
+    f = Factors.of(queries, catalog)
+    expanded = Y.expand_query(F.col("query"))
+    own = queries.select("query_id", "least", "k", *(["user_unit"] if "user_unit" in queries.columns else []))
+    ways = candidate_ways(f, catalog).join(own, "query_id").withColumn("expanded", expanded).withColumn("expanded_words", S.tokens(expanded)).withColumn("shape", S.shape(F.col("query"))).withColumn("expanded_shape", S.shape(expanded))
+    ways = cut_lineage(ways)
+    shares = F.col("least") > S.WITHOUT_COMMON_WORD + 1e-9
+    third = ways.filter("way = 3")
+    material = _sharing(third.filter(shares), f).unionByName(_material(third.filter(~shares), f))
+    rows = _found_rows(f, ways, catalog, material).filter("plain <> ''").join(ways.drop("way", "set", "head", "first", "significant", "technical", "compounds", "n_significant", "small"), "query_id")
+    rows = filter_by_unit(rows) if "user_unit" in queries.columns else rows
+    held = S.tokens(F.col("plain"))
+    bound = lambda shape, words: S.confidence_bound(F.col(shape), F.length("plain"), F.size(held), F.size(F.array_distinct(held)), F.size(F.array_intersect(words, held)))
+    rows = rows.withColumn("bound", F.when((F.col("plain") == F.col("query")) | (F.col("plain") == F.col("expanded")), 1.0).otherwise(F.greatest(bound("shape", "words"), bound("expanded_shape", "expanded_words"))))
+    rows = rows.filter(F.col("bound") >= F.col("least") - 1e-9).select("query_id", "query", "expanded", "id", "code", "name", "plain", "way", "least", "k", "bound")
+    return best_rows(rows, scorer).withColumn("score", F.round("score", 4)).drop("expanded", "least", "k", "bound")
+
+
+def best_rows(rows: DataFrame, scorer: str = "fuzzy") -> DataFrame:
+    """The k best rows of each query with score and rank; rows have query_id, query, expanded, id, plain, least, k and bound."""
+
+    def score(query: list[str], expanded: list[str], plain: list[str], least: np.ndarray) -> np.ndarray:
+        ic, names = pd.factorize(np.array(plain, object))
+        out = np.full(len(plain), -1.0)
+        for texts in (query, expanded):
+            iq, asked = pd.factorize(np.array(texts, object))
+            out = np.maximum(out, S.confidences(list(asked), list(names), iq, ic, least) if scorer == "fuzzy" else [float(scorer == "exact" and a != "" and a == b) for a, b in zip(texts, plain, strict=True)])
+        return out
+
+    kept = [*rows.columns, "score", "rank"]
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, known = None, np.zeros(0)  # rows of the query that may go on in the next batch, and their scores
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
+            scores = np.concatenate([known, np.full(batch.num_rows, np.nan)])
+            group = np.cumsum(np.concatenate([[False], pc.not_equal(table.column("query_id").combine_chunks()[1:], table.column("query_id").combine_chunks()[:-1]).to_numpy(zero_copy_only=False)]))
+            top = top_of(table, group, scores, score)
+            goes_on = group[top] == group[-1]
+            waiting, known = table.take(pa.array(top[goes_on])), scores[top[goes_on]]
+            yield from ranked(table.take(pa.array(top[~goes_on])), scores[top[~goes_on]], group[top[~goes_on]])
+        if waiting is not None:
+            yield from ranked(waiting, known, np.zeros(len(known), np.int64))
+
+    def ranked(table: pa.Table, scores: np.ndarray, group: np.ndarray) -> list[pa.RecordBatch]:
+        rank = np.arange(len(group)) - np.searchsorted(group, group) + 1
+        return table.append_column("score", pa.array(scores)).append_column("rank", pa.array(rank, pa.int32())).select(kept).combine_chunks().to_batches()
+
+    return rows.repartition("query_id").sortWithinPartitions("query_id", F.desc("bound"), "id").mapInArrow(best, schema)
+
+
+def top_of(table: pa.Table, group: np.ndarray, scores: np.ndarray, score) -> np.ndarray:
+    """Places of the best k rows of each group, by score, then id. Fills in scores, a wave of rows with the highest bounds at a time."""
+    bound, least, k, ids = (table.column(c).to_numpy() for c in ("bound", "least", "k", "id"))
+    query, expanded, plain = (np.array(table.column(c).to_pylist(), object) for c in ("query", "expanded", "plain"))
+    first = np.searchsorted(group, np.arange(group[-1] + 1))
+    wave = 1
+    while True:
+        order = np.lexsort((ids, -np.where(np.isnan(scores), -2.0, scores), group))
+        place = np.arange(len(order)) - first[group[order]]
+        last = order[(place == k[order] - 1) & (scores[order] >= 0)]  # the worst of k rows, where there are k
+        floor = least[first].astype(float)
+        floor[group[last]] = np.maximum(floor[group[last]], scores[last])
+        open_ = np.isnan(scores)
+        scores[open_ & (bound < floor[group] - 1e-9)] = -1.0
+        open_ = np.flatnonzero(np.isnan(scores))
+        if not len(open_):
+            return order[(place < k[order]) & (scores[order] >= least[order])]
+        turn = np.arange(len(open_)) - np.searchsorted(group[open_], group[open_])
+        some = open_[turn < wave * k[open_]]
+        found = score(query[some].tolist(), expanded[some].tolist(), plain[some].tolist(), floor[group[some]])
+        scores[some] = np.where(found >= least[some], found, -1.0)
+        wave *= 2
 
 
 def best_match(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The cascade for query_id, raw and query: exact by code or name; one word: five at 0.25 or more; more words: one at 0.9, else ten at 0.6.
+    """The cascade for query_id and raw: exact by code or name; one word: five at 0.25 or more; more words: one at 0.9, else ten at 0.6.
 
-    Each step sees only what the one before left open.
+    Abbreviations are written out first. A user_unit leaves out rows whose names say another unit, but for exact ones.
     """
-    queries = queries.filter("query <> ''")
+    spelt = expand_abbreviations(F.col("raw"))
+    queries = cut_lineage(queries.withColumn("raw", spelt).withColumn("query", normalize_text("raw")).filter("query <> ''"))
     columns = ["query_id", "id", "code", "name", "matched_on", "score", "rank"]
     by_code = exact_code_match(queries.withColumn("query", F.trim("raw")), catalog)
     by_name = exact_name_match(queries, catalog).join(by_code, "query_id", "left_anti")
     exact = cut_lineage(by_code.unionByName(by_name).withColumn("score", F.lit(1.0)).withColumn("rank", F.lit(1)))
-    rest = queries.join(exact, "query_id", "left_anti")
-    one, more = F.size(S.tokens(F.col("query"))) == 1, F.size(S.tokens(F.col("query"))) > 1
-    ten = confidence_match_topk(rest.filter(one | more), catalog, 0.25, 1 << 20).withColumn("matched_on", F.lit("fuzzy"))
-    words = F.size(S.tokens(F.col("query")))
-    top = F.max(F.when(F.col("rank") == 1, F.col("score"))).over(W.partitionBy("query_id"))
-    keep = F.when(words == 1, F.col("rank") <= 5).when(top >= 0.9, F.col("rank") == 1).otherwise((F.col("score") >= 0.6) & (F.col("rank") <= 10))
-    return exact.select(*columns).unionByName(ten.withColumn("keep", keep).filter("keep").select(*columns))
+    one = F.size(S.tokens(F.col("query"))) == 1
+    rest = queries.join(exact, "query_id", "left_anti").withColumn("least", F.when(one, 0.25).otherwise(0.6)).withColumn("k", F.when(one, 5).otherwise(10))
+    top = confidence_match_topk(rest, catalog).withColumn("one", one)
+    sure = top.filter("not one and rank = 1 and score >= 0.9").select("query_id", F.lit(True).alias("sure"))
+    top = top.join(sure, "query_id", "left").filter("rank = 1 or sure is null").withColumn("matched_on", F.lit("fuzzy"))
+    return exact.select(*columns).unionByName(top.select(*columns))
 
 
 def match_status(rows: DataFrame, matches: DataFrame, description: str = "description", key: str = "query_id", single: str = "similar") -> DataFrame:

@@ -1,9 +1,12 @@
 """Small literal cases of single operators."""
 
+import random
 from decimal import Decimal
+from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -11,9 +14,11 @@ from kalkula.functions import numbers as N
 from kalkula.functions import similarity as S
 from kalkula.functions import synonyms as Y
 from kalkula.functions import text as T
+from kalkula.functions.letters import coded, matching_blocks
 from kalkula.operators import breakdown as B
 from kalkula.operators import matching as M
 from kalkula.operators import pdf, pricing, rows, sheets, weights
+from tests import brute
 
 
 def values(spark, raw, column):
@@ -51,22 +56,39 @@ def test_units(spark):
     assert values(spark, ["PLST DINDING", "template_plstx", "plst dinding + bt belah"], T.expand_abbreviations) == ["plester dinding", "template_plstx", "plester dinding + batu belah"]
 
 
-@given(st.text("abc", max_size=12), st.text("abc", max_size=12))
-def test_indel_ratio_is_twice_the_common_subsequence(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
-        row = new
-    assert S.indel_ratio(a, b) == (2 * row[-1] / (len(a) + len(b)) if a or b else 1.0)
+PAIR_WORDS = ["pekerjaan", "pekerjan", "pasang", "pemasangan", "beton", "keramikk", "keramik", "m2", "é", "ab", "abc", "x" * 70]
 
 
-@given(st.text("ab cd", max_size=15), st.text("ab cd", max_size=15))
-def test_confidence_bounds(a, b):
-    a, b = " ".join(a.split()), " ".join(b.split())
-    assert 0 <= S.confidence(a, b) <= 1
-    assert S.confidence(a, a) == (1.0 if a else 0.0)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc d", max_size=15), min_size=1, max_size=8), st.lists(st.text("abc d", max_size=140), min_size=1, max_size=8))
+def test_sequence_ratios_are_the_common_subsequences(a, b):
+    ia, ib = (x.ravel() for x in np.meshgrid(np.arange(len(a)), np.arange(len(b))))
+    assert S.sequence_ratios(a, b, ia, ib).tolist() == [brute.sequence_ratio(a[i], b[j]) for i, j in zip(ia, ib, strict=True)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PAIR_WORDS), max_size=7).map(" ".join), min_size=1, max_size=8), st.lists(st.text("ab c", max_size=12), min_size=1, max_size=4), st.floats(0, 1))
+def test_confidences_by_their_definition(names, others, least):
+    names = [*names, *others, "pekerjaan beton " * 20]
+    ia, ib = (x.ravel() for x in np.meshgrid(np.arange(len(names)), np.arange(len(names))))
+    want = np.array([brute.confidence(names[i], names[j]) for i, j in zip(ia, ib, strict=True)])
+    assert np.abs(S.confidences(names, names, ia, ib) - want).max() < 1e-12
+    cut = S.confidences(names, names, ia, ib, least)
+    assert ((np.abs(cut - want) < 1e-12) | ((cut == -1) & (want < least))).all()
+
+
+@given(st.text("ab cd", max_size=60), st.text("ab cd", max_size=199))
+def test_blocks_are_those_of_the_standard_library(a, b):
+    left, right, _ = coded([a], [b])
+    assert matching_blocks(left, right, np.array([0]), np.array([0]))[0] == sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+def test_bounds_hold(spark):
+    names = [" ".join(random.Random(i).choices(PAIR_WORDS, k=i % 7)) for i in range(60)]
+    df = spark.createDataFrame([(a, b, brute.confidence(a, b)) for a in names for b in names], "a string, b string, c double")
+    held, mine = F.array_distinct(S.tokens(F.col("b"))), F.array_distinct(S.tokens(F.col("a")))
+    bound = F.when(F.col("a") == F.col("b"), 1.0).otherwise(S.confidence_bound(S.shape(F.col("a")), F.length("b"), F.size(S.tokens(F.col("b"))), F.size(held), F.size(F.array_intersect(mine, held))))
+    assert df.filter(bound < F.col("c") - 1e-9).count() == 0
 
 
 CATALOG = [(1, "AT.01.001", "pekerjaan galian tanah biasa"), (2, "AT.01.002", "pekerjaan galian tanah keras"), (3, "BT.02.001", "pekerjaan beton k225"), (4, "ST.03.001", "pemasangan besi tulangan d10"), (5, "CT.04.001", "pekerjaan cat dinding interior"), (6, "PT.05.001", "pemasangan pipa air bersih")]
@@ -94,7 +116,7 @@ def test_retrieval_matches_brute_force(spark):
     syn = Y.synonym_map()
 
     def hits(w, name):
-        return w in name or any(s in name for s in syn.get(w, ())) or any(len(w) >= 6 <= len(c) and c[0] == w[0] and S.indel_ratio(w, c) >= 0.8 for c in name.split())
+        return w in name or any(s in name for s in syn.get(w, ())) or any(len(w) >= 6 <= len(c) and c[0] == w[0] and brute.sequence_ratio(w, c) >= 0.8 for c in name.split())
 
     want = set()
     for x in asked:
@@ -185,21 +207,13 @@ def test_topk_by_brute_force(spark):
             out |= {(x, i, n + 1, round(-s, 4)) for n, (s, i) in enumerate(own[:k])}
         return out
 
-    fuzzy = lambda a, c: max(S.indel_ratio(a, c), partial[a, c])
-    sure = lambda a, c: round(max(S.confidence(a, c), S.confidence(expand[a], c)), 4)
+    fuzzy = lambda a, c: max(brute.sequence_ratio(a, c), partial[a, c])
+    sure = lambda a, c: max(brute.confidence(a, c), brute.confidence(expand[a], c))
     for least, k in ((0.6, 1), (0.25, 5), (0.8, 3)):
         assert {(r["query_id"], r["id"], r["rank"], round(r["score"], 4)) for r in M.fuzzy_match_topk(q, cat, least, k).collect()} == top(fuzzy, least, k)
         assert {(r["query_id"], r["id"], r["rank"], r["score"]) for r in M.confidence_match_topk(q, cat, least, k).collect()} == top(sure, least, k)
 
 
-@given(st.text("abc d", min_size=1, max_size=14), st.text("abc d", min_size=1, max_size=14))
-def test_word_ratio_is_only_cut_below_its_use(a, b):
-    from difflib import SequenceMatcher
-
-    true = SequenceMatcher(None, a, b).ratio()
-    assert S._word_ratio(a, b) == true or true < 0.75
-
-
 def test_near_words_by_brute_force(spark):
     import random
 
@@ -207,4 +221,4 @@ def test_near_words_by_brute_force(spark):
     ws = sorted({"".join(rng.choice("aeiknrst") for _ in range(rng.randint(6, 11))) for _ in range(150)} | {"galian", "galiann", "gallian", "tulangan", "tulangn", "tulangannya", "aaaaaa", "aaaaaaa", "aaaaab"})
     df = spark.createDataFrame([(w,) for w in ws], "word string")
     got = {(r["word"], r["other"]) for r in M.near_words(df, df.withColumnRenamed("word", "other")).collect()}
-    assert got == {(a, b) for a in ws for b in ws if a != b and a[0] == b[0] and S.indel_ratio(a, b) >= 0.8}
+    assert got == {(a, b) for a in ws for b in ws if a != b and a[0] == b[0] and brute.sequence_ratio(a, b) >= 0.8}
