@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,26 +50,50 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-_recording: list[list[str]] = []
+#: The lists that get the paths of tables written now, by thread: what another thread writes meanwhile isn't ours.
+_recording: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("recording", default=())
 
 
 @contextlib.contextmanager
 def recorded() -> Iterator[list[str]]:
-    """Gives a list that gets the paths of all tables that cut_lineage writes meanwhile."""
-    _recording.append([])
+    """Gives a list that gets the paths of all tables that cut_lineage writes meanwhile in this thread."""
+    paths: list[str] = []
+    before = _recording.set((*_recording.get(), paths))
     try:
-        yield _recording[-1]
+        yield paths
     finally:
-        _recording.pop()
+        _recording.reset(before)
 
 
-def delete_tables(spark: SparkSession, paths: list[str], but: DataFrame | None = None) -> None:
-    """Deletes tables that cut_lineage wrote, apart from those that `but` reads."""
+def delete_tables(spark: SparkSession, paths: list[str], but: DataFrame | None = None) -> list[str]:
+    """Deletes tables that cut_lineage wrote, apart from those that `but` reads; these are given back."""
     reads = but.inputFiles() if but is not None and paths else []
-    for path in paths:
-        if not any(path.rpartition("/")[2] in f for f in reads):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    read = [path for path in paths if any(path.rpartition("/")[2] in f for f in reads)]
+    for path in set(paths) - set(read):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return read
+
+
+#: Under this key a column's metadata have the tables that a result was made from. Parquet keeps them.
+MADE_FROM = "kalkula.made_from"
+
+
+def made_from(df: DataFrame, paths: list[str]) -> DataFrame:
+    """df with a note of the tables that it reads and that nobody else needs, in place of any note before."""
+    first, *rest = df.schema.fields
+    known = {k: v for k, v in first.metadata.items() if k != MADE_FROM}
+    return df.select(F.col(f"`{first.name}`").alias(first.name, metadata=known | {MADE_FROM: paths}), *(f"`{f.name}`" for f in rest))
+
+
+def noted_tables(df: DataFrame) -> list[str]:
+    return list(df.schema.fields[0].metadata.get(MADE_FROM, []))
+
+
+def row_hash(df: DataFrame):
+    """A number that rows share that are equal in all columns, nulls included."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return F.xxhash64(*columns, *(c.isNull() for c in columns))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -76,7 +101,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/kalkula-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for paths in _recording:
+    for paths in _recording.get():
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kalkula.llm.common import cut_lineage, free_name, read_table, word_count
+from kalkula.llm.common import cut_lineage, free_name, read_table, row_hash, word_count
 
 WEIGHTS, MAX_EPOCHS, BUCKET_ROWS, FAN_IN, SEED = (5, 2, 1), 3, 1000, 64, 20240501
 
@@ -80,9 +80,12 @@ def meet(size: np.ndarray, share: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return share
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, and source, size, source_size, target, copies (how often the mix takes the document)."""
-    given = docs.select(*(F.col(c).alias(f"keep_{c}") for c in keep), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.xxhash64(F.lit(seed), F.xxhash64("text"), *keep).alias("key"))
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN, keep: tuple[str, ...] = ("doc_id",), draw: str | None = None) -> DataFrame:
+    """The columns in keep, and source, size, source_size, target, copies (how often the mix takes the document).
+
+    draw: a column of numbers that decides the draws; without it the text and the columns in keep do.
+    """
+    given = docs.select(*(F.col(c).alias(f"keep_{c}") for c in keep), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), (F.xxhash64(F.lit(seed), draw) if draw else F.xxhash64(F.lit(seed), F.xxhash64("text"), *keep)).alias("key"))
     sized = cut_lineage(given)
     sources = cut_lineage(source_targets(sized, weights, max_epochs))
     most = sources.agg(F.max("source_docs")).first()[0] or 0
@@ -111,14 +114,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     return done.select(*(F.col(f"keep_{c}").alias(c) for c in keep), "source", "size", "source_size", "target", (F.col("whole") + F.col("share").cast("int")).alias("copies"))
 
 
+def drawn_by_content(placed: DataFrame, number: str, draw: str) -> DataFrame:
+    """placed with a number that depends on the row's content and, of rows equal in all columns, on its place among these.
+
+    So it doesn't matter which row has which number. Only rows that occur more than once are ranked.
+    """
+    content = placed.select(number, row_hash(placed.drop(number)).alias(draw))
+    again = content.groupBy(draw).agg(F.count("*").alias("n")).filter("n > 1").select(draw)
+    ranked = content.join(again, draw, "left_semi").select(number, F.row_number().over(W.partitionBy(draw).orderBy(number)).alias("rank"))
+    return content.join(ranked, number, "left").select(number, F.xxhash64(draw, F.coalesce("rank", F.lit(1))).alias(draw))
+
+
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with their own columns, whatever their names.
 
-    The documents are written down once with their number, and all steps read that table.
+    The documents are written down once with their number, and all steps read that table. Draws depend on the content of
+    a row, and for rows equal in all columns on their count, so that the result is the same however the input is split.
     """
-    number, copies, turn = (free_name(docs, f"mix_{x}") for x in ("row", "copies", "turn"))
+    number, copies, turn, draw = (free_name(docs, f"mix_{x}") for x in ("row", "copies", "turn", "draw"))
     placed = cut_lineage(docs.withColumn(number, F.monotonically_increasing_id()))
-    taken = mix(placed, keep=(number,), **options).filter("copies > 0").select(number, F.col("copies").alias(copies))
+    drawn = placed.select(number, "source", "text").join(drawn_by_content(placed, number, draw), number)
+    taken = mix(drawn, keep=(number,), draw=draw, **options).filter("copies > 0").select(number, F.col("copies").alias(copies))
     # The few bytes of copies are the side that is built, whatever the size: documents are shuffled once and not sorted.
     return placed.join(taken.hint("shuffle_hash"), number).withColumn(turn, F.explode(F.sequence(F.lit(1), copies))).drop(number, copies, turn)
 
