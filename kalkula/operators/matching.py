@@ -8,7 +8,7 @@ word is compared with the whole catalogue.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from kalkula.functions import similarity as S
 from kalkula.functions import synonyms as Y
 from kalkula.functions.text import alnum_code_key, expand_abbreviations, infer_unit, letter_grams, looks_like_code, normalize_text, normalize_unit, units_compatible
-from kalkula.sources.shared import cut_lineage
+from kalkula.sources.shared import cut_lineage, spread
 
 
 def merge_catalogs(*catalogs: DataFrame) -> DataFrame:
@@ -117,17 +117,23 @@ def _part_of(word: Column, compounds: Column) -> Column:
     return F.filter(compounds, lambda c: (F.length(word) >= 3) & F.array_contains(F.split(c, " "), word))
 
 
-def _holds(plain: Column, word: Column, compounds: Column) -> Column:
-    """Whether a name holds the word, a synonym of it, or all parts of a compound material (of those given) that it is part of."""
-    return F.contains(plain, word) | F.exists(Y.synonyms_of(word), lambda s: F.contains(plain, s)) | F.exists(_part_of(word, compounds), lambda c: Y.contains_compound(plain, c))
+def _terms(words: Column) -> Column:
+    """The words and their synonyms."""
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(F.array(w), Y.synonyms_of(w)))))
+
+
+def _holds(plain: Column, terms: Column, parts: Column) -> Column:
+    """Whether a name holds one of the terms, or all parts of one of the compound materials."""
+    return F.exists(terms, lambda t: F.contains(plain, t)) | F.exists(parts, lambda c: Y.contains_compound(plain, c))
 
 
 @dataclass(frozen=True)
 class Factors:
     """Which names each query may be matched with, kept apart: queries have a set of words, words have names.
 
-    asked: query_id, query, words, significant, technical, compounds, head, first and the key of the set of significant words.
-    names: name (a number), plain and words, distinct. hits: word, name, how. every: set, name: names that all its words hit.
+    asked: query_id, query, words, significant, technical (and their terms and the compounds that they are part of), compounds,
+    head, first and the key of the set of significant words. names: name (a number), plain, words, held (distinct words),
+    distinct. hits: word, name, how. every: set, name: names that all its words hit.
     Only who needs rows joins them.
     """
 
@@ -138,12 +144,14 @@ class Factors:
 
     @staticmethod
     def of(queries: DataFrame, catalog: DataFrame) -> Factors:
-        names = catalog.filter("plain <> ''").select("plain").distinct().withColumn("words", S.tokens(F.col("plain"))).withColumn("name", F.monotonically_increasing_id())
-        names = cut_lineage(names)
-        asked = queries.select("query_id", "query").withColumn("words", S.tokens(F.col("query")))
+        names = catalog.filter("plain <> ''").select("plain").distinct().withColumn("words", S.tokens(F.col("plain"))).withColumn("held", F.array_distinct("words"))
+        names = cut_lineage(spread(names, "plain").withColumn("name", F.monotonically_increasing_id()))
+        asked = spread(queries.select("query_id", "query"), "query_id").withColumn("words", S.tokens(F.col("query")))
         significant = F.filter("words", lambda w: (F.length(w) >= 4) & ~w.isin(*S.GENERIC_WORDS))
         asked = asked.withColumn("all_significant", significant).withColumn("technical", F.array_distinct(F.filter("words", S.is_technical))).withColumn("compounds", Y.detect_compounds(F.col("query")))
         asked = asked.select("*", F.array_sort(F.array_distinct("all_significant")).alias("significant"), F.get("all_significant", F.lit(0)).alias("head"), F.get("words", F.lit(0)).alias("first"), F.size("all_significant").alias("n_significant")).drop("all_significant")
+        parts = F.array_distinct(F.flatten(F.transform("technical", lambda w: _part_of(w, F.col("compounds")))))
+        asked = asked.withColumn("terms", _terms(F.col("technical"))).withColumn("parts", parts)
         asked = cut_lineage(asked.withColumn("set", F.concat_ws("|", F.array_join("significant", " "), F.array_join("compounds", ","))))
         hard = asked.select(F.explode("significant").alias("word")).distinct()
         six = names.select(F.explode("words").alias("other")).filter(F.length("other") >= 6).distinct()
@@ -158,23 +166,23 @@ def _all_words(asked: DataFrame, names: DataFrame, hits: DataFrame, near: DataFr
     often = hits.groupBy("word").agg(F.countDistinct("name").alias("n")).join(near.groupBy("word").agg(F.collect_set("other").alias("near")), "word", "left")
     sets = asked.filter(F.size("significant") > 0).select("set", "significant", "compounds").distinct()
     each = sets.select("set", "compounds", F.explode("significant").alias("word")).join(often, "word", "left")
-    found = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", F.coalesce("near", F.array().cast("array<string>")).alias("near"))
-    each = each.groupBy("set", "compounds").agg(F.array_sort(F.collect_list(found)).alias("of")).select("set", "compounds", "of", F.col("of")[0]["word"].alias("word"))
+    found = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", F.coalesce("near", F.array().cast("array<string>")).alias("near"), _terms(F.array("word")).alias("terms"), _part_of(F.col("word"), F.col("compounds")).alias("parts"))
+    each = each.groupBy("set", "compounds").agg(F.array_sort(F.collect_list(found)).alias("of")).select("set", "of", F.col("of")[0]["word"].alias("word"))
     each = cut_lineage(each)
-    outright = each.join(hits.select("word", "name").distinct(), "word").select("set", "compounds", "of", "name").join(names, "name")
-    parts = each.select("set", "compounds", "of", F.explode(_part_of(F.col("word"), F.col("compounds"))).alias("compound"))
+    outright = spread(each.join(hits.select("word", "name").distinct(), "word").select("set", "of", "name"), "set", "name").join(names, "name")
+    parts = each.select("set", "of", F.explode(F.col("of")[0]["parts"]).alias("compound"))
     whole = names.select("*", F.explode(Y.compound_names()).alias("compound")).filter(Y.contains_compound(F.col("plain"), F.col("compound")))
     met = outright.unionByName(parts.join(whole, "compound").drop("compound"))
-    hit = lambda w: _holds(F.col("plain"), w["word"], F.col("compounds")) | F.exists(w["near"], lambda x: F.array_contains("words", x))
+    hit = lambda w: _holds(F.col("plain"), w["terms"], w["parts"]) | F.exists(w["near"], lambda x: F.array_contains("held", x))
     return cut_lineage(met.filter(F.forall("of", hit)).select("set", "name").distinct())
 
 
 def _material(asked: DataFrame, f: Factors) -> DataFrame:
     """The queries of asked with each name that a technical word of theirs hits outright, by a synonym or as part of a compound."""
-    own = asked.select("query_id", "compounds", F.explode("technical").alias("word"))
+    own = asked.select("query_id", F.explode("technical").alias("word"))
     outright = own.join(f.hits.filter("how <> 'fuzzy'").select("word", "name").distinct(), "word").select("query_id", "name")
     whole = f.names.select("name", "plain", F.explode(Y.compound_names()).alias("compound")).filter(Y.contains_compound(F.col("plain"), F.col("compound")))
-    parts = own.select("query_id", F.explode(_part_of(F.col("word"), F.col("compounds"))).alias("compound")).join(whole, "compound").select("query_id", "name")
+    parts = asked.select("query_id", F.explode("parts").alias("compound")).join(whole, "compound").select("query_id", "name")
     return outright.unionByName(parts).distinct()
 
 
@@ -207,7 +215,7 @@ def candidate_ways(f: Factors, catalog: DataFrame, small_pool: int = 1000) -> Da
     material = f.hits.filter("how <> 'fuzzy'").select("word").distinct()
     whole = f.names.agg(F.array_compact(F.array(*(F.max(F.when(Y.contains_compound(F.col("plain"), F.lit(c)), c)) for c in Y.COMPOUNDS))).alias("held"))  # one row
     outright = f.asked.select("query_id", F.explode("technical").alias("word")).join(material, "word", "left_semi").select("query_id")
-    parts = f.asked.crossJoin(F.broadcast(whole)).filter(F.exists("technical", lambda w: F.size(F.array_intersect(_part_of(w, F.col("compounds")), "held")) > 0)).select("query_id")
+    parts = f.asked.crossJoin(F.broadcast(whole)).filter(F.arrays_overlap("parts", "held")).select("query_id")
     some = outright.unionByName(parts).distinct().withColumn("material", F.lit(True))
     out = f.asked.join(narrow, ["set", "head"], "left").join(some, "query_id", "left").join(starts, "head", "left")
     way = F.when((F.col("n_significant") >= 2) & F.col("narrow"), 1).when((F.col("n_significant") >= 2) & F.col("narrow").isNotNull(), 2).when(F.col("material"), 3).otherwise(4)
@@ -216,7 +224,7 @@ def candidate_ways(f: Factors, catalog: DataFrame, small_pool: int = 1000) -> Da
 
 def _found_rows(f: Factors, ways: DataFrame, catalog: DataFrame, material: DataFrame) -> DataFrame:
     """query_id, way and catalogue rows: by all words or by the head as ways say, by material as given (query_id, name)."""
-    rows = f.names.select("name", "plain").join(catalog.withColumnRenamed("name", "written"), "plain")
+    rows = f.names.select("name", "plain").join(catalog.select("id", "code", F.col("name").alias("written"), "plain"), "plain")
     columns = ["query_id", "id", "code", F.col("written").alias("name"), "plain", "way"]
     every = ways.filter("way <= 2").select("query_id", "set", "head", "way").join(f.every, "set").join(rows, "name")
     every = every.filter((F.col("way") == 2) | F.startswith(F.lower("written"), F.col("head"))).select(*columns)
@@ -257,6 +265,11 @@ def fuzzy_match_topk(queries: DataFrame, catalog: DataFrame, least: float = 0.6,
     return out.drop("sequence", "partial")
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _shapes(names: DataFrame) -> Column:
     """For each number of distinct words (of 64 or more together) the range of letters and words that names of it have, as a literal array."""
     size = F.least(F.size(F.array_distinct("words")), F.lit(64)).alias("distinct")
@@ -271,7 +284,7 @@ def _sharing(asked: DataFrame, f: Factors) -> DataFrame:
     looked up (no name of the sizes that occur reaches it with only these in common); the others are, each name by the
     rarest of its words that it has in common. Names that can't reach least by their sizes and common words go.
     """
-    often = f.names.select(F.explode(F.array_distinct("words")).alias("word"), "name").groupBy("word").agg(F.count("*").alias("n"))
+    often = f.names.select(F.explode("held").alias("word"), "name").groupBy("word").agg(F.count("*").alias("n"))
     spelt = asked.select("query_id", F.explode(F.array_distinct("expanded_words")).alias("word")).join(often, "word")
     spelt = spelt.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda w: w["word"]).alias("rare_first"))
     shapes = _shapes(f.names)
@@ -282,12 +295,12 @@ def _sharing(asked: DataFrame, f: Factors) -> DataFrame:
     useless = F.size(F.filter(F.sequence(F.lit(0), F.size("rare_first")), lambda r: most(r) < F.col("least") - 1e-9)) - 1
     looked_up = asked.join(spelt, "query_id").withColumn("useless", F.greatest(F.lit(0), useless))
     looked_up = cut_lineage(looked_up.withColumn("key", F.slice("rare_first", F.lit(1), F.size("rare_first") - F.col("useless"))))
-    postings = f.names.select("name", "plain", F.array_distinct("words").alias("held"), F.size("words").alias("m"), F.length("plain").alias("letters"))
-    met = looked_up.withColumn("word", F.explode("key")).join(postings.withColumn("word", F.explode("held")), "word")
-    met = met.withColumn("common", F.array_intersect("rare_first", "held")).filter(F.col("common")[0] == F.col("word"))
-    bound = lambda shape, words: S.confidence_bound(F.col(shape), F.col("letters"), F.col("m"), F.size("held"), F.size(F.array_intersect(words, "common")))
-    met = met.filter(F.greatest(bound("shape", "words"), bound("expanded_shape", "expanded_words")) >= F.col("least") - 1e-9)
-    return met.filter(F.exists("technical", lambda w: _holds(F.col("plain"), w, F.col("compounds")))).select("query_id", "name")
+    postings = f.names.select("name", "plain", "held", F.size("words").alias("m"), F.length("plain").alias("letters"))
+    met = spread(looked_up.withColumn("word", F.explode("key")), "query_id", "word").join(postings.withColumn("word", F.explode("held")), "word")
+    bound = lambda shape, both: S.confidence_bound(F.col(shape), F.col("letters"), F.col("m"), F.size("held"), both)
+    within = lambda n: F.greatest(bound("shape", n["own"]), bound("expanded_shape", n["spelt"])) >= F.col("least") - 1e-9
+    met = met.filter(_with(F.array_intersect("rare_first", "held"), lambda common: (common[0] == F.col("word")) & _with(F.struct(F.size(F.array_intersect("words", common)).alias("own"), F.size(common).alias("spelt")), within)))
+    return met.filter(_holds(F.col("plain"), F.col("terms"), F.col("parts"))).select("query_id", "name")
 
 
 def confidence_match_topk(queries: DataFrame, catalog: DataFrame, least: float = 0.6, k: int = 1, scorer: str = "fuzzy") -> DataFrame:
@@ -307,11 +320,14 @@ def confidence_match_topk(queries: DataFrame, catalog: DataFrame, least: float =
     shares = F.col("least") > S.WITHOUT_COMMON_WORD + 1e-9
     third = ways.filter("way = 3")
     material = _sharing(third.filter(shares), f).unionByName(_material(third.filter(~shares), f))
-    rows = _found_rows(f, ways, catalog, material).filter("plain <> ''").join(ways.drop("way", "set", "head", "first", "significant", "technical", "compounds", "n_significant", "small"), "query_id")
+    of_query = ways.drop("way", "set", "head", "first", "significant", "technical", "terms", "parts", "compounds", "n_significant", "small")
+    # Dealt out before the bounds are worked out: Catalyst takes filters down through what is dealt out after them.
+    rows = spread(_found_rows(f, ways, catalog, material), "query_id", "plain").join(of_query, "query_id").join(f.names.select("plain", "held", F.size("words").alias("m")), "plain")
     rows = filter_by_unit(rows) if "user_unit" in queries.columns else rows
-    held = S.tokens(F.col("plain"))
-    bound = lambda shape, words: S.confidence_bound(F.col(shape), F.length("plain"), F.size(held), F.size(F.array_distinct(held)), F.size(F.array_intersect(words, held)))
-    rows = rows.withColumn("bound", F.when((F.col("plain") == F.col("query")) | (F.col("plain") == F.col("expanded")), 1.0).otherwise(F.greatest(bound("shape", "words"), bound("expanded_shape", "expanded_words"))))
+    bound = lambda shape, both: S.confidence_bound(F.col(shape), F.length("plain"), F.col("m"), F.size("held"), both)
+    same = (F.col("plain") == F.col("query")) | (F.col("plain") == F.col("expanded"))
+    common = F.struct(F.size(F.array_intersect("words", "held")).alias("own"), F.size(F.array_intersect("expanded_words", "held")).alias("spelt"))
+    rows = rows.withColumn("bound", _with(common, lambda n: F.when(same, 1.0).otherwise(F.greatest(bound("shape", n["own"]), bound("expanded_shape", n["spelt"])))))
     rows = rows.filter(F.col("bound") >= F.col("least") - 1e-9).select("query_id", "query", "expanded", "id", "code", "name", "plain", "way", "least", "k", "bound")
     return best_rows(rows, scorer).withColumn("score", F.round("score", 4)).drop("expanded", "least", "k", "bound")
 
@@ -349,7 +365,7 @@ def best_rows(rows: DataFrame, scorer: str = "fuzzy") -> DataFrame:
         rank = np.arange(len(group)) - np.searchsorted(group, group) + 1
         return table.append_column("score", pa.array(scores)).append_column("rank", pa.array(rank, pa.int32())).select(kept).combine_chunks().to_batches()
 
-    return rows.repartition("query_id").sortWithinPartitions("query_id", F.desc("bound"), "id").mapInArrow(best, schema)
+    return spread(rows, "query_id").sortWithinPartitions("query_id", F.desc("bound"), "id").mapInArrow(best, schema)
 
 
 def top_of(table: pa.Table, group: np.ndarray, scores: np.ndarray, score) -> np.ndarray:

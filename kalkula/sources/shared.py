@@ -23,3 +23,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{at.rstrip('/')}/kalkula-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt out to all shuffle partitions, which adaptive execution doesn't put together: for rows that are few in bytes and much work each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
