@@ -93,7 +93,7 @@ def append_unmatched(spark, sf_dir):
     S.append_unmatched(found.filter("length(name) % 2 = 0"), path)
     S.append_unmatched(found, path)
     S.append_unmatched(found, path)
-    return spark.read.parquet(path)
+    return S.read_unmatched(spark, path)
 
 
 def _stream(spark, df):
@@ -103,12 +103,16 @@ def _stream(spark, df):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@query("WITH j AS (SELECT DISTINCT l_orderkey AS job_id FROM lineitem JOIN events ON user_id = l_orderkey) SELECT job_id, count(*) AS n FROM items JOIN j USING (job_id) GROUP BY 1")
+@query("""WITH j AS (SELECT DISTINCT l_orderkey AS job_id FROM lineitem JOIN events ON user_id = l_orderkey), s AS (SELECT *, (2 * cost_cents * 1000 + total) // (2 * total) AS steps FROM (SELECT *, sum(cost_cents) OVER (PARTITION BY job_id)::BIGINT AS total FROM items JOIN j USING (job_id))),
+g AS (SELECT *, cost_cents * 1000 - steps * total AS gap, 1000 - sum(steps) OVER (PARTITION BY job_id) AS away FROM s)
+SELECT job_id, item_id, (steps + CASE WHEN away > 0 THEN CASE WHEN row_number() OVER (PARTITION BY job_id ORDER BY gap DESC, item_id::VARCHAR) <= away THEN 1 ELSE 0 END
+ ELSE CASE WHEN row_number() OVER (PARTITION BY job_id ORDER BY gap, item_id::VARCHAR) <= -away THEN -1 ELSE 0 END END)::BIGINT AS weight_steps FROM g""")
 def stream_recalc_weights(spark, sf_dir):
-    changes = table(spark, sf_dir, "events").selectExpr("user_id as job_id", "ts")
+    changes, own = table(spark, sf_dir, "events").selectExpr("user_id as job_id", "ts"), items(spark, sf_dir)
     path = _scratch(spark)
-    feeds.stream_recalc_weights(_stream(spark, changes), items(spark, sf_dir), f"{path}/out", f"{path}/state").awaitTermination()
-    return feeds.current_weights(spark.read.parquet(f"{path}/out")).groupBy("job_id").agg(F.count("*").alias("n"))
+    S.write_jobs_and_items(job_totals(own), own, f"{path}/store")
+    feeds.stream_recalc_weights(_stream(spark, changes), spark.read.parquet(f"{path}/store/items"), f"{path}/out", f"{path}/state").awaitTermination()
+    return feeds.current_weights(spark.read.parquet(f"{path}/out"))
 
 
 @query("WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id AS row_key, event_type FROM e WHERE k = 1")
@@ -116,17 +120,16 @@ def stream_overrides(spark, sf_dir):
     changes = table(spark, sf_dir, "events").selectExpr("user_id as row_key", "struct(ts, event_id) as ts", "event_type")
     path = _scratch(spark)
     feeds.stream_overrides(_stream(spark, changes), f"{path}/out", f"{path}/state").awaitTermination()
-    return feeds.current_overrides(spark.read.parquet(f"{path}/out")).select("row_key", "event_type")
+    return feeds.current_overrides(spark, f"{path}/out").select("row_key", "event_type")
 
 
 @query(f"WITH {_CARRY} SELECT file_id, row_idx, section_letter, section_roman, CASE index_kind WHEN 'letter' THEN 'CATEGORY' WHEN 'roman' THEN 'SECTION' END AS section_type FROM c")
 def stream_ingest_boq(spark, sf_dir):
     sheets = cells(spark, sf_dir)
     path = _scratch(spark)
-    source = f"{path}/in"
-    sheets.repartition(4, "file_id").write.parquet(source)
-    stream = spark.readStream.schema(sheets.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    feeds.stream_ingest_boq(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    # Rows of a sheet lie in several files, so it arrives over both batches.
+    whole = sheets.join(sheets.groupBy("file_id").agg(F.count("*").alias("n_rows")), "file_id")
+    feeds.stream_ingest_boq(_stream(spark, whole), f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("file_id", "row_idx", "section_letter", "section_roman", "section_type")
 
 
