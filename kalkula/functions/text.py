@@ -59,15 +59,28 @@ def normal_form(text: str | None, stopwords: frozenset[str] = frozenset()) -> st
     return " ".join(out + [w for w in _plain(text[at:]).split() if w not in stopwords])
 
 
+#: Texts of printable ASCII and white space need no NFKD.
+_ASCII = r"^[\t-\r\x20-\x7e]*$"
+_MARK = "\u0001"
+
+
 def normalize_text(text: Column | str, stopwords: tuple[str, ...] = ()) -> Column:
-    """Comparable form of a description (NFKD is no built-in function, so in Arrow batches)."""
+    """Comparable form of a description (normal_form): by built-in functions where it is ASCII, in Arrow batches where NFKD is needed."""
     drop = frozenset(stopwords)
+    text = F.col(text) if isinstance(text, str) else text
 
     @F.pandas_udf(T.StringType())
     def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: normal_form(x, drop))
-
-    return normal(text)
+        known = {x: normal_form(x, drop) for x in s.dropna().unique()}
+        return pd.Series([known.get(x) for x in s], dtype=object)
+
+    given = F.coalesce(text, F.lit(""))
+    simple = given.rlike(_ASCII)
+    spelt = F.regexp_replace(F.regexp_replace(given, r"(?i)\b(AT)\s+(\d+)\s+(\d+)\b", "$1.$2-$3"), r"(?i)\b(AT)\s+(\d+)\b", "$1.$2")
+    # Codes stand at the odd places between marks.
+    parts = F.split(F.regexp_replace(spelt, r"\b([A-Za-z]+(?:[.-][A-Za-z0-9]+)+)\b", f"{_MARK}$1{_MARK}"), _MARK)
+    words = F.flatten(F.transform(parts, lambda part, i: F.when(i % 2 == 1, F.array(part)).otherwise(F.filter(F.split(F.lower(part), "[^0-9a-z]+"), lambda w: (w != "") & (~w.isin(*drop) if drop else F.lit(True))))))
+    return F.when(simple, F.array_join(words, " ")).otherwise(normal(F.when(~simple, text)))
 
 
 def remove_stopwords(text: Column, stopwords: tuple[str, ...]) -> Column:

@@ -36,6 +36,15 @@ def test_normalize_text(spark):
     assert values(spark, list(TEXTS), T.normalize_text) == list(TEXTS.values())
 
 
+def test_both_ways_of_normalizing_agree(spark):
+    """ASCII texts by built-in functions, the same by the rule for any text."""
+    rng = random.Random(3)
+    bits = ["AT", "at", "19", "1", "A.1", "B-2.c", "T.14.d", "m2", "x_y", "'", "-", ".", ",", "|", "\t", "\n", "dan", "Dan", "pasir", "1 x", "AT 5 6x", "é", "²", "\x1c", ""]
+    raw = [rng.choice(["", " "]).join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(600)]
+    for stop in ((), ("dan", "x")):
+        assert values(spark, raw, lambda c: T.normalize_text(c, stop)) == [T.normal_form(x, frozenset(stop)) for x in raw]  # noqa: B023
+
+
 @pytest.mark.parametrize(
     ("parse", "cases"),
     [
