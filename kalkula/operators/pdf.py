@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kalkula.operators.rows import PDF_SECTIONS, UNIT_WORDS
+from kalkula.sources.shared import cut_lineage
 
 # Parts of header texts and the columns they name.
 HEADERS = {
@@ -85,8 +86,8 @@ def group_fragments_to_rows(fragments: DataFrame, bounds: DataFrame, below: floa
     """Fragments under the header with their line: bucket (tenths of y) and row_y (mean)."""
     tops = bounds.groupBy("doc_id", "page").agg(F.first("header_y").alias("header_y"))
     body = fragments.filter("trim(text) <> ''").join(tops, ["doc_id", "page"]).filter(F.col("header_y").isNull() | (F.col("y") > F.col("header_y") + below)).withColumn("bucket", F.round(F.col("y") * 10).cast("long"))
-    means = body.groupBy("doc_id", "page", "bucket").agg(F.avg("y").alias("row_y"))
-    return body.drop("header_y").join(means, ["doc_id", "page", "bucket"])
+    # Dealt by page for the join already, so lines need no exchange of their own.
+    return body.drop("header_y").withColumn("row_y", F.avg("y").over(W.partitionBy("doc_id", "page", "bucket")))
 
 
 def assign_columns(lines: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -112,6 +113,13 @@ def assign_columns(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", "row_y", reset_implausible(F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), value(k).alias("value"))))).alias("values"))
 
 
+def page_rows(fragments: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Rows of all pages (assign_columns) from fragments. Bounds, a few rows a page, are written down, so headers are looked for once."""
+    bounds = cut_lineage(column_boundaries(map_pdf_headers(fragments, find_pdf_header(fragments)), rules))
+    bounds = cut_lineage(carry_header(fragments, bounds))
+    return assign_columns(group_fragments_to_rows(fragments, bounds), bounds)
+
+
 def reset_implausible(values: Column) -> Column:
     """The map from column to text, with an empty unit and the volume 0 if the volume has no digit and the unit is unknown."""
     volume, unit = (F.coalesce(values[k], F.lit("")) for k in ("volume", "satuan"))
@@ -120,8 +128,6 @@ def reset_implausible(values: Column) -> Column:
     return F.when(odd, F.map_concat(rest, F.create_map(F.lit("satuan"), F.lit(""), F.lit("volume"), F.lit("0")))).otherwise(values)
 
 
-
-
 def merge_broken_rows(rows: DataFrame) -> DataFrame:
     """Rows (doc_id, row_idx, number, description, unit, volume, ...) without number and volume are appended to the last row kept.
 

@@ -151,9 +151,7 @@ def group_fragments_to_rows(spark, sf_dir):
 
 @query("""WITH l AS (SELECT *, (1 + item_id % 2)::INT AS page, (40 + 20 * (item_id % 100))::DOUBLE AS row_y FROM items) SELECT job_id AS doc_id, page, row_y, line::VARCHAR AS number, 'Work ' || part_id || CASE part_id % 4 WHEN 0 THEN ' beton cor' WHEN 1 THEN ' a very long unit text' ELSE '' END AS description, CASE WHEN part_id % 4 > 1 THEN 'm2' END AS unit, quantity::VARCHAR AS volume FROM l WHERE page = 2 OR row_y > 56""")
 def assign_columns(spark, sf_dir):
-    frags = fragments(spark, sf_dir)
-    bounds = D.carry_header(frags, _bounds(frags))
-    df = D.assign_columns(D.group_fragments_to_rows(frags, bounds), bounds)
+    df = D.page_rows(fragments(spark, sf_dir))
     return df.select("doc_id", "page", "row_y", F.col("values")["no"].alias("number"), F.col("values")["uraian"].alias("description"), F.col("values")["satuan"].alias("unit"), F.col("values")["volume"].alias("volume"))
 
 
