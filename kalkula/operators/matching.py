@@ -304,7 +304,12 @@ def _sharing(asked: DataFrame, f: Factors) -> DataFrame:
 
 
 def confidence_match_topk(queries: DataFrame, catalog: DataFrame, least: float = 0.6, k: int = 1, scorer: str = "fuzzy") -> DataFrame:
-    """Candidates by the larger confidence of the query and of the query with synonyms; rank by it, four decimals of it given.
+    """The k best candidates of each query (confident_rows), scores with four decimals."""
+    return confident_rows(queries, catalog, least, k, scorer).withColumn("score", F.round("score", 4))
+
+
+def confident_rows(queries: DataFrame, catalog: DataFrame, least: float = 0.6, k: int = 1, scorer: str = "fuzzy") -> DataFrame:
+    """Candidates by the larger confidence of the query and of the query with synonyms, with score and rank.
 
     queries may have least and k of their own. Where least takes a common word, names are met through the words in common
     (_sharing) instead of through all candidates. Each query's rows come with the highest bound first; it keeps k rows
@@ -329,7 +334,7 @@ def confidence_match_topk(queries: DataFrame, catalog: DataFrame, least: float =
     common = F.struct(F.size(F.array_intersect("words", "held")).alias("own"), F.size(F.array_intersect("expanded_words", "held")).alias("spelt"))
     rows = rows.withColumn("bound", _with(common, lambda n: F.when(same, 1.0).otherwise(F.greatest(bound("shape", n["own"]), bound("expanded_shape", n["spelt"])))))
     rows = rows.filter(F.col("bound") >= F.col("least") - 1e-9).select("query_id", "query", "expanded", "id", "code", "name", "plain", "way", "least", "k", "bound")
-    return best_rows(rows, scorer).withColumn("score", F.round("score", 4)).drop("expanded", "least", "k", "bound")
+    return best_rows(rows, scorer).drop("expanded", "least", "k", "bound")
 
 
 def best_rows(rows: DataFrame, scorer: str = "fuzzy") -> DataFrame:
@@ -405,9 +410,9 @@ def best_match(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     exact = cut_lineage(by_code.unionByName(by_name).withColumn("score", F.lit(1.0)).withColumn("rank", F.lit(1)))
     one = F.size(S.tokens(F.col("query"))) == 1
     rest = queries.join(exact, "query_id", "left_anti").withColumn("least", F.when(one, 0.25).otherwise(0.6)).withColumn("k", F.when(one, 5).otherwise(10))
-    top = confidence_match_topk(rest, catalog).withColumn("one", one)
+    top = cut_lineage(confident_rows(rest, catalog).withColumn("one", one))
     sure = top.filter("not one and rank = 1 and score >= 0.9").select("query_id", F.lit(True).alias("sure"))
-    top = top.join(sure, "query_id", "left").filter("rank = 1 or sure is null").withColumn("matched_on", F.lit("fuzzy"))
+    top = top.join(sure, "query_id", "left").filter("rank = 1 or sure is null").withColumn("matched_on", F.lit("fuzzy")).withColumn("score", F.round("score", 4))
     return exact.select(*columns).unionByName(top.select(*columns))
 
 

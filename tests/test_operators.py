@@ -231,3 +231,29 @@ def test_near_words_by_brute_force(spark):
     df = spark.createDataFrame([(w,) for w in ws], "word string")
     got = {(r["word"], r["other"]) for r in M.near_words(df, df.withColumnRenamed("word", "other")).collect()}
     assert got == {(a, b) for a in ws for b in ws if a != b and a[0] == b[0] and brute.sequence_ratio(a, b) >= 0.8}
+
+
+def test_whole_cascade_by_brute_force(spark):
+    """Abbreviations, exact matches, thresholds of one and more words, units, ties: every candidate is scored by definition."""
+    cat_rows = [*CATALOG, (7, "PL.1", "plester dinding 1 m2"), (8, "PL.2", "plester dinding bata 1 m3"), (9, "PL.3", "plester dinding batu dan bata"), (10, "KR.1", "keramik"), (11, "KR.2", "keramik lantai"), (12, "KR.3", "keramik dinding 20x20"), (13, "KR.4", "pasang keramik lantai merah"), (14, "KR.5", "pasang keramik lantai putih"), (15, "BT.9", "beton beton cor k225"), (16, "PT.7", "pekerjaan pipa air bersih")]
+    cat = spark.createDataFrame(cat_rows, "id long, code string, name string").withColumn("plain", T.normalize_text("name"))
+    asked = [("PLST dinding", None), ("plst dinding bt", "m2"), ("plester dinding", "m3"), ("keramik", "m2"), ("keramikk", None), ("pasang keramik lantai", None), ("pasang keramik lantai hijau", "m2"), ("AT-01.001", None), ("pekerjaan galian tanah biasa", "kg"), ("beton k225", None), ("pipa air", "m"), ("zzz qqq", None), (" ", None), ("dan", None)]
+    q = spark.createDataFrame([(i, r, u) for i, (r, u) in enumerate(asked)], "query_id long, raw string, user_unit string")
+    spelt = q.withColumn("raw", T.expand_abbreviations(F.col("raw"))).withColumn("query", T.normalize_text("raw")).filter("query <> ''")
+    known = {r["query_id"]: r for r in spelt.withColumn("e", Y.expand_query(F.col("query"))).collect()}
+    found = M.filter_by_unit(M.retrieve_candidates(spelt, cat).join(spelt.select("query_id", "user_unit"), "query_id")).collect()
+    key = lambda s: "".join(c for c in s.upper() if c.isalnum())
+    want = set()
+    for i, r in known.items():
+        raw, query = r["raw"].strip(), r["query"]
+        exact = [c for c in cat_rows if any(x.isdigit() for x in raw) and any(x.isalpha() for x in raw) and key(c[1]) == key(raw) and c[1].upper() in {raw.upper(), raw.upper().replace("-", "."), raw.upper().replace(".", "-")}] or [c for c in cat_rows if T.normal_form(c[2]) == query and c[2].lower().startswith(r["raw"])]
+        if exact:
+            want.add((i, min(exact)[0], 1, 1.0))
+            continue
+        least, k = (0.25, 5) if len(query.split()) == 1 else (0.6, 10)
+        own = sorted((-s, c["id"]) for c in found if c["query_id"] == i and (s := max(brute.confidence(query, c["plain"]), brute.confidence(r["e"], c["plain"]))) >= least)[:k]
+        own = own[:1] if len(query.split()) > 1 and own and -own[0][0] >= 0.9 else own
+        want |= {(i, c, n + 1, round(-s, 4)) for n, (s, c) in enumerate(own)}
+    got = {(r["query_id"], r["id"], r["rank"], round(r["score"], 4)) for r in M.best_match(q, cat).collect()}
+    assert got == want
+    assert len({w[0] for w in want}) >= 8
