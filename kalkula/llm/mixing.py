@@ -115,14 +115,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 
 def drawn_by_content(placed: DataFrame, number: str, draw: str) -> DataFrame:
-    """placed with a number that depends on the row's content and, of rows equal in all columns, on its place among these.
+    """A number for each row from its id, text and source and, where rows are equal in these, from its place among them by all its columns.
 
-    So it doesn't matter which row has which number. Only rows that occur more than once are ranked.
+    So it doesn't matter which row has which number, nor which columns there are besides. Only rows that occur more than once are ranked.
     """
-    content = placed.select(number, row_hash(placed.drop(number)).alias(draw))
+    own = [c for c in ("doc_id", "text", "source") if c in placed.columns]
+    content = placed.select(number, row_hash(placed.select(*own)).alias(draw), row_hash(placed.drop(number)).alias("whole"))
     again = content.groupBy(draw).agg(F.count("*").alias("n")).filter("n > 1").select(draw)
-    ranked = content.join(again, draw, "left_semi").select(number, F.row_number().over(W.partitionBy(draw).orderBy(number)).alias("rank"))
-    return content.join(ranked, number, "left").select(number, F.xxhash64(draw, F.coalesce("rank", F.lit(1))).alias(draw))
+    ranked = content.join(again, draw, "left_semi").select(number, F.row_number().over(W.partitionBy(draw).orderBy("whole", number)).alias("rank"))
+    return content.select(number, draw).join(ranked, number, "left").select(number, F.xxhash64(draw, F.coalesce("rank", F.lit(1))).alias(draw))
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
