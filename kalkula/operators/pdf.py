@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kalkula.operators.rows import PDF_SECTIONS, UNIT_WORDS
-from kalkula.sources.shared import cut_lineage
 
 # Parts of header texts and the columns they name.
 HEADERS = {
@@ -22,26 +21,42 @@ CORE = ("uraian", "satuan", "volume")
 # Units that belong to the text of a continued row.
 MEASURES = ("mm", "cm", "cm2", "cm3", "m2", "m3")
 _KEYWORDS = sorted({v for variants in HEADERS.values() for v in variants})
-_PLAIN = "trim(regexp_replace(lower(text), '\\\\s+', ' '))"
+
+
+def text_lines(fragments: DataFrame) -> DataFrame:
+    """doc_id, page, bucket (tenths of y) and cells: the line's fragments (x, text, y) from left to right, blank ones left out."""
+    shown = fragments.filter("trim(text) <> ''").withColumn("bucket", F.round(F.col("y") * 10).cast("long"))
+    cell = F.struct(F.col("x").cast("double").alias("x"), F.trim("text").alias("text"), F.col("y").cast("double").alias("y"))
+    return shown.groupBy("doc_id", "page", "bucket").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+
+
+def _ranked(lines: DataFrame) -> DataFrame:
+    """text_lines with rank: a page's header has the least: all core words, then most header words (two at least), then most fragments."""
+    # No keyword holds the separator, so a line holds a keyword just where one of its fragments does.
+    df = lines.withColumn("plain", F.regexp_replace(F.lower(F.array_join("cells.text", "\x01")), r"\s+", " "))
+    held = F.filter(F.array(*map(F.lit, _KEYWORDS)), lambda k: F.contains(F.col("plain"), k))
+    df = df.withColumn("words", F.size(held)).withColumn("core", F.forall(F.array(*map(F.lit, CORE)), lambda k: F.contains(F.col("plain"), k)))
+    rank = lambda a, b, c: F.struct(F.lit(a).alias("a"), b.cast("long").alias("b"), c.cast("long").alias("c"))
+    order = F.when(F.col("core"), rank(0, F.col("bucket"), F.lit(0))).when(F.col("words") >= 2, rank(1, -F.col("words"), F.col("bucket"))).otherwise(rank(2, -F.size("cells"), F.col("bucket")))
+    return df.withColumn("rank", order).drop("plain", "words", "core")
 
 
 def find_pdf_header(fragments: DataFrame) -> DataFrame:
     """doc_id, page, header_bucket (tenths of y): the first line with all core words, else the first with most header words (two at least), else the fullest."""
-    lines = fragments.filter("trim(text) <> ''").withColumn("bucket", F.round(F.col("y") * 10).cast("long")).withColumn("plain", F.expr(_PLAIN))
-    held = F.array_compact(F.array(*(F.when(F.contains("plain", F.lit(k)), k) for k in _KEYWORDS)))
-    words = lines.groupBy("doc_id", "page", "bucket").agg(F.array_distinct(F.flatten(F.collect_set(held))).alias("words"), F.count("*").alias("n"))
-    core = F.size(F.array_intersect("words", F.array(*map(F.lit, CORE)))) == 3
-    rank = F.when(core, F.struct(F.lit(0).alias("a"), F.col("bucket").alias("b"), F.lit(0).cast("long").alias("c"))).when(F.size("words") >= 2, F.struct(F.lit(1).alias("a"), (-F.size("words")).cast("long").alias("b"), F.col("bucket").alias("c"))).otherwise(F.struct(F.lit(2).alias("a"), (-F.col("n")).alias("b"), F.col("bucket").alias("c")))
-    return words.groupBy("doc_id", "page").agg(F.min_by("bucket", rank).alias("header_bucket"))
+    return _ranked(text_lines(fragments)).groupBy("doc_id", "page").agg(F.min_by("bucket", "rank").alias("header_bucket"))
 
 
-def map_pdf_headers(fragments: DataFrame, headers: DataFrame, y_tolerance: float = 0.5, gap: float = 50.0) -> DataFrame:
-    """doc_id, page, header_y and a map from column to x. Fragments within gap of the first of a run are one header text.
+def _near(y_tolerance: float) -> Column:
+    """The cells of a line within the tolerance of the header."""
+    return F.filter("cells", lambda c: F.abs(c["y"] - F.col("header_bucket") / 10) <= y_tolerance)
 
-    Pages whose header lacks a core column are left out.
+
+def _header_columns(near: DataFrame, gap: float) -> DataFrame:
+    """doc_id, page, header_y and columns from lines (doc_id, page, header_bucket, cells) that hold the header's fragments.
+
+    Columns are null where a core column lacks (a filter here would have them made twice).
     """
-    near = fragments.filter("trim(text) <> ''").join(headers, ["doc_id", "page"]).filter(F.abs(F.col("y") - F.col("header_bucket") / 10) <= y_tolerance)
-    lists = near.groupBy("doc_id", "page", "header_bucket").agg(F.array_sort(F.collect_list(F.struct("x", F.trim("text").alias("text")))).alias("parts"))
+    lists = near.groupBy("doc_id", "page").agg(F.first("header_bucket").alias("header_bucket"), F.array_sort(F.flatten(F.collect_list("cells"))).alias("parts"))
     start = F.array().cast("array<struct<x:double,text:string>>")
 
     def step(runs, part):
@@ -50,27 +65,50 @@ def map_pdf_headers(fragments: DataFrame, headers: DataFrame, y_tolerance: float
         rest = F.slice(runs, F.lit(1), F.greatest(F.lit(0), F.size(runs) - 1))
         return F.when((F.size(runs) > 0) & (part["x"] - last["x"] <= gap), F.concat(rest, F.array(joined))).otherwise(F.concat(runs, F.array(F.struct(part["x"].alias("x"), part["text"].alias("text")))))
 
-    merged = lists.withColumn("runs", F.aggregate("parts", start, step))
-    plain = lambda r: F.regexp_replace(F.lower(r["text"]), r"\s+", " ")
-    first = lambda variants: F.get(F.filter("runs", lambda r: plain(r).rlike("|".join(variants))), F.lit(0))["x"]
-    entries = F.array_compact(F.array(*(F.when(first(v).isNotNull(), F.struct(F.lit(k).alias("key"), first(v).alias("x"))) for k, v in HEADERS.items())))
-    out = merged.select("doc_id", "page", (F.col("header_bucket") / 10).alias("header_y"), F.map_from_entries(entries).alias("columns"))
-    return out.filter(F.size(F.array_intersect(F.map_keys("columns"), F.array(*map(F.lit, CORE)))) == 3)
+    plain = F.transform(F.aggregate("parts", start, step), lambda r: F.struct(r["x"].alias("x"), F.regexp_replace(F.lower(r["text"]), r"\s+", " ").alias("text")))
+    merged = lists.withColumn("runs", plain)
+    first = lambda variants: F.get(F.filter("runs", lambda r: r["text"].rlike("|".join(variants))), F.lit(0))["x"]
+    entries = F.array(*(F.struct(F.lit(k).alias("key"), first(v).alias("x")) for k, v in HEADERS.items()))
+    out = merged.select("doc_id", "page", (F.col("header_bucket") / 10).alias("header_y"), F.filter(entries, lambda e: e["x"].isNotNull()).alias("found"))
+    whole = F.size(F.array_intersect("found.key", F.array(*map(F.lit, CORE)))) == 3
+    return out.select("doc_id", "page", "header_y", F.when(whole, F.map_from_entries("found")).alias("columns"))
 
 
-def column_boundaries(mapped: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """doc_id, page, header_y, key, low, high, open (null) at both ends.
+def map_pdf_headers(fragments: DataFrame, headers: DataFrame, y_tolerance: float = 0.5, gap: float = 50.0) -> DataFrame:
+    """doc_id, page, header_y and a map from column to x. Fragments within gap of the first of a run are one header text.
+
+    Pages whose header lacks a core column are left out.
+    """
+    lines = text_lines(fragments).join(headers, ["doc_id", "page"]).withColumn("cells", _near(y_tolerance)).filter(F.size("cells") > 0)
+    return _header_columns(lines, gap).filter("columns is not null")
+
+
+def page_bounds(mapped: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, header_y and bounds: an array of (key, low, high), null at open ends; a row for each page, no exchange without rules.
 
     Bounds are midpoints between neighbouring headers; on pages with vertical rules (doc_id, page, x) the rules around the header.
     """
-    cells = mapped.select("doc_id", "page", "header_y", F.explode("columns").alias("key", "x"))
-    order = W.partitionBy("doc_id", "page").orderBy("x", "key")
-    out = cells.select("doc_id", "page", "header_y", "key", "x", ((F.lag("x").over(order) + F.col("x")) / 2).alias("low"), ((F.lead("x").over(order) + F.col("x")) / 2).alias("high"))
-    if rules is not None:
-        lines = rules.groupBy("doc_id", "page").agg(F.collect_set("x").alias("lines"))
-        left, right = F.array_max(F.filter("lines", lambda r: r <= F.col("x"))), F.array_min(F.filter("lines", lambda r: r > F.col("x")))
-        out = out.join(lines, ["doc_id", "page"], "left").withColumn("low", F.when(F.col("lines").isNull(), F.col("low")).otherwise(left)).withColumn("high", F.when(F.col("lines").isNull(), F.col("high")).otherwise(right)).drop("lines")
-    return out.drop("x")
+    out = mapped.withColumn("order", F.array_sort(F.transform(F.map_entries("columns"), lambda e: F.struct(e["value"].alias("x"), e["key"].alias("key")))))
+
+    def middle(c, i):
+        low = F.when(i > 0, (F.get("order", i - 1)["x"] + c["x"]) / 2)
+        return F.struct(c["key"].alias("key"), low.alias("low"), ((F.get("order", i + 1)["x"] + c["x"]) / 2).alias("high"))
+
+    if rules is None:
+        return out.select("doc_id", "page", "header_y", F.transform("order", middle).alias("bounds"))
+
+    def ruled(c):
+        left, right = F.array_max(F.filter("lines", lambda r: r <= c["x"])), F.array_min(F.filter("lines", lambda r: r > c["x"]))
+        return F.struct(c["key"].alias("key"), left.alias("low"), right.alias("high"))
+
+    out = out.join(rules.groupBy("doc_id", "page").agg(F.collect_set("x").alias("lines")), ["doc_id", "page"], "left")
+    bounds = F.when(F.col("lines").isNull(), F.transform("order", middle)).otherwise(F.transform("order", ruled))
+    return out.select("doc_id", "page", "header_y", bounds.alias("bounds"))
+
+
+def column_boundaries(mapped: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """page_bounds as doc_id, page, header_y, key, low, high."""
+    return page_bounds(mapped, rules).select("doc_id", "page", "header_y", F.inline("bounds"))
 
 
 def carry_header(pages: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -90,34 +128,67 @@ def group_fragments_to_rows(fragments: DataFrame, bounds: DataFrame, below: floa
     return body.drop("header_y").withColumn("row_y", F.avg("y").over(W.partitionBy("doc_id", "page", "bucket")))
 
 
+def _rows_of(lines: DataFrame) -> DataFrame:
+    """doc_id, page, row_y and values from lines (cells) with their page's bounds; nothing is exchanged."""
+
+    def centred(b):
+        low, high = b["low"], b["high"]
+        centre = F.when(low.isNull() & high.isNull(), 0.0).when(low.isNull(), high - 50).when(high.isNull(), low + 50).otherwise((low + high) / 2)
+        return F.struct(centre.alias("centre"), F.coalesce(low, F.lit(float("-inf"))).alias("at"), b["key"].alias("key"))
+
+    def placed(c):
+        nearest = F.array_min(F.transform("cols", lambda k: F.struct(F.abs(c["x"] - k["centre"]).alias("d"), k["at"].alias("at"), k["key"].alias("key"))))["key"]
+        return F.struct(c["text"].alias("text"), nearest.alias("key"))
+
+    def marked(c):
+        unit = c["key"] == "satuan"
+        long = unit & ((F.size(F.split(c["text"], r"\s+")) > 2) | (F.length(c["text"]) > 15))
+        token = F.when(unit, F.regexp_replace(F.lower(c["text"]), "[^a-z0-9]", ""))
+        other = F.coalesce((token != "") & ~token.isin(*UNIT_WORDS), F.lit(False))
+        return F.struct(c["text"].alias("text"), F.when(long, "uraian").otherwise(c["key"]).alias("key"), other.alias("other"))
+
+    def settled(c, i):
+        described = (F.col("described") > 0) & (i >= F.col("described"))
+        return F.struct(c["text"].alias("text"), F.when(c["other"] & described, "uraian").otherwise(c["key"]).alias("key"))
+
+    df = lines.withColumn("cols", F.transform("bounds", centred)).withColumn("row_y", F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["y"]) / F.size("cells"))
+    df = df.withColumn("cells", F.transform("cells", placed)).withColumn("cells", F.transform("cells", marked))
+    df = df.withColumn("described", F.array_position("cells.key", F.lit("uraian"))).withColumn("cells", F.transform("cells", settled))
+    df = df.withColumn("keys", F.array_sort(F.array_distinct("cells.key")))
+    value = lambda k: F.array_join(F.transform(F.filter("cells", lambda c: c["key"] == k), lambda c: c["text"]), " ")
+    values = F.map_from_entries(F.transform("keys", lambda k: F.struct(k.alias("key"), value(k).alias("value"))))
+    return df.select("doc_id", "page", "row_y", values.alias("values")).select("doc_id", "page", "row_y", reset_implausible(F.col("values")).alias("values"))
+
+
 def assign_columns(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     """doc_id, page, row_y and values (map from column to text): each fragment goes to the column with the nearest centre.
 
     A fragment in the unit column that is long, or no unit while the description already has text, goes to the description. A
     row with neither a digit in its volume nor a known unit gets an empty unit and the volume 0. Lines are dealt by page once.
     """
-    centre = F.when(F.col("low").isNull() & F.col("high").isNull(), 0.0).when(F.col("low").isNull(), F.col("high") - 50).when(F.col("high").isNull(), F.col("low") + 50).otherwise((F.col("low") + F.col("high")) / 2)
-    columns = bounds.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("low", F.lit(float("-inf"))).alias("at"), centre.alias("centre"), "key"))).alias("cols"))
-    distance = lambda c: F.abs(F.col("x") - c["centre"])
-    nearest = F.array_min(F.transform("cols", lambda c: F.struct(distance(c).alias("d"), c["at"].alias("at"), c["key"].alias("key"))))["key"]
-    near = lines.join(columns, ["doc_id", "page"]).withColumn("key", nearest).drop("cols")
-    unit = F.col("key") == "satuan"
-    long = unit & ((F.size(F.split(F.trim("text"), r"\s+")) > 2) | (F.length("text") > 15))
-    token = F.regexp_replace(F.lower("text"), "[^a-z0-9]", "")
-    before = W.partitionBy("doc_id", "page", "bucket").orderBy("x", "text").rowsBetween(W.unboundedPreceding, -1)
-    near = near.withColumn("described", F.coalesce(F.sum(((F.col("key") == "uraian") | long).cast("int")).over(before), F.lit(0)) > 0)
-    near = near.withColumn("key", F.when(long | (unit & (token != "") & ~token.isin(*UNIT_WORDS) & F.col("described")), "uraian").otherwise(F.col("key")))
-    rows = near.groupBy("doc_id", "page", "bucket").agg(F.first("row_y").alias("row_y"), F.array_sort(F.collect_list(F.struct("x", F.trim("text").alias("text"), "key"))).alias("cells"))
-    keys = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["key"])))
-    value = lambda k: F.array_join(F.transform(F.filter("cells", lambda c: c["key"] == k), lambda c: c["text"]), " ")
-    return rows.select("doc_id", "page", "row_y", reset_implausible(F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), value(k).alias("value"))))).alias("values"))
+    columns = bounds.groupBy("doc_id", "page").agg(F.collect_list(F.struct("key", "low", "high")).alias("bounds"))
+    return _rows_of(text_lines(lines).join(columns, ["doc_id", "page"]))
 
 
-def page_rows(fragments: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Rows of all pages (assign_columns) from fragments. Bounds, a few rows a page, are written down, so headers are looked for once."""
-    bounds = cut_lineage(column_boundaries(map_pdf_headers(fragments, find_pdf_header(fragments)), rules))
-    bounds = cut_lineage(carry_header(fragments, bounds))
-    return assign_columns(group_fragments_to_rows(fragments, bounds), bounds)
+def page_rows(fragments: DataFrame, rules: DataFrame | None = None, y_tolerance: float = 0.5, gap: float = 50.0, below: float = 6.0) -> DataFrame:
+    """Rows of all pages (assign_columns) from fragments, which are dealt by page in one exchange for all steps.
+
+    Lines, headers and cells are made within a page's partition; what else moves is a row of bounds for each page: to its
+    document, for pages that take the bounds of an earlier one (carry_header), and back. Fragments without document or page go.
+    """
+    dealt = fragments.filter("doc_id is not null and page is not null and trim(text) <> ''").select("doc_id", "page", "x", "y", "text").repartition("doc_id", "page")
+    lines = text_lines(dealt)
+    page = W.partitionBy("doc_id", "page")
+    header = _ranked(lines).withColumn("header_bucket", F.min_by("bucket", "rank").over(page)).drop("rank")
+    # Lines away from the header keep no cells, but their pages stay.
+    near = header.withColumn("cells", F.when(F.abs(F.col("bucket") - F.col("header_bucket")) <= y_tolerance * 10 + 1, _near(y_tolerance)).otherwise(F.slice("cells", 1, 0)))
+    pages = page_bounds(_header_columns(near, gap), rules)
+    before = W.partitionBy("doc_id").orderBy("page")
+    top = F.when(F.col("bounds").isNotNull(), F.col("header_y"))
+    known = pages.select("doc_id", "page", top.alias("header_y"), F.last("bounds", ignorenulls=True).over(before).alias("bounds")).filter("bounds is not null")
+    body = F.filter("cells", lambda c: F.col("header_y").isNull() | (c["y"] > F.col("header_y") + below))
+    # Hashed are the pages' bounds: lines stay where they are dealt, and neither side is sent to all.
+    return _rows_of(lines.join(known.hint("shuffle_hash"), ["doc_id", "page"]).withColumn("cells", body).filter(F.size("cells") > 0))
 
 
 def reset_implausible(values: Column) -> Column:

@@ -84,16 +84,16 @@ def parse_cost_sheet(spark, sf_dir):
     return df.select("file_id", "row_idx", "name", *(F.col(c).cast("double").alias(c) for c in ("quantity", "unit_price", "cost")))
 
 
-_FRAG = """SELECT job_id AS doc_id, page, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, text FROM (
-SELECT job_id, 1 AS page, 10 AS x, 50 AS y, 'No' AS text FROM {items} GROUP BY job_id UNION ALL SELECT job_id, 1, 120, 50, 'Uraian' FROM {items} GROUP BY job_id UNION ALL SELECT job_id, 1, 150, 50, 'Pekerjaan' FROM {items} GROUP BY job_id
-UNION ALL SELECT job_id, 1, 260, 50, 'Volume' FROM {items} GROUP BY job_id UNION ALL SELECT job_id, 1, 360, 50, 'Satuan' FROM {items} GROUP BY job_id UNION ALL SELECT job_id, 1, 12, 20, 'Pekerjaan Unit' FROM {items} GROUP BY job_id
-UNION ALL SELECT job_id, CAST(1 + item_id % 2 AS INT), 10, 40 + 20 * (item_id % 100), CAST(line AS STRING) FROM {items} UNION ALL SELECT job_id, CAST(1 + item_id % 2 AS INT), 120, 40 + 20 * (item_id % 100), 'Work ' || CAST(part_id AS STRING) FROM {items}
-UNION ALL SELECT job_id, CAST(1 + item_id % 2 AS INT), 255, 40 + 20 * (item_id % 100), CAST(quantity AS STRING) FROM {items} UNION ALL SELECT job_id, CAST(1 + item_id % 2 AS INT), 355, 40 + 20 * (item_id % 100), CASE WHEN part_id % 4 = 0 THEN 'beton cor' WHEN part_id % 4 = 1 THEN 'a very long unit text' ELSE 'm2' END FROM {items})"""
+_AT = "CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, {text} AS text"
+_HEADS = "SELECT job_id AS doc_id, 1 AS page, inline(array(" + ", ".join(f"struct({_AT.format(x=x, y=y, text=repr(t))})" for x, y, t in ((10, 50, "No"), (120, 50, "Uraian"), (150, 50, "Pekerjaan"), (260, 50, "Volume"), (360, 50, "Satuan"), (12, 20, "Pekerjaan Unit"))) + ")) FROM {items} GROUP BY job_id"
+_UNIT = "CASE WHEN part_id % 4 = 0 THEN 'beton cor' WHEN part_id % 4 = 1 THEN 'a very long unit text' ELSE 'm2' END"
+_BODY = "SELECT job_id AS doc_id, CAST(1 + item_id % 2 AS INT) AS page, inline(array(" + ", ".join(f"struct({_AT.format(x=x, y='40 + 20 * (item_id % 100)', text=t)})" for x, t in ((10, "CAST(line AS STRING)"), (120, "'Work ' || CAST(part_id AS STRING)"), (255, "CAST(quantity AS STRING)"), (355, _UNIT))) + ")) FROM {items}"
 
 
 def fragments(spark, sf_dir):
-    """Written down, since headers, bounds and body all read them."""
-    return cut_lineage(spark.sql(_FRAG, items=cut_lineage(items(spark, sf_dir))))
+    """Six header fragments a job and four an item, written down as a table of fragments would be."""
+    rows = items(spark, sf_dir)
+    return cut_lineage(spark.sql(f"{_BODY} UNION ALL {_HEADS}", items=rows))
 
 
 def _bounds(frags):
