@@ -84,10 +84,10 @@ def round_percentages(items: DataFrame, percent: str, dp: int = 2, job: str = "j
 def normalize_on_largest(items: DataFrame, steps: str, dp: int = 2, job: str = "job_id", item: str = "item_id") -> DataFrame:
     """normal_steps: the gap to 100 % is put on the largest weight (ties in item order), all within 0 and 100 %."""
     full = 100 * 10**dp
-    gap = items.groupBy(job).agg((F.lit(full) - F.sum(steps)).alias("gap"))
-    first = F.row_number().over(W.partitionBy(job).orderBy(F.col(steps).desc(), item)) == 1
-    value = F.col(steps) + F.when(F.col("largest"), F.col("gap")).otherwise(0)
-    return items.join(gap, job).withColumn("largest", first).withColumn("normal_steps", F.greatest(F.lit(0), F.least(F.lit(full), value)).cast("long")).drop("gap", "largest")
+    # the largest is a minimum with the gap's own sum: one partial aggregate, no window over a job
+    gap = items.groupBy(job).agg((F.lit(full) - F.sum(steps)).alias("gap"), F.min_by(item, F.struct(-F.coalesce(F.col(steps), F.lit(-(1 << 62))), F.col(item))).alias("largest"))
+    value = F.col(steps) + F.when(F.col(item) == F.col("largest"), F.col("gap")).otherwise(0)
+    return items.join(gap, job).withColumn("normal_steps", F.greatest(F.lit(0), F.least(F.lit(full), value)).cast("long")).drop("gap", "largest")
 
 
 def first_cost(*columns: str) -> Column:
