@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kalkula.operators.names import free
 from kalkula.operators.rows import PDF_SECTIONS, UNIT_WORDS
+from kalkula.operators.scans import BLOCK, carry_down
 
 # Parts of header texts and the columns they name.
 HEADERS = {
@@ -111,11 +113,14 @@ def column_boundaries(mapped: DataFrame, rules: DataFrame | None = None) -> Data
     return page_bounds(mapped, rules).select("doc_id", "page", "header_y", F.inline("bounds"))
 
 
-def carry_header(pages: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Bounds for every page (doc_id, page): its own, else those of the last page with a header, and then the body starts at the top (header_y null)."""
+def carry_header(pages: DataFrame, bounds: DataFrame, block: int | None = BLOCK) -> DataFrame:
+    """Bounds for every page (doc_id, page): its own, else those of the last page with a header, and then the body starts at the top (header_y null).
+
+    block: documents beyond so many pages are carried down in parts (scans.carry_down).
+    """
     own = bounds.select("doc_id", "page").distinct().withColumn("own_page", F.col("page"))
     known = pages.select("doc_id", "page").distinct().join(own, ["doc_id", "page"], "left")
-    source = known.withColumn("from_page", F.last("own_page", ignorenulls=True).over(W.partitionBy("doc_id").orderBy("page"))).filter("from_page is not null").select("doc_id", "page", "from_page")
+    source = carry_down(known, "doc_id", "page", {"source": (F.col("own_page").isNotNull(), None)}, block).filter("source is not null").select("doc_id", "page", F.col("source.at").alias("from_page"))
     out = source.join(bounds.withColumnRenamed("page", "from_page"), ["doc_id", "from_page"])
     return out.withColumn("header_y", F.when(F.col("page") == F.col("from_page"), F.col("header_y"))).drop("from_page")
 
@@ -199,18 +204,20 @@ def reset_implausible(values: Column) -> Column:
     return F.when(odd, F.map_concat(rest, F.create_map(F.lit("satuan"), F.lit(""), F.lit("volume"), F.lit("0")))).otherwise(values)
 
 
-def merge_broken_rows(rows: DataFrame) -> DataFrame:
+def merge_broken_rows(rows: DataFrame, block: int | None = BLOCK) -> DataFrame:
     """Rows (doc_id, row_idx, number, description, unit, volume, ...) without number and volume are appended to the last row kept.
 
     Their unit is appended too if it is a measure, and lost if it is another. The first row of a document is always kept.
+    block: documents beyond so many rows are marked in parts (scans.carry_down); what is appended to one row is gathered once.
     """
-    order = W.partitionBy("doc_id").orderBy("row_idx")
-    starts = (F.coalesce("number", F.lit("")) != "") | (F.col("volume") != 0) | (F.row_number().over(order) == 1)
-    marked = rows.withColumn("starts", starts).withColumn("island", F.sum(F.col("starts").cast("int")).over(order))
-    suffix = F.when(~F.col("starts") & F.lower(F.trim("unit")).isin(*MEASURES), F.concat_ws(" ", F.trim("description"), "unit")).otherwise(F.col("description"))
-    text = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", suffix.alias("text")))), lambda s: s["text"]), " ")).alias("description")
+    island = free(rows, "island")
+    starts = (F.coalesce("number", F.lit("")) != "") | (F.col("volume") != 0)
+    marked = carry_down(rows, "doc_id", "row_idx", {island: (starts, None)}, block)
+    suffix = F.when(F.lower(F.trim("unit")).isin(*MEASURES), F.concat_ws(" ", F.trim("description"), "unit")).otherwise(F.col("description"))
+    parts = F.array_sort(F.collect_list(F.struct("row_idx", F.col("description").alias("first"), suffix.alias("text"))))
+    text = F.trim(F.array_join(F.transform(parts, lambda s, i: F.when(i == 0, s["first"]).otherwise(s["text"])), " ")).alias("description")
     rest = [c for c in rows.columns if c not in ("doc_id", "description")]
-    merged = marked.groupBy("doc_id", "island").agg(text, F.min_by(F.struct(*rest), "row_idx").alias("head"))
+    merged = marked.groupBy("doc_id", island).agg(text, F.min_by(F.struct(*rest), "row_idx").alias("head"))
     return merged.select("doc_id", "description", *(F.col(f"head.{c}").alias(c) for c in rest))
 
 
