@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kalkula.operators.names import free
-from kalkula.operators.rows import PDF_SECTIONS, UNIT_WORDS
+from kalkula.operators.rows import PDF_SECTIONS, UNIT_WORDS, drop_url_rows, normalize_pdf_rows
 from kalkula.operators.scans import BLOCK, carry_down
+from kalkula.sources.shared import cut_lineage
 
 # Parts of header texts and the columns they name.
 HEADERS = {
@@ -226,3 +227,21 @@ def mark_pdf_sections(rows: DataFrame) -> DataFrame:
     number = F.upper(F.trim(F.coalesce("number", F.lit(""))))
     out = rows.withColumn("is_section", number.isin(*PDF_SECTIONS)).withColumn("section_type", F.when(number == "I", "CATEGORY").when(number.isin(*PDF_SECTIONS), "SECTION"))
     return out.withColumn("number", F.when(number == "I", "A").otherwise(F.col("number"))).withColumn("total_price", F.coalesce("volume", F.lit(0)) * F.coalesce("price", F.lit(0)))
+
+
+#: Numbers of row_idx for each page: tenths of a point down the page stay below it.
+_PAGE = 1 << 20
+
+
+def document_rows(fragments: DataFrame, rules: DataFrame | None = None, pages: int = 1000) -> DataFrame:
+    """Typed rows of documents (file_id, row_idx) from the fragments of their pages: repaired, continued rows joined, rows
+    with links left out, sections marked.
+
+    row_idx grows down the pages. Documents beyond so many pages are gone through in parts.
+    """
+    cell = lambda k: F.col("values")[k].alias(k)
+    at = (F.col("page").cast("long") * _PAGE + F.round(F.col("row_y") * 10).cast("long")).alias("row_idx")
+    # Written down between the steps: as one plan their expressions would be put into each other many times over.
+    cells = cut_lineage(page_rows(fragments, rules).select("doc_id", at, *map(cell, HEADERS)))
+    whole = merge_broken_rows(cut_lineage(normalize_pdf_rows(cells)), pages * _PAGE)
+    return mark_pdf_sections(drop_url_rows(whole)).withColumnRenamed("doc_id", "file_id")

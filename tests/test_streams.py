@@ -7,8 +7,11 @@ import time
 
 from pyspark.sql import functions as F
 
+from kalkula.functions import text as T
+from kalkula.operators.pdf import document_rows
 from kalkula.operators.weights import nearest_then_adjust
 from kalkula.sources import catalogs
+from kalkula.sources.shared import cut_lineage
 from kalkula.sources.upserts import Upserts
 from kalkula.streaming import feeds
 
@@ -134,3 +137,40 @@ def test_recalculation_reads_the_touched_buckets_only(spark, tmp_path):
     assert rows_of(got) == rows_of(nearest_then_adjust(items.filter("job_id in (3, 17)")).select("job_id", "item_id", "weight_steps"))
     plan = got._jdf.queryExecution().toString()
     assert "PartitionFilters: [bucket#" in plan
+
+
+WORKS = [(1, "AT.1", "galian tanah biasa"), (2, "AT.2", "pasang keramik lantai merah"), (3, "AT.3", "beton k225"), (4, "AT.4", "pasang keramik lantai putih"), (5, "AT.5", "pekerjaan pipa air bersih")]
+
+
+def works(spark):
+    return spark.createDataFrame(WORKS, "id long, code string, name string").withColumn("plain", T.normalize_text("name"))
+
+
+def test_sheets_are_matched_by_the_cascade(spark, tmp_path):
+    """From a sheet's cells to a priced job with the matcher that users have: exact, nearly equal, several alike, none, a code."""
+    head = [*HEAD, "Kode Analisa"]
+    body = [["A", "PEKERJAAN TANAH", None, None, None, None, None], ["1", "Galian tanah biasa", "2", "m3", "1000", None, None], ["2", "pasang keramik lantai", "3", "m2", "100", None, None], ["3", "zzz qqq", "1", "ls", "700", None, None], ["4", "Galian tanah biasa", "1", "m3", "0", None, None], ["5", "lain sekali", "x", "m", "50", None, "AT.9"]]
+    rows = [(f, i, r) for f in (1, 2) for i, r in enumerate([head, *body])]
+    spark.createDataFrame(rows, SHEETS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SHEETS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    feeds.stream_ingest_boq(stream, f"{tmp_path}/out", f"{tmp_path}/state", feeds.catalog_match(works(spark))).awaitTermination()
+    got = sorted((r["file_id"], r["row_idx"], r["status"], r["match_id"], float(r["cost"]), r["weight_steps"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    own = [(2, "found", 1, 2000.0, 6557), (3, "found 2 similar", 2, 300.0, 984), (4, "not found", None, 700.0, 2295), (5, "found", 1, 0.0, 0), (6, "found", None, 50.0, 164)]
+    assert got == [(f, *o) for f in (1, 2) for o in own]
+
+
+def fragments_of(doc):
+    """Two pages: headers on the first only, a broken row, a section, a row with a link."""
+    lines = [(1, 50, "No", "Uraian Pekerjaan", "Volume", "Satuan", "Harga Satuan"), (1, 80, "I", "PEKERJAAN TANAH", "", "", ""), (1, 100, "1", "Galian tanah", "2,5", "m3", "1000"), (1, 120, "", "biasa", "", "", ""), (1, 140, "2", "lihat www.toko.com", "1", "m2", "5"), (2, 30, "3", "beton k225", "4", "m3", "500"), (2, 60, "4", "zzz qqq", "1", "ls", "100")]
+    return [(doc, page, float(x), float(y), t) for page, y, *cells in lines for x, t in zip((10, 120, 260, 360, 460), cells, strict=True) if t]
+
+
+def test_pages_become_jobs(spark):
+    """From fragments to priced jobs, matched by equal names."""
+    frags = spark.createDataFrame([f for d in (1, 2) for f in fragments_of(d)], "doc_id long, page int, x double, y double, text string")
+    typed = cut_lineage(document_rows(frags))
+    assert [(r["description"], r["is_section"]) for r in typed.filter("file_id = 1").orderBy("row_idx").collect()] == [("PEKERJAAN TANAH", True), ("Galian tanah biasa", False), ("beton k225", False), ("zzz qqq", False)]
+    jobs = feeds.priced_jobs(typed, lambda q: q.join(works(spark).selectExpr("name as query_id", "id", "1.0D as score"), "query_id"), "found")
+    got = [(r["file_id"], r["description"], r["status"], r["match_id"], float(r["cost"]), r["weight_steps"]) for r in jobs.orderBy("file_id", "row_idx").collect()]
+    own = [("Galian tanah biasa", "found", 1, 2500.0, 5435), ("beton k225", "found", 3, 2000.0, 4348), ("zzz qqq", "not found", None, 100.0, 217)]
+    assert got == [(d, *o) for d in (1, 2) for o in own]
