@@ -45,7 +45,7 @@ SUMS_HELD = 1 << 20
 
 RUNS = "shard int, first binary, terms array<binary>, term_at array<int>, names array<string>, source_at array<int>, counts array<long>, docs array<long>"
 FREQUENCIES = "term_id long, lang string, term string, total long, sources array<string>, counts array<long>"
-#: Between language and term in a sort key; no UTF-8 text has this byte.
+#: Behind the language in a sort key; no UTF-8 text has this byte, so no language's key is the start of another's.
 BETWEEN = b"\xff"
 
 _IS_LETTER = np.zeros(256, dtype=bool)
@@ -119,10 +119,11 @@ class Block:
         terms = terms.take(pa.array(order))
         shard_of = np.array([zlib.crc32(t) % shards for t in terms.to_pylist()], np.int64)
         groups = list(self.groups)
-        langs = sorted({g[0].encode() for g in groups})
+        # Sorted with that byte, as keys are: `` comes behind `en`, and `en` behind `en-US`.
+        langs = sorted({g[0].encode() + BETWEEN for g in groups})
         number = {x: i for i, x in enumerate(langs)}
         group, term = key >> 32, place[key & 0xFFFFFFFF]
-        lang = np.array([number[g[0].encode()] for g in groups], np.int64)[group]
+        lang = np.array([number[g[0].encode() + BETWEEN] for g in groups], np.int64)[group]
         order = np.lexsort((group, term, lang, shard_of[term]))
         group, n, docs = group[order], n[order], docs[order]
         word = lang[order] * len(terms) + term[order]
@@ -137,7 +138,7 @@ class Block:
                 here, term_at = np.unique(word[a:b], return_inverse=True)
                 names, source_at = np.unique(group[a:b], return_inverse=True)
                 written = terms.take(pa.array(here % len(terms))).to_pylist()
-                keys = [langs[x] + BETWEEN + w for x, w in zip((here // len(terms)).tolist(), written, strict=True)]
+                keys = [langs[x] + w for x, w in zip((here // len(terms)).tolist(), written, strict=True)]
                 for column, value in zip(rows, (int(shard[a]), keys[0], keys, term_at, [groups[g][1] for g in names.tolist()], source_at, n[a:b], docs[a:b]), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], [c.split()[0] for c in RUNS.split(", ")])

@@ -78,6 +78,20 @@ def test_many_small_blocks_and_chunks(spark, tmp_path, monkeypatch):
     assert want == brute([tuple(r) for r in docs.select("text", "lang", "source").collect()])
 
 
+def test_languages_that_start_with_one_another(spark, monkeypatch):
+    """Null, `e`, `en` and `en-US` in one table: runs are in the order of their keys, so no term is merged in two parts."""
+    langs, sources = [None, "e", "en", "en-US", "en\x00", "é"], [None, "a", "b"]
+    rows = [(" ".join(f"{chr(97 + (i * j) % 26)}{chr(97 + j % 7)}" for j in range(i % 12)), langs[i % 6], sources[i // 6 % 3]) for i in range(120)]
+    block = divergence.Block()
+    block.add(pa.array([r[0] for r in rows]), [r[1] or "" for r in rows], [r[2] or "" for r in rows])
+    keys = [t for batch in block.run(1) for r in batch.to_pylist() for t in r["terms"]]
+    assert keys == sorted(keys)
+    for name, value in {"BLOCK_POSTINGS": 100, "CHUNK": 2, "ROWS_AT_ONCE": 3, "POSTINGS_WAITING": 1, "TEXT_BYTES": 500}.items():
+        monkeypatch.setattr(divergence, name, value)
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(5)
+    assert rows_of(audit(docs)) == brute(rows)
+
+
 def test_a_block_is_spilled_in_order():
     block = divergence.Block()
     block.add(pa.array(["b a a", "a c", "z"]), ["y", "x", "x"], ["s", "s", "t"])
