@@ -42,7 +42,7 @@ def reject_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 or more of the five-word shingles alike) stays."""
+    """One document of each group of near copies (0.8 or more of the five-word shingles alike) stays: links by SimHash, checked, then the others by an exact search."""
     return resemblance.drop_near_duplicates(docs)
 
 

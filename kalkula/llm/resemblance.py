@@ -1,13 +1,18 @@
 """Near copies by resemblance: texts whose sets of word shingles have a Jaccard similarity of `least` or more.
 
-Exact, by the prefix filter: all shingles are put in one order, and of a text's n distinct shingles the first
+First by SimHash: a set's fingerprint is the bit by bit majority of its shingles' hashes, fingerprints within `distance` bits are
+found by the generalised pigeonhole search (`kalkula.llm.simhash.links`), and each of these links is checked on the full sets.
+Links that hold join texts to components.
+
+Fingerprints miss links, so an exact search follows for those between different components, by the prefix filter: all shingles are
+put in one order, and of a text's n distinct shingles the first
 n - ceil(least * n) + 1 are its keys. Two texts of that similarity share a key, whatever the order is; here shingles that are
 in two texts or more come last (by a bit table counted over all texts), the others by hash, so that a line in many texts is
-hardly ever a key. What shares a key
-is then counted: a text goes on only if ceil(least * n) of its shingles are in some other text that shares a key, as
+hardly ever a key. A key all of whose texts are in one component needs no comparison. What shares any other key
+is then counted: a text goes on only if ceil(least * n) of its shingles are in some other text that shares such a key, as
 those with a partner are. Of the texts left, those that share a key form a group, cut where the next larger set is too
 large for any smaller one, and named by its least member; all groups with one name are compared in one task on full shingle
-sets, which returns links of a spanning forest only. Texts with equal sets are one node throughout, so copies make no pairs.
+sets, but not inside a component, which returns links of a spanning forest only. Texts with equal sets are one node throughout, so copies make no pairs.
 
 Shingles are 64-bit hashes of lower-cased words in order; a shorter text is one shingle. Null text counts as empty; texts without
 words are copies of each other; null ids are last; repeated rows count one by one; an empty table gives an empty result.
@@ -19,15 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kalkula.llm.common import LISTS, added_up, bit_filter, bit_table, count_lists, cut_lineage, free_name, in_table, lower_ascii, range_hashes, row_hash, slices, summed, text_bytes, words
-from kalkula.llm.simhash import SEED, components
+from kalkula.llm.simhash import SEED, bit_statistics, choose_partitions, components, links, majorities
 
-SHINGLE, LEAST = 5, 0.8
+#: DISTANCE: bits in which fingerprints of near copies may differ for SimHash to find them. By the estimates of choose_partitions
+#: 14 M fingerprints take 67 probe rows each at five bits, but 298 at six and 508 at seven: more than the disk budget.
+SHINGLE, LEAST, DISTANCE = 5, 0.8, 5
+#: Candidates of one hub that are checked in a task.
+CHECKED_AT_ONCE = 64
 #: Only hashes below this are counted over the corpus: of a text's hashes few beyond its least third can be keys.
 COUNTED = np.uint64(int(0.3 * 2**64))
 #: Bits of the table of common shingles, and hashes that a task counts before it hands them on.
@@ -115,14 +125,17 @@ def common_shingles(docs: DataFrame, shingle: int, buckets: int) -> np.ndarray:
     return bit_table(added_up(docs.select("text").mapInArrow(counted, LISTS)).filter("n >= 2").select("key"), COMMON_BITS)
 
 
-def forest(hashes: np.ndarray, at: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
-    """Links (places of two sets) that connect all sets of that similarity. Sets in the largest component found by then are only compared with the others."""
+def forest(hashes: np.ndarray, at: np.ndarray, least: float = LEAST, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (places of two sets) that connect all sets of that similarity. Sets in the largest component found by then are only compared with the others.
+
+    known: the component of each set, where some are connected already.
+    """
     n = np.diff(at)
     _, number = np.unique(hashes, return_inverse=True)
     owner = np.repeat(np.arange(len(n)), n)
     holders = owner[np.argsort(number, kind="stable")]
     begin = np.concatenate([[0], np.cumsum(np.bincount(number))])
-    root, links = np.arange(len(n)), []
+    root, links = np.arange(len(n)) if known is None else np.unique(known, return_inverse=True)[1], []
 
     def compare(x: int) -> None:
         mine = number[at[x] : at[x + 1]]
@@ -158,23 +171,88 @@ def without(df: DataFrame, gone: DataFrame, row: str) -> DataFrame:
 
 
 def _met(batches: Iterator[pa.RecordBatch], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """hub and node of all groups of two or more; all rows of a key are here, and groups are cut between sizes too far apart."""
-    parts = [tuple(b.column(c).to_numpy() for c in ("key", "node", "n")) for b in batches if b.num_rows]
+    """hub and node of all groups of two components or more; all rows of a key are here, and groups are cut between sizes too far apart."""
+    parts = [(*(b.column(c).to_numpy() for c in ("key", "node", "n")), pc.coalesce(b.column("root"), b.column("node")).to_numpy()) for b in batches if b.num_rows]
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key, node, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, node, n, root = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((node, n, key))
-    key, node, n = key[order], node[order], n[order]
+    key, node, n, root = key[order], node[order], n[order], root[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (n[:-1] < least * n[1:] - 1e-9)
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(key)))
     hub = np.repeat(np.minimum.reduceat(node, start), size)
-    several = hub != np.repeat(np.maximum.reduceat(node, start), size)
+    several = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), size)
     return hub[several], node[several]
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+def shingle_rows(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """row and hashes (its whole set) of the rows of docs whose number is in rows (one column), written down."""
+    chosen = bit_filter(rows)
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, at = shingle_sets(batch.column("text"), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _lists(hashes, at)], ["row", "hashes"])
+
+    return cut_lineage(docs.filter(chosen(F.col("row"))).select("row", "text").mapInArrow(full, "row long, hashes array<long>"))
+
+
+def _sets_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all rows end to end, and the n+1 positions that part the rows."""
+    lists = group.column("hashes").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    at = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[at[0] : at[-1]], at - at[0]
+
+
+def fingerprint_candidates(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """hub and node: for nodes (node, print) whose fingerprints are within `distance` bits, links by SimHash's pigeonhole search.
+
+    Nodes of one fingerprint are linked to the least of them, and these stand for their fingerprints.
+    """
+    prints = cut_lineage(nodes.groupBy("print").agg(F.min("node").alias("hub")))
+    n, both = bit_statistics(prints)
+    same = nodes.join(prints, "print").filter("node <> hub").select("hub", "node")
+    if n < 2:
+        return cut_lineage(same)
+    of = lambda side: prints.select(F.col("print").alias(side), F.col("hub").alias(f"{side}_hub"))
+    near = links(prints.select("print"), choose_partitions(n, both, distance), distance).join(of("a"), "a").join(of("b"), "b")
+    return cut_lineage(same.unionByName(near.select(F.col("a_hub").alias("hub"), F.col("b_hub").alias("node"))))
+
+
+def checked(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """a and b: the candidates (hub, node) whose sets have that similarity. nodes: node and row.
+
+    A hub with many candidates meets them in parts, each with a copy of the hub's set.
+    """
+    of_hub = candidates.groupBy("hub").agg(F.ceil(F.count("*") / CHECKED_AT_ONCE).alias("parts"))
+    members = candidates.join(of_hub, "hub").select("hub", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
+    members = members.unionByName(members.select("hub", "part", F.col("hub").alias("node")).distinct())
+    members = cut_lineage(members.join(nodes.select("node", "row"), "node"))
+    sets = shingle_rows(docs, members.select("row"), shingle)
+
+    def check(group: pa.Table) -> pa.Table:
+        node, hub = group.column("node").to_numpy(), group.column("hub").to_numpy()
+        hashes, at = _sets_of(group)
+        n, own = np.diff(at), int(np.flatnonzero(node == hub)[0])
+        here = np.concatenate([[0], np.cumsum(np.isin(hashes, hashes[at[own] : at[own + 1]]))])
+        both = here[at[1:]] - here[at[:-1]]
+        holds = (both >= least * (n + n[own] - both) - 1e-9) & (node != hub)
+        return pa.table({"a": pa.array(hub[holds], pa.int64()), "b": pa.array(node[holds], pa.int64())})
+
+    return cut_lineage(members.join(sets, "row").select("hub", "part", "node", "hashes").groupBy("hub", "part").applyInArrow(check, "a long, b long"))
+
+
+def with_root(df: DataFrame, roots: DataFrame) -> DataFrame:
+    """df (with node) and root from roots (node, root; written down), else null. Only rows that a bit table can't tell are shuffled."""
+    flagged = df.withColumn("linked", bit_filter(roots.select("node"))(F.col("node")))
+    alone = flagged.filter(~F.col("linked")).withColumn("root", F.lit(None).cast("long"))
+    return alone.unionByName(flagged.filter("linked").join(roots, "node", "left").select(*alone.columns)).drop("linked")
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
     """(row, id, node) for each row of docs (row, id, text), and (node, root) for the nodes that are linked to others."""
     buckets = max(16, docs.count() // BUCKET_DOCS)
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle, buckets))
@@ -185,22 +263,24 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
             is_common = _among(hashes, shared.value)
             sure = np.concatenate([[0], np.cumsum(is_common)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("id"), pa.array(_nodes(hashes, at)), pa.array(np.diff(at)), pa.array(sure[at[1:]] - sure[at[:-1]]), _lists(*keys_of(hashes, at, is_common, least))],
-                ["row", "id", "node", "n", "sure", "keys"],
+                [batch.column("row"), batch.column("id"), pa.array(_nodes(hashes, at)), pa.array(majorities(hashes, at).view(np.int64)), pa.array(np.diff(at)), pa.array(sure[at[1:]] - sure[at[:-1]]), _lists(*keys_of(hashes, at, is_common, least))],
+                ["row", "id", "node", "print", "n", "sure", "keys"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    signed = cut_lineage(docs.select("row", "id", "text").mapInArrow(sign, f"row long, id {kind}, node long, n long, sure long, keys array<long>"))
+    signed = cut_lineage(docs.select("row", "id", "text").mapInArrow(sign, f"row long, id {kind}, node long, print long, n long, sure long, keys array<long>"))
     rows = signed.select("row", "id", "node")
-    one = cut_lineage(signed.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sure").alias("sure")))
+    one = cut_lineage(signed.groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("print", "n", "sure"))))
+    by_prints = checked(fingerprint_candidates(one.select("node", "print"), distance), one, docs, shingle, least)
+    roots = cut_lineage(components(by_prints))
     copies = cut_lineage(rows.select("row", "node").join(one.select("row"), "row", "left_anti").select("row"))
-    single = without(signed.select("row", "node", "n", "keys"), copies, "row")
+    single = with_root(without(signed.select("row", "node", "n", "keys"), copies, "row"), roots)
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(_met(batches, least)[1]))], ["node"])
 
     def keyed(df: DataFrame) -> DataFrame:
-        return df.select(F.explode("keys").alias("key"), "node", "n").repartition("key")
+        return df.select(F.explode("keys").alias("key"), "node", "n", "root").repartition("key")
 
     met = cut_lineage(keyed(single).mapInArrow(meeting, "node long").distinct().join(one, "node"))
     passes = bit_filter(met.select("row"))
@@ -235,36 +315,26 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0, a : a + 65_536]), pa.array(pairs[1, a : a + 65_536])], ["hub", "node"])
 
     again = signed.select("row", "node", "n", "keys").filter(bit_filter(left.select("row"))(F.col("row"))).join(left.select("row"), "row")
-    stars = cut_lineage(keyed(again).mapInArrow(stars_of, "hub long, node long").distinct().join(left, "node").select("hub", "node", "row"))
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            hashes, at = shingle_sets(batch.column("text"), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), _lists(hashes, at)], ["row", "hashes"])
-
-    in_stars = bit_filter(stars.select("row"))
-    sets = cut_lineage(docs.filter(in_stars(F.col("row"))).select("row", "text").mapInArrow(full, "row long, hashes array<long>"))
+    stars = cut_lineage(keyed(with_root(again, roots)).mapInArrow(stars_of, "hub long, node long").distinct().join(left, "node").select("hub", "node", "row"))
+    sets = shingle_rows(docs, stars.select("row"), shingle)
 
     def connect(group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
-        lists = group.column("hashes").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        at = lists.offsets.to_numpy().astype(np.int64)
-        links = forest(lists.values.to_numpy()[at[0] : at[-1]], at - at[0], least)
-        return pa.table({"a": pa.array([node[x] for x, _ in links], pa.int64()), "b": pa.array([node[y] for _, y in links], pa.int64())})
+        found = forest(*_sets_of(group), least, pc.coalesce(group.column("root"), group.column("node")).to_numpy())
+        return pa.table({"a": pa.array([node[x] for x, _ in found], pa.int64()), "b": pa.array([node[y] for _, y in found], pa.int64())})
 
-    links = stars.join(sets, "row").select("hub", "node", "hashes").groupBy("hub").applyInArrow(connect, "a long, b long")
-    return rows, components(links)
+    others = stars.join(roots, "node", "left").join(sets, "row").select("hub", "node", "root", "hashes").groupBy("hub").applyInArrow(connect, "a long, b long")
+    return rows, components(by_prints.unionByName(others))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST, distance: int = DISTANCE) -> DataFrame:
     """One document of each component stays: that with the least id, of equal ids that with the least hash of all its columns.
 
     So the result is the same however the input is split; rows equal in all columns are alike. The documents are written down once with their number, and all steps read that table.
     """
     number = free_name(docs, "dedup_row")
     placed = cut_lineage(docs.withColumn(number, F.monotonically_increasing_id()))
-    rows, roots = near_copies(placed.select(F.col(number).alias("row"), F.struct(F.col(id_col).alias("id"), row_hash(docs).alias("content")).alias("id"), F.col(text_col).alias("text")), shingle, least)
+    rows, roots = near_copies(placed.select(F.col(number).alias("row"), F.struct(F.col(id_col).alias("id"), row_hash(docs).alias("content")).alias("id"), F.col(text_col).alias("text")), shingle, least, distance)
     named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("id.id").isNull().alias("none"), "id", "row")
     first = named.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))

@@ -63,7 +63,11 @@ def _hashes(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> t
 
 def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     data, offsets = text_bytes(texts)
-    hashes, at = _hashes(lower_ascii(data), offsets, shingle, seed)
+    return majorities(*_hashes(lower_ascii(data), offsets, shingle, seed))
+
+
+def majorities(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The fingerprint of each list of hashes: a bit is 1 if set in over half of them. at: the n+1 positions that part the lists."""
     n = np.diff(at)
     some = np.flatnonzero(n)
     out = np.zeros(len(n), np.uint64)
