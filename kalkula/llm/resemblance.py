@@ -2,17 +2,17 @@
 
 First by SimHash: a set's fingerprint is the bit by bit majority of its shingles' hashes, fingerprints within `distance` bits are
 found by the generalised pigeonhole search (`kalkula.llm.simhash.links`), and each of these links is checked on the full sets.
-Links that hold join texts to components.
+Texts with such a link to the same least text are connected.
 
-Fingerprints miss links, so an exact search follows for those between different components, by the prefix filter: all shingles are
+Fingerprints miss links, so an exact search follows for those between texts not yet connected, by the prefix filter: all shingles are
 put in one order, and of a text's n distinct shingles the first
 n - ceil(least * n) + 1 are its keys. Two texts of that similarity share a key, whatever the order is; here shingles that are
 in two texts or more come last (by a bit table counted over all texts), the others by hash, so that a line in many texts is
-hardly ever a key. A key all of whose texts are in one component needs no comparison. What shares any other key
+hardly ever a key. A key all of whose texts are connected to one text needs no comparison. What shares any other key
 is then counted: a text goes on only if ceil(least * n) of its shingles are in some other text that shares such a key, as
 those with a partner are. Of the texts left, those that share a key form a group, cut where the next larger set is too
 large for any smaller one, and named by its least member; all groups with one name are compared in one task on full shingle
-sets, but not inside a component, which returns links of a spanning forest only. Texts with equal sets are one node throughout, so copies make no pairs.
+sets, but not where texts are connected, which returns links of a spanning forest only. Texts with equal sets are one node throughout, so copies make no pairs.
 
 Shingles are 64-bit hashes of lower-cased words in order; a shorter text is one shingle. Null text counts as empty; texts without
 words are copies of each other; null ids are last; repeated rows count one by one; an empty table gives an empty result.
@@ -219,7 +219,7 @@ def fingerprint_candidates(nodes: DataFrame, distance: int = DISTANCE) -> DataFr
         return cut_lineage(same)
     of = lambda side: prints.select(F.col("print").alias(side), F.col("hub").alias(f"{side}_hub"))
     near = links(prints.select("print"), choose_partitions(n, both, distance), distance).join(of("a"), "a").join(of("b"), "b")
-    return cut_lineage(same.unionByName(near.select(F.col("a_hub").alias("hub"), F.col("b_hub").alias("node"))))
+    return cut_lineage(same.unionByName(near.select(F.least("a_hub", "b_hub").alias("hub"), F.greatest("a_hub", "b_hub").alias("node"))))
 
 
 def checked(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -230,7 +230,7 @@ def checked(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: i
     of_hub = candidates.groupBy("hub").agg(F.ceil(F.count("*") / CHECKED_AT_ONCE).alias("parts"))
     members = candidates.join(of_hub, "hub").select("hub", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
     members = members.unionByName(members.select("hub", "part", F.col("hub").alias("node")).distinct())
-    members = cut_lineage(members.join(nodes.select("node", "row"), "node"))
+    members = members.join(nodes.select("node", "row"), "node")
     sets = shingle_rows(docs, members.select("row"), shingle)
 
     def check(group: pa.Table) -> pa.Table:
@@ -246,7 +246,7 @@ def checked(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: i
 
 
 def with_root(df: DataFrame, roots: DataFrame) -> DataFrame:
-    """df (with node) and root from roots (node, root; written down), else null. Only rows that a bit table can't tell are shuffled."""
+    """df (with node) and root from roots (node, root), else null. Only rows that a bit table can't tell are shuffled."""
     flagged = df.withColumn("linked", bit_filter(roots.select("node"))(F.col("node")))
     alone = flagged.filter(~F.col("linked")).withColumn("root", F.lit(None).cast("long"))
     return alone.unionByName(flagged.filter("linked").join(roots, "node", "left").select(*alone.columns)).drop("linked")
@@ -272,7 +272,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, d
     rows = signed.select("row", "id", "node")
     one = cut_lineage(signed.groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("print", "n", "sure"))))
     by_prints = checked(fingerprint_candidates(one.select("node", "print"), distance), one, docs, shingle, least)
-    roots = cut_lineage(components(by_prints))
+    # Texts linked to the same least hub are connected; it needs no more than that to leave comparisons out.
+    roots = by_prints.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
     copies = cut_lineage(rows.select("row", "node").join(one.select("row"), "row", "left_anti").select("row"))
     single = with_root(without(signed.select("row", "node", "n", "keys"), copies, "row"), roots)
 
