@@ -257,3 +257,15 @@ def test_whole_cascade_by_brute_force(spark):
     got = {(r["query_id"], r["id"], r["rank"], round(r["score"], 4)) for r in M.best_match(q, cat).collect()}
     assert got == want
     assert len({w[0] for w in want}) >= 8
+
+
+def test_code_containment_compares_no_codes_that_only_begin_alike(spark):
+    codes = [(i, f"AT.{i // 4}-{i % 4}") for i in range(2000)] + [(5000, "B"), (5001, "xat.7"), (5002, "b.1.b.1")]
+    asked = [f"at.{i}-1" for i in range(300, 420)] + ["t.49", "b", "-3", "at-7", "9-2", "b.1", "1234567890123"]
+    catalog = spark.createDataFrame(codes, "id long, code string")
+    df = M.code_variant_lookup(spark.createDataFrame([(q, q) for q in asked], "query_id string, query string"), catalog, contained=True).select("query_id", "id")
+    rows = df.collect()
+    forms = lambda q: {q, q.replace("-", "."), q.replace(".", "-")}
+    assert sorted(map(tuple, rows)) == sorted((q, i) for q in asked for i, c in codes if any(f.upper() in c.upper() for f in forms(q)))
+    # equal keys alone decide: no pairs of a form and a code are compared letter by letter
+    assert "Contains(" not in df._jdf.queryExecution().executedPlan().toString()
