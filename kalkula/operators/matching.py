@@ -1,9 +1,9 @@
 """Matching work descriptions to the catalogue: by code, by name, by shared words, by similarity.
 
 Queries are distinct descriptions (query_id, query: their normal form); catalogue rows have id (their order), code, name and
-plain (the name's normal form). Words meet names through an index of the names' character sequences of two to four
-letters: a word, or a synonym, can only be inside a name that holds its first four letters, so nothing is missed and no
-word is compared with the whole catalogue.
+plain (the name's normal form). Words of queries meet the distinct words of names, as no word goes beyond one of them, through
+an index of these words' character sequences of two to four letters: a word, or a synonym, can only be inside a word that
+holds its first four letters, so nothing is missed and no word is compared with the whole catalogue.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from kalkula.functions import similarity as S
 from kalkula.functions import synonyms as Y
 from kalkula.functions.text import alnum_code_key, expand_abbreviations, infer_unit, letter_grams, looks_like_code, normalize_text, normalize_unit, units_compatible
-from kalkula.sources.shared import cut_lineage, spread
+from kalkula.sources.shared import cut_lineage, fan_out, spread
 
 
 def merge_catalogs(*catalogs: DataFrame) -> DataFrame:
@@ -59,13 +59,26 @@ def code_variant_lookup(queries: DataFrame, catalog: DataFrame, contained: bool
     return hits.join(catalog.withColumn("held", F.upper("code")), "held").drop("held")
 
 
+#: Lengths of the beginnings by which tokens and names meet first.
+_BEGINNINGS = tuple(1 << i for i in range(7))
+
+
 def prefix_candidates(queries: DataFrame, catalog: DataFrame, token: str = "token", limit: int | None = None) -> DataFrame:
-    """query_id and the catalogue rows whose name starts with the token, but for case. Blocked by the first three characters."""
+    """query_id and the catalogue rows whose name starts with the token, but for case.
+
+    Of a name only the beginnings as long as tokens that begin like it are taken, and tokens meet these as equals.
+    """
     q = queries.select("query_id", F.lower(token).alias("token")).filter("token <> ''")
-    names = catalog.withColumn("low", F.lower("name"))
-    long = q.filter(F.length("token") >= 3).withColumn("key", F.substring("token", 1, 3)).join(names.withColumn("key", F.substring("low", 1, 3)), "key")
-    short = [q.filter(F.length("token") == n).withColumn("key", F.col("token")).join(names.withColumn("key", F.substring("low", 1, n)), "key") for n in (1, 2)]
-    found = long.unionByName(short[0]).unionByName(short[1]).filter(F.startswith("low", F.col("token"))).drop("key", "low", "token").distinct()
+    # Of a query's tokens that begin alike the shortest finds all, so no row is found twice.
+    least = F.filter("tokens", lambda t: ~F.exists("tokens", lambda u: (u != t) & F.startswith(t, u)))
+    q = cut_lineage(q.groupBy("query_id").agg(F.collect_set("token").alias("tokens")).select("query_id", F.explode(least).alias("token")))
+    sizes = lambda text: F.filter(F.array(*map(F.lit, _BEGINNINGS)), lambda n: n <= F.length(text))
+    lengths = q.select("token").distinct().groupBy(F.substring("token", F.lit(1), F.array_max(sizes("token"))).alias("begin")).agg(F.collect_set(F.length("token")).alias("lengths"))
+    low = catalog.select(F.lower("name").alias("low")).distinct()
+    met = low.select("low", F.explode(F.transform(sizes("low"), lambda n: F.substring("low", F.lit(1), n))).alias("begin")).join(lengths, "begin")
+    met = met.withColumn("n", F.explode("lengths")).filter(F.col("n") <= F.length("low")).select("low", F.substring("low", F.lit(1), F.col("n")).alias("token"))
+    met = met.join(q.select("token").distinct(), "token", "left_semi").join(catalog.distinct().withColumn("low", F.lower("name")), "low").drop("low")
+    found = fan_out(cut_lineage(met), q, "token").select("query_id", *catalog.columns)
     if limit is None:
         return found
     return found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("id"))).filter(F.col("n") <= limit).drop("n")
@@ -87,16 +100,14 @@ def exact_name_match(queries: DataFrame, catalog: DataFrame, raw: str = "raw") -
     return _first(found).withColumn("matched_on", F.lit("name"))
 
 
-def word_hits(words: DataFrame, names: DataFrame, near: DataFrame | None = None) -> DataFrame:
-    """word, name and how (substring, synonym or fuzzy) for distinct words and names (a number and plain); near: word and others like it."""
+def word_hits(words: DataFrame, others: DataFrame, near: DataFrame) -> DataFrame:
+    """word, other and how (substring, synonym or fuzzy) for distinct words of queries (word) and of names (other); near: word and others like it."""
     terms = cut_lineage(words.select("word", F.explode(F.concat(F.array(F.struct(F.col("word").alias("term"), F.lit("substring").alias("how"))), F.transform(Y.synonyms_of(F.col("word")), lambda s: F.struct(s.alias("term"), F.lit("synonym").alias("how"))))).alias("t")).select("word", "t.*"))
-    index = names.select("name", "plain", F.explode(letter_grams(F.col("plain"))).alias("gram"))
-    hits = terms.filter(F.length("term") >= 2).withColumn("gram", F.substring("term", 1, 4)).join(index, "gram").filter(F.contains("plain", F.col("term"))).select("word", "name", "how")
-    letters = names.select("name", F.explode(F.array_distinct(F.split("plain", ""))).alias("term"))
-    hits = hits.unionByName(terms.filter(F.length("term") == 1).join(letters, "term").select("word", "name", "how"))
-    if near is not None:
-        hits = hits.unionByName(near.join(names.select("name", F.explode(F.array_distinct("words")).alias("other")), "other").select("word", "name", F.lit("fuzzy").alias("how")))
-    return hits.distinct()
+    index = others.select("other", F.explode(letter_grams(F.col("other"))).alias("gram"))
+    hits = terms.filter(F.length("term") >= 2).withColumn("gram", F.substring("term", 1, 4)).join(index, "gram").filter(F.contains("other", F.col("term"))).select("word", "other", "how")
+    letters = others.select("other", F.explode(F.array_distinct(F.split("other", ""))).alias("term"))
+    hits = hits.unionByName(terms.filter(F.length("term") == 1).join(letters, "term").select("word", "other", "how"))
+    return hits.unionByName(near.select("word", "other", F.lit("fuzzy").alias("how"))).distinct()
 
 
 def near_words(words: DataFrame, others: DataFrame, least: float = 0.8) -> DataFrame:
@@ -134,16 +145,19 @@ def _holds(plain: Column, terms: Column, parts: Column) -> Column:
 
 @dataclass(frozen=True)
 class Factors:
-    """Which names each query may be matched with, kept apart: queries have a set of words, words have names.
+    """Which names each query may be matched with, kept apart: queries have a set of words, sets have kinds of names, kinds have names.
 
-    asked: query_id, query, words, significant, technical (and their terms and the compounds that they are part of), compounds,
-    head, first and the key of the set of significant words. names: name (a number), plain, words, held (distinct words),
-    distinct. hits: word, name, how. every: set, name: names that all its words hit.
+    asked: query_id, query, words, significant, technical (and their terms, the compounds that they are part of, and the key
+    material of both), compounds, head, first and the key of the set of significant words. names: name (a number), plain, words,
+    held (distinct words), kind (a number, or null). kinds: kind, held (the words of a name that any query's word hits, or that
+    hold a part of a compound, sorted) and plain (these in one text). As neither a word nor its synonyms hold a space, they
+    hit names of one kind alike. hits: word, kind, how. every: set, kind: kinds that all its words hit.
     Only who needs rows joins them.
     """
 
     asked: DataFrame
     names: DataFrame
+    kinds: DataFrame
     hits: DataFrame
     every: DataFrame
 
@@ -153,54 +167,73 @@ class Factors:
         names = cut_lineage(spread(names, "plain").withColumn("name", F.monotonically_increasing_id()))
         asked = spread(queries.select("query_id", "query"), "query_id").withColumn("words", S.tokens(F.col("query")))
         significant = F.filter("words", lambda w: (F.length(w) >= 4) & ~w.isin(*S.GENERIC_WORDS))
-        asked = asked.withColumn("all_significant", significant).withColumn("technical", F.array_distinct(F.filter("words", S.is_technical))).withColumn("compounds", Y.detect_compounds(F.col("query")))
+        asked = asked.withColumn("all_significant", significant).withColumn("technical", F.array_sort(F.array_distinct(F.filter("words", S.is_technical)))).withColumn("compounds", Y.detect_compounds(F.col("query")))
         asked = asked.select("*", F.array_sort(F.array_distinct("all_significant")).alias("significant"), F.get("all_significant", F.lit(0)).alias("head"), F.get("words", F.lit(0)).alias("first"), F.size("all_significant").alias("n_significant")).drop("all_significant")
         parts = F.array_distinct(F.flatten(F.transform("technical", lambda w: _part_of(w, F.col("compounds")))))
         asked = asked.withColumn("terms", _terms(F.col("technical"))).withColumn("parts", parts)
-        asked = cut_lineage(asked.withColumn("set", F.concat_ws("|", F.array_join("significant", " "), F.array_join("compounds", ","))))
+        key = lambda words, whole: F.concat_ws("|", F.array_join(words, " "), F.array_join(whole, ","))
+        asked = cut_lineage(asked.withColumn("set", key("significant", "compounds")).withColumn("material", key("technical", "parts")))
+        others = cut_lineage(names.select(F.explode("held").alias("other")).distinct())
         hard = asked.select(F.explode("significant").alias("word")).distinct()
-        six = names.select(F.explode("words").alias("other")).filter(F.length("other") >= 6).distinct()
-        near = cut_lineage(near_words(hard.filter(F.length("word") >= 6), six))
+        near = cut_lineage(near_words(hard.filter(F.length("word") >= 6), others.filter(F.length("other") >= 6)))
         words = cut_lineage(asked.select(F.explode(F.array_union("significant", "technical")).alias("word")).distinct())
-        hits = cut_lineage(word_hits(words, names, near))
-        return Factors(asked, names, hits, _all_words(asked, names, hits, near))
-
-
-def _all_words(asked: DataFrame, names: DataFrame, hits: DataFrame, near: DataFrame) -> DataFrame:
-    """set, name: names that every significant word of the set hits. A set takes names from the word that hits fewest and looks the others up."""
-    often = hits.groupBy("word").agg(F.countDistinct("name").alias("n")).join(near.groupBy("word").agg(F.collect_set("other").alias("near")), "word", "left")
+        pairs = cut_lineage(word_hits(words, others, near))
+        part = [p for c in sorted(Y.COMPOUNDS) for p in c.split(" ")]
+        telling = pairs.select("other").unionByName(others.filter(F.exists(F.array(*map(F.lit, part)), lambda p: F.contains("other", p)))).distinct()
+        of_name = cut_lineage(names.select("name", F.explode("held").alias("other")).join(telling, "other").groupBy("name").agg(F.array_sort(F.collect_list("other")).alias("held")))
+        kinds = cut_lineage(of_name.select("held").distinct().withColumn("kind", F.monotonically_increasing_id()).withColumn("plain", F.array_join("held", " ")))
+        names = cut_lineage(names.join(of_name.join(kinds.select("held", "kind"), "held").select("name", "kind"), "name", "left"))
+        hits = cut_lineage(pairs.join(kinds.select("kind", F.explode("held").alias("other")), "other").select("word", "kind", "how").distinct())
+        return Factors(asked, names, kinds, hits, _all_words(asked, kinds, hits, near))
+
+
+def _all_words(asked: DataFrame, kinds: DataFrame, hits: DataFrame, near: DataFrame) -> DataFrame:
+    """set, kind: kinds of names that every significant word of the set hits. A set takes kinds from the word that hits fewest and looks the others up."""
+    often = hits.groupBy("word").agg(F.countDistinct("kind").alias("n")).join(near.groupBy("word").agg(F.collect_set("other").alias("near")), "word", "left")
     sets = asked.filter(F.size("significant") > 0).select("set", "significant", "compounds").distinct()
     each = sets.select("set", "compounds", F.explode("significant").alias("word")).join(often, "word", "left")
     found = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", F.coalesce("near", F.array().cast("array<string>")).alias("near"), _terms(F.array("word")).alias("terms"), _part_of(F.col("word"), F.col("compounds")).alias("parts"))
     each = each.groupBy("set", "compounds").agg(F.array_sort(F.collect_list(found)).alias("of")).select("set", "of", F.col("of")[0]["word"].alias("word"))
     each = cut_lineage(each)
-    outright = spread(each.join(hits.select("word", "name").distinct(), "word").select("set", "of", "name"), "set", "name").join(names, "name")
+    outright = spread(each.join(hits.select("word", "kind").distinct(), "word").select("set", "of", "kind"), "set", "kind").join(kinds, "kind")
     parts = each.select("set", "of", F.explode(F.col("of")[0]["parts"]).alias("compound"))
-    whole = names.select("*", F.explode(Y.compound_names()).alias("compound")).filter(Y.contains_compound(F.col("plain"), F.col("compound")))
-    met = outright.unionByName(parts.join(whole, "compound").drop("compound"))
+    met = outright.unionByName(parts.join(_whole(kinds), "compound").drop("compound"))
     hit = lambda w: _holds(F.col("plain"), w["terms"], w["parts"]) | F.exists(w["near"], lambda x: F.array_contains("held", x))
-    return cut_lineage(met.filter(F.forall("of", hit)).select("set", "name").distinct())
+    return cut_lineage(met.filter(F.forall("of", hit)).select("set", "kind").distinct())
+
+
+def _whole(kinds: DataFrame) -> DataFrame:
+    """kinds with each compound material of which they hold all parts."""
+    return kinds.select("*", F.explode(Y.compound_names()).alias("compound")).filter(Y.contains_compound(F.col("plain"), F.col("compound")))
+
+
+def _expanded(asked: DataFrame, key: str, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """asked with the rows of each kind that its key is paired with (key, kind); queries of one key go to the rows in lists, so no pairs of both are exchanged."""
+    columns = [c for c in asked.columns if c != key]
+    part = F.pmod(F.xxhash64(*columns), F.ceil(F.count("*").over(W.partitionBy(key)) / 256))
+    lists = asked.withColumn("part", part).groupBy(key, "part").agg(F.collect_list(F.struct(*columns)).alias("asked"))
+    met = fan_out(cut_lineage(pairs.join(lists, key).select("kind", "asked")), rows, "kind")
+    return met.select(F.inline("asked"), *(c for c in rows.columns if c != "kind"))
 
 
 def _material(asked: DataFrame, f: Factors) -> DataFrame:
-    """The queries of asked with each name that a technical word of theirs hits outright, by a synonym or as part of a compound."""
-    own = asked.select("query_id", F.explode("technical").alias("word"))
-    outright = own.join(f.hits.filter("how <> 'fuzzy'").select("word", "name").distinct(), "word").select("query_id", "name")
-    whole = f.names.select("name", "plain", F.explode(Y.compound_names()).alias("compound")).filter(Y.contains_compound(F.col("plain"), F.col("compound")))
-    parts = asked.select("query_id", F.explode("parts").alias("compound")).join(whole, "compound").select("query_id", "name")
+    """material, kind: kinds of names that a technical word of the queries hits outright, by a synonym or as part of a compound."""
+    sets = asked.select("material", "technical", "parts").distinct()
+    outright = sets.select("material", F.explode("technical").alias("word")).join(f.hits.filter("how <> 'fuzzy'").select("word", "kind").distinct(), "word").select("material", "kind")
+    parts = sets.select("material", F.explode("parts").alias("compound")).join(_whole(f.kinds), "compound").select("material", "kind")
     return outright.unionByName(parts).distinct()
 
 
 def candidates_all_words(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """query_id, plain: names that every significant word hits, outright, by a synonym, nearly, or as part of a compound."""
     f = Factors.of(queries, catalog)
-    return f.asked.join(f.every, "set").join(f.names, "name").select("query_id", "plain")
+    return _expanded(f.asked.select("query_id", "set"), "set", f.every, f.names.select("kind", "plain"))
 
 
 def candidates_any_material(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """query_id, plain: names that any technical word hits, outright, by a synonym or as part of a compound."""
     f = Factors.of(queries, catalog)
-    return _material(f.asked, f).join(f.names, "name").select("query_id", "plain")
+    return _expanded(f.asked.select("query_id", "material"), "material", _material(f.asked, f), f.names.select("kind", "plain"))
 
 
 def candidate_ways(f: Factors, catalog: DataFrame, small_pool: int = 1000) -> DataFrame:
@@ -210,30 +243,35 @@ def candidate_ways(f: Factors, catalog: DataFrame, small_pool: int = 1000) -> Da
     2, any name that hits all. Then 3, names with any technical word; then 4, names that start with the first word or a
     synonym of it. A single technical word looks for names with it straight away.
     """
-    several = f.asked.filter("n_significant >= 2").select("query_id", "set", "head")
+    several = f.asked.filter("n_significant >= 2").select("set", "head").distinct()
     heads = several.select(F.col("head").alias("query_id"), "head").distinct()
-    # how many rows start with a head: counted for each head once, not for each query
-    starts = prefix_candidates(heads, catalog, "head").groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") < small_pool)
-    starts = cut_lineage(starts.select(F.col("query_id").alias("head"), F.lit(True).alias("small")))
-    rows = f.every.join(several.select("set", "head").distinct(), "set").join(starts, "head", "left").join(f.names.select("name", "plain"), "name").join(catalog.select("plain", F.lower("name").alias("written")), "plain")
-    narrow = rows.groupBy("set", "head").agg(F.max(F.coalesce("small", F.lit(False)) & F.startswith("written", F.col("head"))).alias("narrow"))
+    # found for each head once, not for each query
+    begun = cut_lineage(prefix_candidates(heads, catalog, "head").select(F.col("query_id").alias("head"), "plain"))
+    starts = cut_lineage(begun.groupBy("head").agg(F.count("*").alias("n")).filter(F.col("n") < small_pool).select("head", F.lit(True).alias("small")))
+    led = begun.join(starts, "head").join(f.names.select("plain", "kind"), "plain").select("head", "kind").distinct()
+    narrow = several.join(f.every, "set").join(led, ["head", "kind"]).select("set", "head").distinct().withColumn("narrow", F.lit(True))
+    narrow = several.join(f.every.select("set").distinct(), "set").join(narrow, ["set", "head"], "left").select("set", "head", F.coalesce("narrow", F.lit(False)).alias("narrow"))
     material = f.hits.filter("how <> 'fuzzy'").select("word").distinct()
-    whole = f.names.agg(F.array_compact(F.array(*(F.max(F.when(Y.contains_compound(F.col("plain"), F.lit(c)), c)) for c in Y.COMPOUNDS))).alias("held"))  # one row
+    whole = f.kinds.agg(F.array_compact(F.array(*(F.max(F.when(Y.contains_compound(F.col("plain"), F.lit(c)), c)) for c in Y.COMPOUNDS))).alias("held"))  # one row
     outright = f.asked.select("query_id", F.explode("technical").alias("word")).join(material, "word", "left_semi").select("query_id")
     parts = f.asked.crossJoin(F.broadcast(whole)).filter(F.arrays_overlap("parts", "held")).select("query_id")
-    some = outright.unionByName(parts).distinct().withColumn("material", F.lit(True))
+    some = outright.unionByName(parts).distinct().withColumn("some", F.lit(True))
     out = f.asked.join(narrow, ["set", "head"], "left").join(some, "query_id", "left").join(starts, "head", "left")
-    way = F.when((F.col("n_significant") >= 2) & F.col("narrow"), 1).when((F.col("n_significant") >= 2) & F.col("narrow").isNotNull(), 2).when(F.col("material"), 3).otherwise(4)
-    return cut_lineage(out.withColumn("way", way).drop("narrow", "material"))
+    way = F.when((F.col("n_significant") >= 2) & F.col("narrow"), 1).when((F.col("n_significant") >= 2) & F.col("narrow").isNotNull(), 2).when(F.col("some"), 3).otherwise(4)
+    return cut_lineage(out.withColumn("way", way).drop("narrow", "some"))
 
 
-def _found_rows(f: Factors, ways: DataFrame, catalog: DataFrame, material: DataFrame) -> DataFrame:
-    """query_id, way and catalogue rows: by all words or by the head as ways say, by material as given (query_id, name)."""
-    rows = f.names.select("name", "plain").join(catalog.select("id", "code", F.col("name").alias("written"), "plain"), "plain")
+def _found_rows(f: Factors, ways: DataFrame, catalog: DataFrame, material: DataFrame | None = None) -> DataFrame:
+    """query_id, way and catalogue rows: by all words or by the head as ways say, by material, or as material gives them (query_id, name)."""
+    rows = cut_lineage(f.names.select("name", "kind", "plain").join(catalog.select("id", "code", F.col("name").alias("written"), "plain"), "plain"))
     columns = ["query_id", "id", "code", F.col("written").alias("name"), "plain", "way"]
-    every = ways.filter("way <= 2").select("query_id", "set", "head", "way").join(f.every, "set").join(rows, "name")
+    every = _expanded(ways.filter("way <= 2").select("query_id", "set", "head", "way"), "set", f.every, rows)
     every = every.filter((F.col("way") == 2) | F.startswith(F.lower("written"), F.col("head"))).select(*columns)
-    by_material = material.withColumn("way", F.lit(3)).join(rows, "name").select(*columns)
+    if material is None:
+        third = ways.filter("way = 3").select("query_id", "material", "technical", "parts", "way")
+        by_material = _expanded(third.select("query_id", "material", "way"), "material", _material(third, f), rows).select(*columns)
+    else:
+        by_material = material.withColumn("way", F.lit(3)).join(rows, "name").select(*columns)
     head = ways.filter("way = 4").select("query_id", F.explode(F.array_union(F.array("first"), Y.synonyms_of(F.col("first")))).alias("token"))
     head = cut_lineage(prefix_candidates(head, catalog.select("id", "code", "name", "plain")))
     head = head.join(head.groupBy("query_id", "code").agg(F.min("id").alias("id")), ["query_id", "code", "id"], "left_semi")
@@ -243,8 +281,7 @@ def _found_rows(f: Factors, ways: DataFrame, catalog: DataFrame, material: DataF
 def retrieve_candidates(queries: DataFrame, catalog: DataFrame, small_pool: int = 1000) -> DataFrame:
     """query_id, way and the catalogue rows of the first way that finds any (candidate_ways), all of them."""
     f = Factors.of(queries, catalog)
-    ways = candidate_ways(f, catalog, small_pool)
-    return _found_rows(f, ways, catalog, _material(ways.filter("way = 3"), f))
+    return _found_rows(f, candidate_ways(f, catalog, small_pool), catalog)
 
 
 def filter_by_unit(candidates: DataFrame, unit: str = "user_unit", name: str = "name") -> DataFrame:
@@ -329,8 +366,10 @@ def confident_rows(queries: DataFrame, catalog: DataFrame, least: float = 0.6, k
     ways = cut_lineage(ways)
     shares = F.col("least") > S.WITHOUT_COMMON_WORD + 1e-9
     third = ways.filter("way = 3")
-    material = _sharing(third.filter(shares), f).unionByName(_material(third.filter(~shares), f))
-    of_query = ways.drop("way", "set", "head", "first", "significant", "technical", "terms", "parts", "compounds", "n_significant", "small")
+    few = third.filter(~shares)
+    outright = _expanded(few.select("query_id", "material"), "material", _material(few, f), f.names.select("kind", "name"))
+    material = _sharing(third.filter(shares), f).unionByName(outright)
+    of_query = ways.drop("way", "set", "material", "head", "first", "significant", "technical", "terms", "parts", "compounds", "n_significant", "small")
     # Dealt out before the bounds are worked out: Catalyst takes filters down through what is dealt out after them.
     rows = spread(_found_rows(f, ways, catalog, material), "query_id", "plain").join(of_query, "query_id").join(f.names.select("plain", "held", F.size("words").alias("m")), "plain")
     rows = filter_by_unit(rows) if "user_unit" in queries.columns else rows

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -28,3 +29,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """df dealt out to all shuffle partitions, which adaptive execution doesn't put together: for rows that are few in bytes and much work each."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def fan_out(many: DataFrame, few: DataFrame, key: str, at_once: int = 1 << 22) -> DataFrame:
+    """many and few joined by key. A key with more than so many pairs is dealt out to several tasks, each of which gets all of few's rows of it."""
+    counts = many.groupBy(key).agg(F.count("*").alias("n")).join(few.groupBy(key).agg(F.count("*").alias("m")), key)
+    tasks = 4 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.least(F.lit(tasks), F.ceil(F.col("n").cast("double") * F.col("m") / at_once)).cast("int").alias("salts")
+    hot = cut_lineage(counts.select(key, salts).filter("salts > 1"))
+    one = many.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*many.columns), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    all_ = few.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return one.join(all_, [key, "salt"]).drop("salt")

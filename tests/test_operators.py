@@ -269,3 +269,28 @@ def test_code_containment_compares_no_codes_that_only_begin_alike(spark):
     assert sorted(map(tuple, rows)) == sorted((q, i) for q in asked for i, c in codes if any(f.upper() in c.upper() for f in forms(q)))
     # equal keys alone decide: no pairs of a form and a code are compared letter by letter
     assert "Contains(" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_meet_kinds_of_names_not_every_name(spark):
+    names = [f"{a} {m} {i}" for a in ("galian", "pekerjaan", "urugan pasir") for m in ("tanah", "hebel", "bata merah ringan", "betonku") for i in range(40)]
+    catalog = spark.createDataFrame([(i, f"C.{i}", n, n) for i, n in enumerate(names)], "id long, code string, name string, plain string")
+    asked = ["galiann tanah", "penggalian beton", "bata ringan", "hebel", "tanah", "urug pasir", "pasang lantai"]
+    queries = spark.createDataFrame([(q, q) for q in asked], "query_id string, query string")
+    assert M.Factors.of(queries, catalog).hits.count() < 60
+    words = lambda q: [w for w in q.split() if len(w) >= 4]
+    near = {("galiann", "galian"), ("galiann", "penggalian"), ("penggalian", "galian")}
+    synonyms = Y.synonym_map()
+
+    def hit(q, w, n):
+        if any(t in n for t in (w, *synonyms.get(w, ()))):
+            return True
+        if any((w, x) in near and brute.sequence_ratio(w, x) >= 0.8 and w[0] == x[0] for x in n.split()):
+            return True
+        return any(c in q and w in c.split() and all(p in n for p in c.split()) for c in Y.COMPOUNDS)
+
+    got = sorted(map(tuple, M.candidates_all_words(queries, catalog).collect()))
+    assert got == sorted((q, n) for q in asked for n in names if all(hit(q, w, n) for w in words(q)))
+    technical = lambda w: any(w.startswith(x) or w.endswith(x) for x in ("beton", "pasir")) or len(w) >= 6
+    outright = lambda q, w, n: any(t in n for t in (w, *synonyms.get(w, ()))) or any(c in q and w in c.split() and all(p in n for p in c.split()) for c in Y.COMPOUNDS)
+    got = sorted(map(tuple, M.candidates_any_material(queries, catalog).collect()))
+    assert got == sorted((q, n) for q in asked for n in names if any(technical(w) and outright(q, w, n) for w in q.split()))
