@@ -102,3 +102,24 @@ def test_same_rows_step_by_step(spark):
     steps = pdf.assign_columns(pdf.group_fragments_to_rows(frags, bounds), bounds)
     key = lambda r: (r.doc_id, r.page, round(r.row_y, 6), tuple(sorted(r["values"].items())))
     assert sorted(map(key, steps.collect())) == sorted(map(key, pdf.page_rows(frags).collect()))
+
+
+def test_one_exchange_steps_give_what_single_steps_give(spark):
+    heads = [(10, "No"), (120, "Uraian"), (150, "Pekerjaan"), (260, "Volume"), (360, "Satuan")]
+    rows = [("a", 1, float(x), 50.0, t) for x, t in heads] + [("b", 2, float(x), 30.0, t) for x, t in heads if t != "No"]
+    rows += [("a", p, float(x), y, t) for p in (1, 2, 4) for y in (20.0, 55.0, 70.0, 90.0) for x, t in ((12, "1"), (125, "galian tanah"), (262, "3"), (361, "m2"))]
+    rows += [("a", 3, 10.0, 10.0, " "), ("c", 1, 10.0, 10.0, "Uraian"), ("b", 1, 5.0, 5.0, "x"), ("b", 3, 5.0, 5.0, " ")]
+    frags = spark.createDataFrame(rows, "doc_id string, page int, x double, y double, text string")
+    plain = lambda df, *c: sorted((tuple(r) for r in df.select(*c).collect()), key=repr)
+    columns = ("doc_id", "page", "header_y", "key", "low", "high")
+    bounds = pdf.column_boundaries(pdf.map_pdf_headers(frags, pdf.find_pdf_header(frags)))
+    assert plain(pdf.page_boundaries(frags), *columns) == plain(bounds, *columns) != []
+    carried = pdf.carry_header(frags, bounds)
+    assert plain(pdf.carried_boundaries(frags), *columns) == plain(carried, *columns)
+    assert {(r["doc_id"], r["page"]) for r in carried.collect()} == {("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 2), ("b", 3)}
+    cells = ("doc_id", "page", "bucket", "row_y", "x", "y", "text")
+    assert plain(pdf.page_fragments(frags), *cells) == plain(pdf.group_fragments_to_rows(frags, carried), *cells) != []
+    made = pdf.page_fragments(frags)
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    assert sum("REPARTITION_BY_COL" in line and "ReusedExchange" not in line for line in plan) == 1
